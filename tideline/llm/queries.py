@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, exact_dedup, near_dedup, suffix_dedup
+from tideline.llm import decontaminate, exact_dedup, near_dedup, suffix_dedup, suffix_tree_lm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffix_tree_lm.score(table(spark, sf_dir, "documents"), ~suffix_tree_lm.held_out())
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.select("doc_id", (F.col("train") == 0).alias("held_out"), *columns)
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -33,6 +39,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_superminhash": op10_superminhash,
 }
 
