@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, exact_dedup, near_dedup, suffix_dedup, suffix_tree_lm
+from tideline.llm import decontaminate, exact_dedup, near_dedup, quality_fm, suffix_dedup, suffix_tree_lm
+from tideline.llm._shared import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _marks(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label"))
+
+
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _marks(spark, sf_dir, "quality").where(crc_mod("doc_id", 3) != 1)
+    scored = quality_fm.score(table(spark, sf_dir, "documents"), labels, metadata=("n_chars",))
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,6 +48,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality_fm": op3_quality_fm,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
