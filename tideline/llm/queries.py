@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, exact_dedup, near_dedup, quality_fm, suffix_dedup, suffix_tree_lm
+from tideline.llm import decontaminate, exact_dedup, near_dedup, quality_fm, suffix_dedup, suffix_tree_lm, toxicity_cnn
 from tideline.llm._shared import crc_mod
 
 
@@ -32,6 +32,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_cnn.score(table(spark, sf_dir, "documents"), _marks(spark, sf_dir, "toxic").where(crc_mod("doc_id", 5) != 0))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_fm": op3_quality_fm,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_toxicity_cnn": op7_toxicity_cnn,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_superminhash": op10_superminhash,
@@ -73,6 +79,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
+    "op7_toxicity_cnn": op7_toxicity_cnn,
     "op8_exact_dedup": r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
