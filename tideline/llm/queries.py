@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, exact_dedup, near_dedup, quality_fm, suffix_dedup, suffix_tree_lm, toxicity_cnn
+from tideline.llm import decontaminate, exact_dedup, html_extract, language_crf, mixing, near_dedup, quality_fm, suffix_dedup, suffix_tree_lm, toxicity_cnn
 from tideline.llm._shared import crc_mod
 
 
@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Token weights of the languages in op1's mix.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
+    return mixing.mix(docs, labelled, TARGETS)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +42,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = language_crf.label_languages(table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) != 1)
+    return labelled.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_switches")
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_cnn.score(table(spark, sf_dir, "documents"), _marks(spark, sf_dir, "toxic").where(crc_mod("doc_id", 5) != 0))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -52,9 +71,12 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_fm": op3_quality_fm,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_language_crf": op5_language_crf,
+    "op6_html_extract": op6_html_extract,
     "op7_toxicity_cnn": op7_toxicity_cnn,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
@@ -79,6 +101,8 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
+    "op5_language_crf": op5_language_crf,
+    "op6_html_extract": op6_html_extract,
     "op7_toxicity_cnn": op7_toxicity_cnn,
     "op8_exact_dedup": r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
