@@ -7,10 +7,12 @@ with independent hashes. Level ``j`` is only worked out while some slot holds a
 that level or more, which for long documents stops after two or three levels.
 
 Equal sets form classes first; only one representative of a class is banded. In a bucket
-each representative is paired with the least one, pairs are confirmed on full sets, and
-confirmed links go through union-find. Buckets that still hold several components then
-pair members of different components (no pair inside one), so a link that the star missed
-is found too. All links are confirmed on full sets.
+each representative is paired with the least one. Pairs whose signatures agree in a third
+of their slots make up families: whatever may be linked lies in one family. A family is
+dealt out in blocks, and each pair of blocks meets in one task with full sets, where
+similar pairs are confirmed exactly; union-find skips pairs that are connected already, so
+a family of n near copies gives about n links, never n^2 rows. A last union-find joins the
+links of all tasks.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
 from tideline.llm._links import components
-from tideline.llm._shared import stage
+from tideline.llm._shared import fits_broadcast, stage
 
 #: Slots, and slots of a band: (1 - 0.8^5)^32 = 3e-6 of the pairs at 0.8 share no bucket.
 SLOTS, ROWS = 160, 5
 BANDS = SLOTS // ROWS
 #: Estimates this far below the similarity asked for rule a pair out (over 4.5 standard errors).
 SLACK = 0.15
+#: Share of the slots that makes a pair related, and members of a family's block.
+RELATED, MEMBERS = 0.33, 256
 PIECE = 1 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -114,7 +118,7 @@ def _signature_batches(k: int):
                         for s in range(c * ROWS, (c + 1) * ROWS):
                             acc = B.mix(acc) + sig[:, s].astype(np.uint64)
                         bands[:, c] = B.mix(acc)
-                    short = B.mix(sig.astype(np.uint64)).astype(np.uint16)
+                    short = _short(sig)
                     yield pa.record_batch(
                         [
                             batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
@@ -139,52 +143,62 @@ def _set_batches(k: int):
                     hi = min(lo + 2048, b)
                     at = offsets[lo : hi + 1]
                     elements, counts = shingle_sets(buf[at[0] : at[-1]], at - at[0], k)
+                    sig = _short(super_minhash(elements, counts))
                     ends = np.concatenate([[0], np.cumsum(counts)])
                     raw = elements.view(np.int64).tobytes()
                     sets = [raw[8 * ends[i] : 8 * ends[i + 1]] for i in range(hi - lo)]
-                    yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), B.binary_array(sets)], names=["id", "set"])
+                    rows = [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), B.binary_array(sets), B.binary_array([r.tobytes() for r in sig])]
+                    yield pa.record_batch(rows, names=["id", "set", "sig"])
 
     return run
 
 
-def _confirm_batches(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left, right = batch.column("set_u"), batch.column("set_v")
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(both) - shared)
-            yield pa.record_batch([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
+def _short(sig: np.ndarray) -> np.ndarray:
+    """A byte of each slot: unlike values agree once in 256."""
+    return (B.mix(sig.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
-    return run
+
+def _related_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures agree in RELATED of the slots or more."""
+    for batch in batches:
+        a, b = (np.frombuffer(B.text_buffer(batch.column(c))[0], np.uint8).reshape(-1, SLOTS) for c in ("sig_u", "sig_v"))
+        keep = pa.array((a == b).sum(axis=1) >= RELATED * SLOTS)
+        yield pa.record_batch([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
 
-def _estimate_batches(percent: int):
+def _linked(percent: int):
+    """Links between the members of two blocks (or within one) that connect all that is similar enough."""
     need = (percent / 100 - SLACK) * SLOTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(B.text_buffer(batch.column(c))[0], np.uint16).reshape(-1, SLOTS) for c in ("sig_u", "sig_v"))
-            keep = pa.array((a == b).sum(axis=1) >= need)
-            yield pa.record_batch([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("id")
+        ids, block = table["id"].to_numpy(), table["block"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
+        sig = np.frombuffer(B.text_buffer(table["sig"])[0], np.uint8).reshape(-1, SLOTS)
+        size = np.array([len(x) for x in sets])
+        within = table["i"][0].as_py() == table["j"][0].as_py()
+        label = np.arange(len(ids))
+        u, v = [], []
+        for x in range(len(ids)):
+            others = np.arange(x + 1, len(ids))
+            others = others[(100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (within | (block[others] != block[x]))]
+            alike = (sig[others] == sig[x]).sum(axis=1)
+            others, alike = others[alike >= need], alike[alike >= need]
+            for y in others[np.argsort(-alike, kind="stable")]:
+                if label[y] == label[x]:
+                    continue
+                both = np.concatenate([sets[x], sets[y]])
+                both.sort(kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    label[label == label[y]] = label[x]
+                    u.append(ids[x])
+                    v.append(ids[y])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_batches(k), "id long, set binary")
-    sets = stage(sets, "sets")
-    wide = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
-    wide = wide.join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
-    return wide.select("u", "v", "set_u", "set_v").mapInArrow(_confirm_batches(percent), "u long, v long")
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -205,29 +219,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = linked.join(least, key).where("doc_id = rep").select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep", "n_shingles"])
     reps = stage(reps, "reps")
 
-    slots = reps.select("rep", F.explode("bands").alias("band"))
-    heads = slots.groupBy("band").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
-    stars = slots.join(heads, "band").where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
-    pairs = stage(stars, "stars")
-    links = stage(_confirmed(pairs, read, shingle, percent), "confirmed")
+    slots = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    heads = slots.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = F.least("n_shingles", "head.n_shingles") >= RELATED * F.greatest("n_shingles", "head.n_shingles")
+    stars = slots.join(heads.select("band", "head"), "band").where((F.col("rep") != F.col("head.rep")) & near)
+    pairs = stars.select(F.col("head.rep").alias("u"), F.col("rep").alias("v")).distinct()
+    sig = reps.select("rep", "sig").dropDuplicates(["rep"])
+    pairs = pairs.join(sig.withColumnsRenamed({"rep": "u", "sig": "sig_u"}), "u").join(sig.withColumnsRenamed({"rep": "v", "sig": "sig_v"}), "v")
+    related = stage(pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(_related_batches, "u long, v long"), "related")
+    families = components(related)
+    count = families.groupBy("component").count()
+    families = families.join(count, "component").select("node", F.col("component").alias("family"), F.ceil(F.col("count") / MEMBERS).cast("int").alias("blocks"))
+    families = stage(families, "families")
+    wanted = families.select(F.col("node").alias("doc_id"))
+    wanted = F.broadcast(wanted) if fits_broadcast(families.count(), 16) else wanted
+    sets = read.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "id long, set binary, sig binary")
+    dealt = sets.join(families, F.col("id") == F.col("node")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "set", "sig")
+    links = dealt.groupBy("family", "i", "j").applyInArrow(_linked(percent), "u long, v long")
     parts = stage(components(links), "parts")
 
-    # members of one bucket in different components: pairs that no star has joined
-    placed = slots.join(heads, "band").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    mixed = stage(placed.join(mixed, "band").join(reps.select("rep", "n_shingles"), "rep"), "mixed")
-    x = mixed.select("band", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("n_shingles").alias("nu"))
-    y = mixed.select("band", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("n_shingles").alias("nv"))
-    fits = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    cross = x.join(y, "band").where(fits).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-    sig = reps.select("rep", "sig")
-    cross = cross.join(sig.withColumnsRenamed({"rep": "u", "sig": "sig_u"}), "u").join(sig.withColumnsRenamed({"rep": "v", "sig": "sig_v"}), "v")
-    cross = stage(cross.select("u", "v", "sig_u", "sig_v").mapInArrow(_estimate_batches(percent), "u long, v long"), "cross")
-    more = stage(_confirmed(cross, read, shingle, percent), "more")
-    if not more.isEmpty():
-        parts = stage(components(links.unionByName(more)), "parts")
-
     placed = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
