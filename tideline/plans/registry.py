@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tideline.plans import audits, captions, catalog, stories, store
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (stories, captions, audits, catalog, store):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
