@@ -1,2 +1,183 @@
+"""Queries over the voice catalog and projects: filters, preferences, labels, progress, numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tideline.functions import text as T
+from tideline.sources import adapters as ad
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None, *parts: str):
+    def add(function):
+        QUERIES[name] = function
+        if oracle is not None:
+            ctes = ",".join(ad.SQL[p] for p in parts)
+            ORACLES[name] = f"WITH {ctes} {oracle}" if ctes else oracle
+        return function
+
+    return add
+
+
+@query("p7_curated_voices", "SELECT voice_id, engine, name FROM voices WHERE engine IN ('Brand#1', 'Brand#2', 'Brand#3') AND name LIKE 'red%' AND style <> 'PROMO' AND size >= 5", "voices")
+def p7_curated_voices(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.voices(spark, sf).where(F.col("engine").isin("Brand#1", "Brand#2", "Brand#3") & F.col("name").startswith("red") & (F.col("style") != "PROMO") & (F.col("size") >= 5)).select("voice_id", "engine", "name")
+
+
+@query("p8_facet_search", "SELECT voice_id FROM voices WHERE lower(concat_ws(' ', name, engine, style)) LIKE '%widget brand#1%' AND size BETWEEN 10 AND 30", "voices")
+def p8_facet_search(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.lower(F.concat_ws(" ", "name", "engine", "style"))
+    return ad.voices(spark, sf).where(text.contains("widget brand#1") & F.col("size").between(10, 30)).select("voice_id")
+
+
+@query("p9_native_or_all", "SELECT engine, voice_id FROM (SELECT *, size > 45 AS native, bool_or(size > 45) OVER (PARTITION BY engine) AS any_native FROM voices) WHERE native OR NOT any_native", "voices")
+def p9_native_or_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Native voices of an engine if it has any, else all of its voices."""
+    native = F.col("size") > 45
+    some = F.bool_or(native).over(W.partitionBy("engine"))
+    return ad.voices(spark, sf).withColumn("_s", some).where(native | ~F.col("_s")).select("engine", "voice_id")
+
+
+@query("p10_preferred_voice", "SELECT engine, voice_id FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY CASE WHEN style = 'STANDARD' THEN 0 WHEN style = 'ECONOMY' THEN 1 ELSE 2 END, voice_id) AS k FROM voices) WHERE k = 1", "voices")
+def p10_preferred_voice(spark: SparkSession, sf: str) -> DataFrame:
+    rank = F.when(F.col("style") == "STANDARD", 0).when(F.col("style") == "ECONOMY", 1).otherwise(2)
+    return ad.voices(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("engine").orderBy(rank, "voice_id"))).where("k = 1").select("engine", "voice_id")
+
+
+@query("w13_unique_labels", "SELECT voice_id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' (' || engine || ')' ELSE name END AS label FROM voices", "voices")
+def w13_unique_labels(spark: SparkSession, sf: str) -> DataFrame:
+    many = F.count(F.lit(1)).over(W.partitionBy("name")) > 1
+    return ad.voices(spark, sf).select("voice_id", F.when(many, F.concat("name", F.lit(" ("), "engine", F.lit(")"))).otherwise(F.col("name")).alias("label"))
+
+
+@query("o4_catalog_order", "SELECT voice_id, row_number() OVER (ORDER BY style <> 'STANDARD', lower(name), engine, voice_id) AS pos FROM voices QUALIFY pos <= 50", "voices")
+def o4_catalog_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fifty of the catalog (a top-k report: only those rows are ordered in one place)."""
+    keys = [F.col("style") != "STANDARD", F.lower("name"), F.col("engine"), F.col("voice_id")]
+    top = ad.voices(spark, sf).orderBy(*keys).limit(50)
+    return top.select("voice_id", F.row_number().over(W.orderBy(*keys)).alias("pos"))
+
+
+@query("g13_engine_counts", "SELECT style, count(*) AS n, count(DISTINCT engine) AS engines, array_to_string(list_sort(list(DISTINCT engine)), ',') AS names FROM voices GROUP BY 1", "voices")
+def g13_engine_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.voices(spark, sf).groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("engine").alias("engines"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("names"))
+
+
+@query("j15_source_cascade", """, want AS (SELECT voice_id, CASE voice_id % 3 WHEN 0 THEN upper(name || engine || voice_id) WHEN 1 THEN name || engine ELSE 'none' END AS w FROM voices),
+have AS (SELECT lower(name || engine || voice_id) AS f, lower(name || engine) AS g, voice_id AS v FROM voices),
+u AS (SELECT g, min(v) AS v FROM have GROUP BY 1 HAVING count(*) = 1)
+SELECT voice_id, coalesce(a.v, b.v) AS source FROM want LEFT JOIN have a ON a.f = lower(w) LEFT JOIN u b ON b.g = lower(w)""", "voices")
+def j15_source_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact name, else the only one with the shorter name, else none."""
+    v = ad.voices(spark, sf)
+    both = F.concat("name", "engine")
+    w = F.when(F.col("voice_id") % 3 == 0, F.upper(F.concat(both, F.col("voice_id").cast("string")))).when(F.col("voice_id") % 3 == 1, both).otherwise(F.lit("none"))
+    want = v.select("voice_id", F.lower(w).alias("w"))
+    exact = v.select(F.lower(F.concat(both, F.col("voice_id").cast("string"))).alias("w"), F.col("voice_id").alias("a"))
+    loose = v.groupBy(F.lower(both).alias("w")).agg(F.min("voice_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    return want.join(exact, "w", "left").join(loose, "w", "left").select("voice_id", F.coalesce("a", "b").alias("source"))
+
+
+ORACLES["j15_source_cascade"] = ORACLES["j15_source_cascade"].replace(" , want", ", want")
+
+
+@query("j16_favourite_rank", "SELECT voice_id, coalesce(r, 999) AS rank FROM voices LEFT JOIN (SELECT voice_id, row_number() OVER (ORDER BY price DESC, voice_id) AS r FROM voices WHERE size = 7) f USING (voice_id)", "voices")
+def j16_favourite_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank among the favourites (those of one size), 999 for the rest; ranks by ranges of price, not in one task."""
+    v = ad.voices(spark, sf)
+    liked = v.where("size = 7").select("voice_id", "price")
+    ahead = liked.select(F.col("price").alias("p2"), F.col("voice_id").alias("v2"))
+    counts = ahead.groupBy("p2").agg(F.count(F.lit(1)).alias("n"))
+    above = counts.select("p2", (F.sum("n").over(W.orderBy(F.desc("p2"))) - F.col("n")).alias("above"))
+    ranked = liked.join(above, liked.price == above.p2).select("voice_id", (F.col("above") + F.row_number().over(W.partitionBy("price").orderBy("voice_id"))).alias("r"))
+    return v.select("voice_id").join(ranked, "voice_id", "left").select("voice_id", F.coalesce("r", F.lit(999)).alias("rank"))
+
+
+@query("g7_mean_progress", "SELECT o_orderpriority, coalesce(avg(o_orderkey % 101) FILTER (o_orderstatus <> 'P'), 0)::INTEGER AS progress FROM (SELECT o_orderpriority, o_orderstatus, (o_orderkey % 101)::DOUBLE AS o_orderkey FROM orders) GROUP BY 1")
+def g7_mean_progress(spark: SparkSession, sf: str) -> DataFrame:
+    mean = F.avg(F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") % 101).cast("double")))
+    return ad.table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.coalesce(mean, F.lit(0.0)).alias("m")).select("o_orderpriority", F.floor(F.col("m") + F.lit(0.5)).cast("int").alias("progress"))
+
+
+@query("p11_enabled_subset", "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND NOT o_orderstatus IN ('F', 'P')")
+def p11_enabled_subset(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.table(spark, sf, "orders").where((F.col("o_totalprice") > 1000) & ~F.col("o_orderstatus").isin("F", "P")).select("o_orderkey")
+
+
+@query("m8_progress_bands", "SELECT o_orderkey, greatest(1, least(99, floor(r * 100)))::INTEGER AS pct, CASE WHEN r < 0.4::DOUBLE THEN 'voice' WHEN r < 0.75::DOUBLE THEN 'cut' ELSE 'encode' END AS stage FROM (SELECT o_orderkey, (o_orderkey % 1000) / 1000.0::DOUBLE AS r FROM orders)")
+def m8_progress_bands(spark: SparkSession, sf: str) -> DataFrame:
+    r = (F.col("o_orderkey") % 1000) / F.lit(1000.0)
+    stage = F.when(r < 0.4, "voice").when(r < 0.75, "cut").otherwise("encode")
+    return ad.table(spark, sf, "orders").select("o_orderkey", F.greatest(F.lit(1), F.least(F.lit(99), F.floor(r * 100).cast("int"))).alias("pct"), stage.alias("stage"))
+
+
+@query("m1_seconds_to_ms", "SELECT o_orderkey, round_even(o_totalprice * 1000, 0)::BIGINT AS ms FROM orders WHERE o_totalprice > 0")
+def m1_seconds_to_ms(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.table(spark, sf, "orders").where("o_totalprice > 0").select("o_orderkey", F.bround(F.col("o_totalprice") * 1000).cast("long").alias("ms"))
+
+
+@query("m2_confidence", "SELECT event_id, round(least(1, greatest(0, exp(value / 50 - 2))), 9) AS confidence FROM events")
+def m2_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.table(spark, sf, "events").select("event_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(F.col("value") / 50 - 2))), 9).alias("confidence"))
+
+
+@query("m3_proxy_size", """SELECT p_partkey, greatest(2, (w * s)::BIGINT // 2 * 2) AS width, greatest(2, (h * s)::BIGINT // 2 * 2) AS height FROM (
+SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN b ELSE a END AS w, CASE WHEN p_size % 2 = 1 THEN a ELSE b END AS h, least(1.0::DOUBLE, 720 / (CASE WHEN p_size % 2 = 1 THEN a ELSE b END)::DOUBLE) AS s
+FROM (SELECT p_partkey, p_size, 640 + p_size * 32 AS a, 360 + p_size * 16 AS b FROM part)) WHERE w * s = floor(w * s)""")
+def m3_proxy_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Even proxy dimensions, sides swapped for rotated video, height at most 720."""
+    part = ad.table(spark, sf, "part").select("p_partkey", (F.lit(640) + F.col("p_size") * 32).alias("a"), (F.lit(360) + F.col("p_size") * 16).alias("b"), (F.col("p_size") % 2 == 1).alias("turned"))
+    sized = part.select("p_partkey", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("w"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("h"))
+    scale = F.least(F.lit(1.0), F.lit(720.0) / F.col("h"))
+    even = lambda x: F.greatest(F.lit(2).cast("long"), F.floor(F.floor(x) / 2) * 2)
+    whole = sized.where(F.col("w") * scale == F.floor(F.col("w") * scale))
+    return whole.select("p_partkey", even(F.col("w") * scale).alias("width"), even(F.col("h") * scale).alias("height"))
+
+
+@query("m4_aspect_ratio", "SELECT p_partkey, ((640 + p_size * 32) // gcd(640 + p_size * 32, 360 + p_size * 10)) || ':' || ((360 + p_size * 10) // gcd(640 + p_size * 32, 360 + p_size * 10)) AS ratio FROM part")
+def m4_aspect_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.lit(640) + F.col("p_size") * 32, F.lit(360) + F.col("p_size") * 10
+    step = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(a.alias("x"), b.alias("y")), lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.pmod(s["x"], F.when(s["y"] == 0, 1).otherwise(s["y"])).alias("y"))))
+    divided = ad.table(spark, sf, "part").select("p_partkey", a.alias("a"), b.alias("b"), step["x"].alias("g"))
+    return divided.select("p_partkey", F.concat_ws(":", F.floor(F.col("a") / F.col("g")).cast("string"), F.floor(F.col("b") / F.col("g")).cast("string")).alias("ratio"))
+
+
+@query("m11_rotation", "SELECT p_partkey, ((p_size * 90 - 450) % 360 + 360) % 360 AS rotation, CASE WHEN p_size % 4 = 0 THEN NULL ELSE round(30000.0::DOUBLE / (p_size % 4 * 1001), 6) END AS rate FROM part")
+def m11_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    below = F.col("p_size") % 4 * 1001
+    return ad.table(spark, sf, "part").select("p_partkey", F.pmod(F.col("p_size") * 90 - 450, F.lit(360)).alias("rotation"), F.round(F.try_divide(F.lit(30000.0), below), 6).alias("rate"))
+
+
+@query("f6_short_component", r"""SELECT voice_id, CASE WHEN c <> '' AND length(c) <= 12 THEN c ELSE left(c, 1) || '-' || left(sha256(raw), 10) END AS part FROM (
+SELECT voice_id, name || ' ' || engine AS raw, trim(regexp_replace(trim(name || ' ' || engine), '[^A-Za-z0-9._-]+', '-', 'g'), '-._') AS c FROM voices)""", "voices")
+def f6_short_component(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.voices(spark, sf).select("voice_id", T.short_component(F.concat_ws(" ", "name", "engine"), 12).alias("part"))
+
+
+@query("f17_content_types", "SELECT event_id, CASE upper(event_type) WHEN 'CLICK' THEN 'TV' WHEN 'VIEW' THEN 'SOAP' ELSE 'OTHER' END AS content_type FROM events")
+def f17_content_types(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.create_map(F.lit("CLICK"), F.lit("TV"), F.lit("VIEW"), F.lit("SOAP"))
+    return ad.table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(names, F.upper("event_type")), F.lit("OTHER")).alias("content_type"))
+
+
+@query("x15_favourite_sets", "SELECT c_custkey, array_to_string(list_sort(list_distinct(['a', 'b', 'c' || c_custkey % 3]) ), ',') AS favourites FROM customer")
+def x15_favourite_sets(spark: SparkSession, sf: str) -> DataFrame:
+    added = F.array_union(F.array(F.lit("a"), F.lit("b")), F.array(F.concat(F.lit("c"), (F.col("c_custkey") % 3).cast("string"))))
+    return ad.table(spark, sf, "customer").select("c_custkey", F.array_join(F.array_sort(F.array_except(added, F.array(F.lit("z")))), ",").alias("favourites"))
+
+
+@query("o6_first_messages", "SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:12], ',') AS first_orders FROM orders GROUP BY 1")
+def o6_first_messages(spark: SparkSession, sf: str) -> DataFrame:
+    listed = F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 12)
+    return ad.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(listed, lambda x: x.cast("string")), ",").alias("first_orders"))
+
+
+@query("o8_newest_snapshot", "SELECT l_suppkey, arg_max(l_orderkey, (l_shipdate, l_orderkey)) AS newest FROM (SELECT *, count(DISTINCT l_returnflag) OVER (PARTITION BY l_suppkey) AS k FROM lineitem) WHERE k = 3 GROUP BY 1")
+def o8_newest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    lines = ad.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.max_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("newest"), F.count_distinct("l_returnflag").alias("k"))
+    return lines.where("k = 3").select("l_suppkey", "newest")
