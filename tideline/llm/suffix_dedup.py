@@ -110,7 +110,7 @@ def _surroundings(buf: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.nd
     owner = np.searchsorted(offsets, at, side="right") - 1
     before = np.minimum(at - offsets[owner], SIDE)
     after = np.minimum(offsets[owner + 1] - at - GRAM, SIDE)
-    padded = np.concatenate([np.zeros(SIDE, np.uint8), buf, np.zeros(SIDE, np.uint8)])
+    padded = np.concatenate([np.zeros(SIDE, np.uint8), buf, np.zeros(WIDTH, np.uint8)])
     rows = np.zeros((len(at), WIDTH + 6), np.uint8)
     windows = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
     rows[:, :WIDTH] = windows[at]
