@@ -101,9 +101,6 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
-    "op5_language_crf": op5_language_crf,
-    "op6_html_extract": op6_html_extract,
-    "op7_toxicity_cnn": op7_toxicity_cnn,
     "op8_exact_dedup": r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
