@@ -187,15 +187,15 @@ def g8_ordered_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f4_safe_ids", r"""SELECT conv_id, turn, CASE WHEN c = '' THEN 'episode' ELSE c END AS safe_id FROM (
-SELECT conv_id, turn, trim(regexp_replace(trim(left(text, 40)), '[^A-Za-z0-9._-]+', '-', 'g'), '-._') AS c FROM conversations)""")
+SELECT conv_id, turn, trim(regexp_replace(trim(text), '[^A-Za-z0-9._-]+', '-', 'g'), '-._') AS c FROM conversations)""")
 def f4_safe_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).select("conv_id", "turn", T.safe_id(F.substring("text", 1, 40)).alias("safe_id"))
+    return _turns(spark, sf).select("conv_id", "turn", T.safe_id("text").alias("safe_id"))
 
 
-@query("f13_letter_words", r"SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '\p{L}+')[1:5], ' ') AS words FROM conversations")
+@query("f13_letter_words", r"SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '\p{L}+'), ' ') AS words FROM conversations")
 def f13_letter_words(spark: SparkSession, sf: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    return _turns(spark, sf).select("conv_id", "turn", F.array_join(F.slice(words, 1, 5), " ").alias("words"))
+    return _turns(spark, sf).select("conv_id", "turn", F.array_join(words, " ").alias("words"))
 
 
 @query("f11_speech_text", r"""SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\bMr\.', 'Mister', 'g') || ' season ' || (turn % 20) || ', episode ' || turn AS spoken FROM conversations""")

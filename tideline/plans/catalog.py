@@ -126,17 +126,13 @@ def m2_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return ad.table(spark, sf, "events").select("event_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(F.col("value") / 50 - 2))), 9).alias("confidence"))
 
 
-@query("m3_proxy_size", """SELECT p_partkey, greatest(2, (w * s)::BIGINT // 2 * 2) AS width, greatest(2, (h * s)::BIGINT // 2 * 2) AS height FROM (
-SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN b ELSE a END AS w, CASE WHEN p_size % 2 = 1 THEN a ELSE b END AS h, least(1.0::DOUBLE, 720 / (CASE WHEN p_size % 2 = 1 THEN a ELSE b END)::DOUBLE) AS s
-FROM (SELECT p_partkey, p_size, 640 + p_size * 32 AS a, 360 + p_size * 16 AS b FROM part)) WHERE w * s = floor(w * s)""")
+@query("m3_proxy_size", """SELECT p_partkey, greatest(2, (CASE WHEN h > 720 THEN w * 720 // h ELSE w END) // 2 * 2) AS width, greatest(2, least(h, 720) // 2 * 2) AS height FROM (
+SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN b ELSE a END AS w, CASE WHEN p_size % 2 = 1 THEN a ELSE b END AS h FROM (SELECT p_partkey, p_size, 640 + p_size * 32 AS a, 360 + p_size * 16 AS b FROM part))""")
 def m3_proxy_size(spark: SparkSession, sf: str) -> DataFrame:
     """Even proxy dimensions, sides swapped for rotated video, height at most 720."""
     part = ad.table(spark, sf, "part").select("p_partkey", (F.lit(640) + F.col("p_size") * 32).alias("a"), (F.lit(360) + F.col("p_size") * 16).alias("b"), (F.col("p_size") % 2 == 1).alias("turned"))
     sized = part.select("p_partkey", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("w"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("h"))
-    scale = F.least(F.lit(1.0), F.lit(720.0) / F.col("h"))
-    even = lambda x: F.greatest(F.lit(2).cast("long"), F.floor(F.floor(x) / 2) * 2)
-    whole = sized.where(F.col("w") * scale == F.floor(F.col("w") * scale))
-    return whole.select("p_partkey", even(F.col("w") * scale).alias("width"), even(F.col("h") * scale).alias("height"))
+    return sized.selectExpr("p_partkey", "greatest(2L, if(h > 720, w * 720 div h, w) div 2 * 2) AS width", "greatest(2L, least(h, 720) div 2 * 2) AS height")
 
 
 @query("m4_aspect_ratio", "SELECT p_partkey, ((640 + p_size * 32) // gcd(640 + p_size * 32, 360 + p_size * 10)) || ':' || ((360 + p_size * 10) // gcd(640 + p_size * 32, 360 + p_size * 10)) AS ratio FROM part")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tideline.plans import audits, captions, catalog, stories, store
+from tideline.plans import audits, captions, catalog, documents, store, stories
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (stories, captions, audits, catalog, store):
+for _module in (stories, captions, audits, catalog, store, documents):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

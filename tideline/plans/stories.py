@@ -99,12 +99,12 @@ def g11_plan_duration(spark: SparkSession, sf: str) -> DataFrame:
     return plan.groupBy("user_id").agg(F.sum("estimated_ms").alias("total_ms"), F.count(F.lit(1)).alias("n_events"))
 
 
-@query("j13_unexcused_must_have", _PLAN.format(limit=120000) + "SELECT event_id FROM classed WHERE budget_class = 'MUST_HAVE' AND event_id NOT IN (SELECT event_id FROM plan WHERE plan_ordinal % 3 = 0) AND event_id % 2 = 0", "timeline", "edges")
+@query("j13_unexcused_must_have", _PLAN.format(limit=90000) + "SELECT event_id FROM classed WHERE budget_class = 'MUST_HAVE' AND event_id NOT IN (SELECT event_id FROM plan WHERE feasible) AND NOT excluded", "timeline", "edges")
 def j13_unexcused_must_have(spark: SparkSession, sf: str) -> DataFrame:
     line, edges = _story(spark, sf)
     must = pl.classify(line, edges, pl.Profile()).where("budget_class = 'MUST_HAVE'").select("event_id")
-    chosen = pl.plan(line, edges, pl.Profile()).where("plan_ordinal % 3 = 0").select("event_id")
-    return must.join(chosen, "event_id", "left_anti").join(line.where("event_id % 2 = 1").select("event_id"), "event_id", "left_anti")
+    chosen = pl.plan(line, edges, pl.Profile(limit_ms=90_000)).where("feasible").select("event_id")
+    return must.join(chosen, "event_id", "left_anti").join(line.where("excluded").select("event_id"), "event_id", "left_anti")
 
 
 @query("g9_bridge_endpoints", f"SELECT from_event_id AS event_id FROM edges WHERE relation IN {_BRIDGE} UNION SELECT to_event_id FROM edges WHERE relation IN {_BRIDGE}", "timeline", "edges")
@@ -134,11 +134,11 @@ def p1_durations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PROBES = f""",
-probes AS (SELECT event_id AS probe_id, user_id, end_ms - {PROBE_MS} AS start_ms, end_ms + {PROBE_MS} AS end_ms FROM timeline WHERE ordinal % 5 = 0)"""
+probes AS (SELECT event_id AS probe_id, user_id, end_ms - {PROBE_MS} AS start_ms, end_ms + {PROBE_MS} AS end_ms FROM timeline)"""
 
 
 def _probes(line: DataFrame) -> DataFrame:
-    return line.where("ordinal % 5 = 0").select(F.col("event_id").alias("probe_id"), "user_id", (F.col("end_ms") - PROBE_MS).alias("start_ms"), (F.col("end_ms") + PROBE_MS).alias("end_ms"))
+    return line.select(F.col("event_id").alias("probe_id"), "user_id", (F.col("end_ms") - PROBE_MS).alias("start_ms"), (F.col("end_ms") + PROBE_MS).alias("end_ms"))
 
 
 @query("j2_overlap_join", _PROBES + "SELECT probe_id, event_id FROM probes p JOIN timeline t ON p.user_id = t.user_id AND p.start_ms < t.end_ms AND t.start_ms < p.end_ms", "timeline")
@@ -156,12 +156,12 @@ def p2_contained_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("j6_keyframes_inside", """,
-k AS (SELECT user_id, event_id AS key_id, start_ms + (end_ms - start_ms) // 2 AS t FROM timeline WHERE event_id % 3 = 0)
+k AS (SELECT user_id, event_id AS key_id, start_ms + (end_ms - start_ms) // 2 AS t FROM timeline)
 SELECT key_id, event_id FROM k JOIN timeline t USING (user_id) WHERE k.t >= start_ms AND k.t < end_ms""", "timeline")
 def j6_keyframes_inside(spark: SparkSession, sf: str) -> DataFrame:
     line = ad.timeline(spark, sf)
     at = F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / 2)
-    points = line.where("event_id % 3 = 0").select("user_id", F.col("event_id").alias("key_id"), at.alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 1)
+    points = line.select("user_id", F.col("event_id").alias("key_id"), at.alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 1)
     return iv.overlap_join(points, line.select("user_id", "event_id", "start_ms", "end_ms"), "user_id", WIDTH_MS).select("l.key_id", "r.event_id")
 
 
@@ -248,10 +248,11 @@ def w2_overlap_violations(spark: SparkSession, sf: str) -> DataFrame:
     return moved.withColumn("p", F.lag("end_ms").over(W.partitionBy("user_id").orderBy("start_ms", "ordinal"))).where("start_ms < p").select("user_id", "ordinal")
 
 
-@query("w3_ordinal_violations", ", o AS (SELECT user_id, ordinal, row_number() OVER (PARTITION BY user_id ORDER BY ordinal) - 1 AS want FROM timeline WHERE event_id % 11 <> 0) SELECT user_id, ordinal, want FROM o WHERE ordinal <> want", "timeline")
+@query("w3_ordinal_violations", ", n AS (SELECT user_id, event_id, ordinal + CASE WHEN event_id % 11 = 0 THEN 3 ELSE 0 END AS ordinal FROM timeline), o AS (SELECT user_id, event_id, ordinal, row_number() OVER (PARTITION BY user_id ORDER BY ordinal, event_id) - 1 AS want FROM n) SELECT user_id, event_id, ordinal, want FROM o WHERE ordinal <> want", "timeline")
 def w3_ordinal_violations(spark: SparkSession, sf: str) -> DataFrame:
-    want = (F.row_number().over(W.partitionBy("user_id").orderBy("ordinal")) - 1).cast("long")
-    return ad.timeline(spark, sf).where("event_id % 11 <> 0").select("user_id", "ordinal", want.alias("want")).where("ordinal <> want")
+    numbered = ad.timeline(spark, sf).withColumn("ordinal", F.col("ordinal") + F.when(F.col("event_id") % 11 == 0, 3).otherwise(0))
+    want = (F.row_number().over(W.partitionBy("user_id").orderBy("ordinal", "event_id")) - 1).cast("long")
+    return numbered.select("user_id", "event_id", "ordinal", want.alias("want")).where("ordinal <> want")
 
 
 @query("w4_adjacent_flags", "SELECT event_id, coalesce(lag(excluded) OVER w, false) AS after_excluded, start_ms - lag(end_ms) OVER w AS gap_ms FROM timeline WINDOW w AS (PARTITION BY user_id ORDER BY start_ms, ordinal)", "timeline")
@@ -283,12 +284,12 @@ def w9_tumbling_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("w10_even_frames", """,
-d AS (SELECT event_id, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e FROM timeline WHERE event_id % 4 = 0),
+d AS (SELECT event_id, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e FROM timeline),
 m AS (SELECT *, s + least(least(1.0::DOUBLE, greatest(0.05::DOUBLE, (e - s) * 0.03::DOUBLE)), (e - s) / 3) AS lo FROM d),
 h AS (SELECT *, greatest(lo, e - least(least(1.0::DOUBLE, greatest(0.25::DOUBLE, (e - s) * 0.03::DOUBLE)), (e - s) / 3)) AS hi FROM m)
 SELECT event_id, i::INTEGER AS frame, round(lo + (hi - lo) * i / 7, 3) AS t FROM h, unnest(range(0, 8)) t(i)""", "timeline")
 def w10_even_frames(spark: SparkSession, sf: str) -> DataFrame:
-    d = ad.timeline(spark, sf).where("event_id % 4 = 0").select("event_id", (F.col("start_ms") / F.lit(1000.0)).alias("s"), (F.col("end_ms") / F.lit(1000.0)).alias("e"))
+    d = ad.timeline(spark, sf).select("event_id", (F.col("start_ms") / F.lit(1000.0)).alias("s"), (F.col("end_ms") / F.lit(1000.0)).alias("e"))
     length = F.col("e") - F.col("s")
     margin = lambda least: F.least(F.least(F.lit(1.0), F.greatest(F.lit(least), length * 0.03)), length / 3)
     d = d.withColumn("lo", F.col("s") + margin(0.05)).withColumn("hi", F.greatest("lo", F.col("e") - margin(0.25)))
@@ -296,11 +297,12 @@ def w10_even_frames(spark: SparkSession, sf: str) -> DataFrame:
     return framed.select("event_id", "frame", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frame") / 7, 3).alias("t"))
 
 
-@query("j11_dangling_edges", "SELECT from_event_id, to_event_id FROM edges WHERE to_event_id NOT IN (SELECT event_id FROM timeline WHERE event_id % 13 <> 0)", "timeline", "edges")
+@query("j11_dangling_edges", ", n AS (SELECT from_event_id, to_event_id + CASE WHEN to_event_id % 13 = 0 THEN 1000000000 ELSE 0 END AS to_event_id FROM edges) SELECT * FROM n WHERE to_event_id NOT IN (SELECT event_id FROM timeline)", "timeline", "edges")
 def j11_dangling_edges(spark: SparkSession, sf: str) -> DataFrame:
     line, edges = _story(spark, sf)
-    known = line.where("event_id % 13 <> 0").select(F.col("event_id").alias("to_event_id"), "user_id")
-    return edges.join(known, ["user_id", "to_event_id"], "left_anti").select("from_event_id", "to_event_id")
+    broken = edges.withColumn("to_event_id", F.col("to_event_id") + F.when(F.col("to_event_id") % 13 == 0, 1_000_000_000).otherwise(0))
+    known = line.select(F.col("event_id").alias("to_event_id"), "user_id")
+    return broken.join(known, ["user_id", "to_event_id"], "left_anti").select("from_event_id", "to_event_id")
 
 
 @query("w14_duplicate_keys", "SELECT user_id, event_type, start_ms // 3600000 AS hour, count(*) AS n FROM timeline GROUP BY 1, 2, 3 HAVING count(*) > 1", "timeline")
