@@ -133,7 +133,7 @@ def u1_merged_cues(spark: SparkSession, sf: str) -> DataFrame:
         said.where("role <> 'user'").select("conv_id", "turn", F.lit(1).alias("track"), half("start_ms"), half("end_ms"))
     )
     order = W.partitionBy("conv_id").orderBy("start_ms", "end_ms", "track", "turn")
-    return both.select("conv_id", "track", "start_ms", "end_ms", F.row_number().over(order).alias("pos"))
+    return both.select("conv_id", "track", "start_ms", "end_ms", F.row_number().over(order).cast("long").alias("pos"))
 
 
 _LABELS = """,
@@ -168,8 +168,8 @@ def c1_characters(spark: SparkSession, sf: str) -> DataFrame:
     """Characters of each conversation: exactly one unknown, the rest numbered by first appearance under the first name seen."""
     names = _labels(spark, sf)
     firsts = names.where("not unknown").groupBy("conv_id", "key").agg(F.min_by(F.trim(F.regexp_replace("name", r"\s+", " ")), "turn").alias("canonical_name"), F.min("turn").alias("first_turn"))
-    known = firsts.select("conv_id", F.dense_rank().over(W.partitionBy("conv_id").orderBy("first_turn", "key")).alias("character_no"), "canonical_name")
-    return names.select("conv_id").distinct().select("conv_id", F.lit(0).alias("character_no"), F.lit("UNKNOWN").alias("canonical_name")).unionByName(known)
+    known = firsts.select("conv_id", F.dense_rank().over(W.partitionBy("conv_id").orderBy("first_turn", "key")).cast("long").alias("character_no"), "canonical_name")
+    return names.select("conv_id").distinct().select("conv_id", F.lit(0).cast("long").alias("character_no"), F.lit("UNKNOWN").alias("canonical_name")).unionByName(known)
 
 
 @query("j8_participant_default", _LABELS + """

@@ -60,7 +60,7 @@ def o4_catalog_order(spark: SparkSession, sf: str) -> DataFrame:
     """The first fifty of the catalog (a top-k report: only those rows are ordered in one place)."""
     keys = [F.col("style") != "STANDARD", F.lower("name"), F.col("engine"), F.col("voice_id")]
     top = ad.voices(spark, sf).orderBy(*keys).limit(50)
-    return top.select("voice_id", F.row_number().over(W.orderBy(*keys)).alias("pos"))
+    return top.select("voice_id", F.row_number().over(W.orderBy(*keys)).cast("long").alias("pos"))
 
 
 @query("g13_engine_counts", "SELECT style, count(*) AS n, count(DISTINCT engine) AS engines, array_to_string(list_sort(list(DISTINCT engine)), ',') AS names FROM voices GROUP BY 1", "voices")
@@ -132,7 +132,7 @@ def m3_proxy_size(spark: SparkSession, sf: str) -> DataFrame:
     """Even proxy dimensions, sides swapped for rotated video, height at most 720."""
     part = ad.table(spark, sf, "part").select("p_partkey", (F.lit(640) + F.col("p_size") * 32).alias("a"), (F.lit(360) + F.col("p_size") * 16).alias("b"), (F.col("p_size") % 2 == 1).alias("turned"))
     sized = part.select("p_partkey", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("w"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("h"))
-    return sized.selectExpr("p_partkey", "greatest(2L, if(h > 720, w * 720 div h, w) div 2 * 2) AS width", "greatest(2L, least(h, 720) div 2 * 2) AS height")
+    return sized.selectExpr("p_partkey", "int(greatest(2L, if(h > 720, w * 720 div h, w) div 2 * 2)) AS width", "int(greatest(2L, least(h, 720) div 2 * 2)) AS height")
 
 
 @query("m4_aspect_ratio", "SELECT p_partkey, ((640 + p_size * 32) // gcd(640 + p_size * 32, 360 + p_size * 10)) || ':' || ((360 + p_size * 10) // gcd(640 + p_size * 32, 360 + p_size * 10)) AS ratio FROM part")

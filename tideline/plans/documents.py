@@ -194,7 +194,7 @@ def g17_mean_log_probability(spark: SparkSession, sf: str) -> DataFrame:
 @query("o5_ranked_voices", "SELECT engine, voice_id, row_number() OVER (PARTITION BY engine ORDER BY size, -price, voice_id) AS place FROM voices QUALIFY place <= 3", "voices")
 def o5_ranked_voices(spark: SparkSession, sf: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("engine").orderBy("size", F.desc("price"), "voice_id"))
-    return ad.voices(spark, sf).withColumn("place", place).where("place <= 3").select("engine", "voice_id", "place")
+    return ad.voices(spark, sf).withColumn("place", place.cast("long")).where("place <= 3").select("engine", "voice_id", "place")
 
 
 @query("o7_first_by_name", "SELECT engine, arg_min(voice_id, (lower(name), voice_id)) AS voice_id FROM voices GROUP BY 1", "voices")
