@@ -166,12 +166,12 @@ def test_html(spark):
         (2, "http://h/2", page("<div>Second page has other text altogether</div><script>var a='<p>no</p>'</script>"), "x"),
         (3, "http://h/3", page("<h1>Third</h1><p>Words of the third page</p><div class='cookie-notice'>We use cookies</div>"), "x"),
         (4, "http://h/4", "<nav>menu</nav><article><header><h1>Title</h1>by me</header><p>Body <b>bold</b>  text<p>Next</p><aside>side</aside><div class='comments'>c</div></article><footer>f</footer>", "x"),
-        (5, None, None, "x"), (6, "u", "", None), (6, "u", "", None), (7, "http://g/1", "plain text, no tags", None), (8, "http://g/2", "<form>in</form><p>kept<!-- gone --></p>", None),
+        (5, None, None, "x"), (6, "u", "", None), (6, "u", "", None), (7, "http://g/1", "plain text, no tags", None), (9, "http://k/1", "<main><p>crumbs</p><article>In the article</article></main>", None), (10, "http://k/2", "<main><p>In main</p></main><p>out</p>", None), (8, "http://g/2", "<form>in</form><p>kept<!-- gone --></p>", None),
     ]
     got = sorted((r.page_id, r.text) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
     assert got == [
         (1, "Unique & first text of the page goes on.\nMore."), (2, "Second page has other text altogether"), (3, "Third\nWords of the third page"), (4, "Title\nBody bold text\nNext"),
-        (5, ""), (6, ""), (6, ""), (7, "plain text, no tags"), (8, "kept"),
+        (5, ""), (6, ""), (6, ""), (7, "plain text, no tags"), (8, "kept"), (9, "In the article"), (10, "In main"),
     ]
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
