@@ -95,8 +95,8 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that exact_groups does not keep, one row per kept doc_id
-    and text; all columns stay."""
+    """docs without the rows whose doc_id exact_groups does not keep; all columns stay, and
+    rows that repeat a kept doc_id stay with it."""
     keep = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
     id_col = options.get("id_col", "doc_id")
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
