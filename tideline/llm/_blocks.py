@@ -33,12 +33,15 @@ BLOCK_SCHEMA = "block long, payload binary, n_bytes long"
 PART_SCHEMA = "bucket int, block long, blob binary"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    head = [len(arrays)]
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays in one compressed string; wider numbers byte by byte (all first bytes, then all
+    second ones ...), so that small numbers and differences cost little."""
+    head, body = [len(arrays)], []
     for a in arrays:
         head += [_KINDS.index(a.dtype.str), a.size]
-    raw = b"".join([np.array(head, "<i8").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+        raw = np.ascontiguousarray(a).view(np.uint8)
+        body.append(raw.reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else raw.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.array(head, "<i8").tobytes(), *body]))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -47,8 +50,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     head = np.frombuffer(raw, "<i8", 2 * n, 8)
     at, out = 8 + 16 * n, []
     for kind, size in head.reshape(n, 2).tolist():
-        out.append(np.frombuffer(raw, _KINDS[kind], size, at))
-        at += out[-1].nbytes
+        width = np.dtype(_KINDS[kind]).itemsize
+        part = np.frombuffer(raw, np.uint8, size * width, at)
+        out.append(np.ascontiguousarray(part.reshape(width, size).T).view(_KINDS[kind]).ravel() if width > 1 else part.view(_KINDS[kind]))
+        at += size * width
     return out
 
 
@@ -61,7 +66,7 @@ def _pack_batches(size: int):
             for a, b in B.pieces(offsets, size):
                 at = offsets[a : b + 1]
                 body = buf[at[0] : at[-1]]
-                blob = pack(body, at - at[0], ids[a:b].astype(np.int64), extra[a:b].astype(np.uint8))
+                blob = pack(body, at - at[0], ids[a:b].astype(np.int64), extra[a:b].astype(np.uint8), level=6)
                 yield pa.record_batch([pa.array([number], pa.int64()), pa.array([blob], pa.binary()), pa.array([len(body)], pa.int64())], names=["block", "payload", "n_bytes"])
                 number += 1
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -31,7 +32,11 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tideline/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing needs any more
+    # Spark drops shuffle files once nothing refers to them, and its listeners refer to the
+    # last query that ended until another one does
+    spark.range(1).collect()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

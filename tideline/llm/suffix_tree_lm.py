@@ -25,10 +25,14 @@ from tideline.llm import _blocks as K
 from tideline.llm import _bytes as B
 from tideline.llm._shared import crc_mod, stage
 
-DEPTH, SEEN, GAIN = 2, 2, 1.0
+DEPTH, SEEN, GAIN = 2, 2, 3.0
+#: Bytes of text in a block.
+BLOCK = 3 << 20
 #: Hashes of the symbols before and after a text.
 START, END = np.uint64(3), np.uint64(5)
 RESULT = "doc_id long, train long, n_tokens long, n_known long, base_score double, score double"
+#: Bits of a context's hash that are sent (with the bucket's, about 46 of them tell contexts apart).
+_HEAD = np.uint64(0xFFFFFFFFFF000000)
 _SHIFT = 24  # a part's bucket: round << 24 | bucket
 
 
@@ -44,6 +48,12 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, first
 
 
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences, the first from 0."""
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
 class Block:
     """What a block knows after the answers of the rounds so far."""
 
@@ -62,7 +72,7 @@ class Block:
         counts = np.bincount(self.word, self.weight, len(self.words)).astype(np.uint64)[self.order]
         words = self.words[self.order]
         runs = K.by_bucket(self.place)
-        return K.parts_table([r[0] for r in runs], block, [K.pack(words[a:b], counts[a:b]) for _, a, b in runs])
+        return K.parts_table([r[0] for r in runs], block, [K.pack(_steps(words[a:b] >> np.uint64(16)), counts[a:b]) for _, a, b in runs])
 
     def take_words(self, answers: dict[int, list[np.ndarray]]) -> None:
         found = [answers[b][0] for b in sorted(answers) if b >> _SHIFT == 0]
@@ -113,15 +123,16 @@ class Block:
     def pair_parts(self, block: int, depth: int) -> pa.Table:
         count = np.bincount(self.kind, self.weight[self.at], len(self.one)).astype(np.uint64)
         context, symbol = self.context[self.at][self.one], self.tok[self.at][self.one]
-        level = np.clip(-10 * np.log(self.p[self.at][self.one]), 0, 255).astype(np.uint8)
+        level = np.clip(-2 * np.log(self.p[self.at][self.one]) + 0.5, 0, 255).astype(np.uint8)
+        symbol = B.mix(symbol, 31)
         blobs, runs = [], K.by_bucket(self.key_bucket)
         for _, a, b in runs:
             head = np.flatnonzero(np.append(True, context[a + 1 : b] != context[a : b - 1]))
             size = np.diff(np.append(head, b - a))
             blobs.append(
                 K.pack(
-                    context[a:b][head], self.split[a:b][head].astype(np.uint32), size.astype(np.uint32),
-                    (B.mix(symbol[a:b], 31) >> np.uint64(32)).astype(np.uint32), count[a:b].astype(np.uint32), level[a:b],
+                    _steps(context[a:b][head] >> np.uint64(24)), self.split[a:b][head].astype(np.uint32), size.astype(np.uint32),
+                    (symbol[a:b] >> np.uint64(48)).astype(np.uint16), (symbol[a:b] >> np.uint64(40)).astype(np.uint8), count[a:b].astype(np.uint32), level[a:b],
                 )
             )
         return K.parts_table([depth << _SHIFT | r[0] for r in runs], block, blobs)
@@ -135,7 +146,7 @@ class Block:
             total = np.repeat(np.concatenate([x[0] for x in mine]), size).astype(float)
             kinds = np.repeat(np.concatenate([x[1] for x in mine]), size).astype(float)
             count = np.concatenate([x[3] for x in mine]).astype(float)
-        hot, found = self.model["hot"].get(depth, (np.zeros(0, np.uint64), np.zeros((0, 2)))), self.context[self.at][self.one]
+        hot, found = self.model["hot"].get(depth, (np.zeros(0, np.uint64), np.zeros((0, 2)))), self.context[self.at][self.one] & _HEAD
         wide = self.split > 1
         if wide.any():
             total[wide] = kinds[wide] = 0
@@ -167,7 +178,9 @@ def _known(arrays: list[np.ndarray], model: dict, answers: dict[int, list[np.nda
 
 
 def _sum_words(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
-    words, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    # 48 bits of the hash and the bucket tell words apart
+    key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    words, where = np.unique(key, return_inverse=True)
     total = np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.uint64)
     cut = np.cumsum([len(p[0]) for p in parts])[:-1]
     own = np.zeros(len(words), np.uint64)
@@ -184,6 +197,7 @@ def _sum_words(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) ->
 
 
 def _test_contexts(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
+    parts = [[np.cumsum(p[0], dtype=np.uint64) << np.uint64(24), *p[1:]] for p in parts]
     context = np.concatenate([p[0] for p in parts])
     split = np.concatenate([p[1] for p in parts])
     size = np.concatenate([p[2] for p in parts])
@@ -191,29 +205,30 @@ def _test_contexts(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]
     wide = np.zeros(len(states), np.int64)
     wide[s_part] = split
     s = np.repeat(s_part, size)
-    x = np.concatenate([p[3] for p in parts])
-    count, level = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
-    pair, one, where = np.unique((s.astype(np.uint64) << np.uint64(32)) | x, return_index=True, return_inverse=True)
+    # 24 bits of a symbol's hash tell the symbols of one context in one bucket apart
+    x = (np.concatenate([p[3] for p in parts]).astype(np.uint64) << np.uint64(8)) | np.concatenate([p[4] for p in parts])
+    count, level = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+    pair, one, where = np.unique((s.astype(np.uint64) << np.uint64(24)) | x, return_index=True, return_inverse=True)
     n_sx = np.bincount(where, count, len(pair))
     state = s[one]
     n_s = np.bincount(state, n_sx, len(states))
     t_s = np.bincount(state, n_sx > 0, len(states))
-    p = np.exp(level[one] / -10.0)
+    p = np.exp(level[one] / -2.0)
     seen = n_sx > 0
     n_all, t_all = (n_s * wide)[state], (t_s * wide)[state]
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = n_sx * np.log((n_sx - 1 + t_all * p) / ((n_all - 1 + t_all) * p))
     gain = np.bincount(state[seen], gain[seen], len(states))
     keep = (n_s >= SEEN) & (gain > GAIN) & (wide == 1)
+    answers = np.where((keep | (wide > 1))[state], n_sx, 0).astype(np.uint32)[where]
     told = np.zeros(len(states), bool)
     out, at, key_at = [], 0, 0
     for part in parts:
         mine, keys = s_part[at : at + len(part[0])], int(part[2].sum())
-        back = where[key_at : key_at + keys]
+        answer = answers[key_at : key_at + keys]
         at, key_at = at + len(part[0]), key_at + keys
         new = mine[(wide[mine] > 1) & ~told[mine]]
         told[new] = True
-        answer = np.where(keep[s[one][back]] | (wide[s[one][back]] > 1), n_sx[back], 0).astype(np.uint32)
         hot = np.concatenate([n_s[new], t_s[new], gain[new]]).astype(np.float64)
         out.append(K.pack((n_s * keep)[mine].astype(np.uint64), (t_s * keep)[mine].astype(np.uint32), part[2], answer, states[new], hot))
     return out
@@ -258,7 +273,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     training rows every token has probability 1 over the one unknown symbol.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.cast("int").alias("mark"))
-    packed = K.blocks(read, F.col("mark"))
+    packed = K.blocks(read, F.col("mark"), BLOCK)
     model = {"buckets": K.bucket_count(packed), "N": 0, "V": 0, "texts": 0, "hot": {}}
     answers = stage(K.answer(K.emit(packed, lambda block, arrays: Block(arrays, model).word_parts(block)), _sum_words), "words")
     model["N"], model["V"] = _corpus_sums(answers)
