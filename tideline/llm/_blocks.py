@@ -10,6 +10,7 @@ in the corpus arrives at its bucket once for each block, not once for each occur
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,16 @@ BLOCK_SCHEMA = "block long, payload binary, n_bytes long"
 PART_SCHEMA = "bucket int, block long, blob binary"
 
 
+@functools.cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@functools.cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays in one compressed string; wider numbers byte by byte (all first bytes, then all
     second ones ...), so that small numbers and differences cost little."""
@@ -41,11 +52,11 @@ def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
         head += [_KINDS.index(a.dtype.str), a.size]
         raw = np.ascontiguousarray(a).view(np.uint8)
         body.append(raw.reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else raw.tobytes())
-    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.array(head, "<i8").tobytes(), *body]))
+    return _compressor(level).compress(b"".join([np.array(head, "<i8").tobytes(), *body]))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _decompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head = np.frombuffer(raw, "<i8", 2 * n, 8)
     at, out = 8 + 16 * n, []

@@ -90,7 +90,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     after = np.ones(n, bool)
     after[: n - 1] = ~solid[1:]
     ends = np.flatnonzero(solid & (after | border[1:])) + 1
-    owner = np.searchsorted(offsets, starts, side="right") - 1
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     return starts, ends, owner
 
 
