@@ -232,3 +232,32 @@ def test_mixing_meets_targets(spark):
     assert abs(total["a"] / (total["a"] + total["b"]) - 0.5) < 0.01
     assert len(mixing.mix(docs(spark), labels.where("false"), {"a": 1.0}).collect()) == docs(spark).count()
     assert mixing.mix(none(spark), labels, {"a": 1.0}).collect() == []
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_near_dedup_heads_unlike_a_pair(spark, monkeypatch, block):
+    """In every bucket that two near copies share, the least set is a short text unlike both."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "CROSS", block)
+    first = [f"w{i}" for i in range(400)]
+    second = [*first[:200], "changed", *first[201:]]
+
+    def signed(texts):
+        raw = [t.encode() for t in texts]
+        elements, counts = near_dedup.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 2)
+        return near_dedup.super_minhash(elements, counts)
+
+    a, b = signed([" ".join(first), " ".join(second)])
+    alone = signed([f"{x} {y}" for x, y in zip(first, first[1:], strict=False)])
+    heads = []
+    for low in range(0, near_dedup.SLOTS, near_dedup.ROWS):
+        slots = slice(low, low + near_dedup.ROWS)
+        if (a[slots] == b[slots]).all():
+            pairs = sorted({int((alone[:, s] == a[s]).argmax()) for s in range(low, low + near_dedup.ROWS)})
+            head = next(t for k in range(100) if (signed([t := " ".join(f"{first[p]} {first[p + 1]} z{low}k{k}" for p in pairs)])[0][slots] == a[slots]).all())
+            heads.append(head)
+    assert len(heads) > 5
+    rows = spark.createDataFrame(list(enumerate([*heads, " ".join(first), " ".join(second)])), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(rows, shingle=2, percent=80).collect()}
+    assert got == {i: min(i, len(heads)) for i in range(len(heads) + 2)}

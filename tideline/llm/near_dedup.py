@@ -8,7 +8,9 @@ that level or more, which for long documents stops after two or three levels.
 
 Equal sets form classes first; only one representative of a class is banded. In a bucket
 each representative is paired with the least one. Pairs whose signatures agree in a third
-of their slots make up families: whatever may be linked lies in one family. A family is
+of their slots make up families. In buckets that then still hold several families, members
+of different families are held against each other, in blocks, and families with a pair that
+may be similar enough become one: whatever may be linked lies in one family. A family is
 dealt out in blocks, and each pair of blocks meets in one task with full sets, where
 similar pairs are confirmed exactly; union-find skips pairs that are connected already, so
 a family of n near copies gives about n links, never n^2 rows. A last union-find joins the
@@ -35,6 +37,8 @@ BANDS = SLOTS // ROWS
 SLACK = 0.15
 #: Share of the slots that makes a pair related, and members of a family's block.
 RELATED, MEMBERS = 0.33, 256
+#: Members of a bucket's block, and rows that a task holds against each other at once.
+CROSS, POOL = 2048, 16384
 PIECE = 1 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -166,6 +170,54 @@ def _related_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.record_batch([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
 
+def _across(percent: int):
+    """Pairs of different families in one bucket whose sizes and estimates allow a link: for
+    the families of a pool of buckets, as few as join what such pairs join."""
+    need = (percent / 100 - SLACK) * SLOTS
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys, size = [table[c].to_numpy() for c in ("band", "i", "j")], table["n_shingles"].to_numpy()
+        order = np.lexsort((size, *keys[::-1]))
+        keys, size = [k[order] for k in keys], size[order]
+        group = np.cumsum(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))) - 1
+        rep, block, within = table["rep"].to_numpy()[order], table["block"].to_numpy()[order], keys[1] == keys[2]
+        sig = np.frombuffer(B.text_buffer(table["sig"])[0], np.uint8).reshape(-1, SLOTS)[order]
+        _, family = np.unique(table["family"].to_numpy()[order], return_inverse=True)
+        root = np.arange(family.max() + 1)
+        u, v = [], []
+
+        def top(f: int) -> int:
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        x, step = np.arange(len(rep)), 0
+        while True:
+            step += 1
+            x = x[x + step < len(rep)]
+            # members stand by size: once a later one is too large, all after it are
+            x = x[(group[x] == group[x + step]) & (100 * size[x] >= percent * size[x + step])]
+            if not len(x):
+                break
+            y = x + step
+            open_ = (root[family[x]] != root[family[y]]) & (within[x] | (block[x] != block[y]))
+            a, b = x[open_], y[open_]
+            near = (sig[a] == sig[b]).sum(axis=1) >= need
+            for p, q in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                f, g = top(family[p]), top(family[q])
+                if f != g:
+                    root[max(f, g)] = min(f, g)
+                    u.append(rep[p])
+                    v.append(rep[q])
+            if near.any():
+                while (root[root] != root).any():
+                    root = root[root]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _linked(percent: int):
     """Links between the members of two blocks (or within one) that connect all that is similar enough."""
     need = (percent / 100 - SLACK) * SLOTS
@@ -227,7 +279,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = reps.select("rep", "sig").dropDuplicates(["rep"])
     pairs = pairs.join(sig.withColumnsRenamed({"rep": "u", "sig": "sig_u"}), "u").join(sig.withColumnsRenamed({"rep": "v", "sig": "sig_v"}), "v")
     related = stage(pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(_related_batches, "u long, v long"), "related")
-    families = components(related)
+    families = stage(components(related), "related_families")
+    # buckets that still hold several families: the star compared their members with the head alone
+    held = slots.join(heads.select("band", "n"), "band").join(families.withColumnRenamed("node", "rep"), "rep", "left")
+    held = stage(held.select("band", "n", "rep", "n_shingles", F.coalesce("component", "rep").alias("family")), "held")
+    several = held.groupBy("band").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("band")
+    open_ = held.join(several, "band", "left_semi").withColumn("blocks", F.ceil(F.col("n") / CROSS).cast("int"))
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    pools = max(1, -(-open_.count() // POOL))
+    open_ = open_.join(reps.select("rep", "n_shingles", "sig"), ["rep", "n_shingles"]).withColumn("pool", F.pmod(F.xxhash64("band", "i", "j"), F.lit(pools)))
+    open_ = open_.select("pool", "band", "i", "j", "block", "rep", "n_shingles", "family", "sig")
+    more = stage(open_.groupBy("pool").applyInArrow(_across(percent), "u long, v long"), "across")
+    if not more.isEmpty():
+        families = components(families.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     count = families.groupBy("component").count()
     families = families.join(count, "component").select("node", F.col("component").alias("family"), F.ceil(F.col("count") / MEMBERS).cast("int").alias("blocks"))
     families = stage(families, "families")
