@@ -261,3 +261,22 @@ def test_near_dedup_heads_unlike_a_pair(spark, monkeypatch, block):
     rows = spark.createDataFrame(list(enumerate([*heads, " ".join(first), " ".join(second)])), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(rows, shingle=2, percent=80).collect()}
     assert got == {i: min(i, len(heads)) for i in range(len(heads) + 2)}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>t</title><style>s{}</style><body><article><p>The text</p></article>",
+        "<html><head><meta charset=x><title>t</title><article><p>The text</p></article>",
+        "<head class='notice'><title>t</title><p>The text</p>",
+        "<svg viewBox='0 0 1 1' /><p>The text</p>",
+        "<article><math/><p>The text</p></article><svg><title>no</title></svg>",
+        "<p><svg-icon name=x></svg-icon>The text</p>",
+        "<article><select><p>The text</p></article>",
+        "<iframe src=x><p>The<textarea> text</p>",
+        "<p>The<script>var a = '<p>no</p>'</script > text</p>",
+        "<![CDATA[ ><p>The text</p>",
+    ],
+)
+def test_html_raw_elements_take_no_more_than_their_own(page):
+    assert [t for t, _, d in html_extract.blocks(page) if not d] == ["The text"]

@@ -34,7 +34,7 @@ RUN, PAGES, COVERED = 6, 3, 0.5
 SHARD = 2000
 
 # Tags by what they do.
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|canvas|object|select|title|head"
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas", "object", "select", "title"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "audio", "video"}
 #: Containers, and what a closer one adds: an article counts before the main part around it.
 CONTAINERS = {"article": 2, "main": 1}
@@ -55,10 +55,10 @@ NAMES = {
 }
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 
@@ -84,12 +84,16 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     """(text, level, marked as boilerplate) of the page's blocks with text, in order; level: 2
     inside an article, 1 inside the main part, else 0.
 
-    A head that is cut off or a raw element that never ends takes the rest of the page.
+    The tags of head count for nothing (what it may hold is raw or without text), so it may
+    end anywhere. A raw element goes with what it holds; of one that never ends, and of
+    svg and math that close themselves, only the tag. A comment that never ends takes the
+    rest of the page, as in browsers.
     """
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     state = [0, 0]  # open containers (an article adds 2^16), open boilerplate elements
     stack: list[tuple[str, int, int]] = []
+    endless: set[str] = set()  # raw tags without an end tag from here on
 
     def close() -> None:
         if parts:
@@ -99,21 +103,30 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
             parts.clear()
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
-            if m[1]:
-                parts.append(" ")
             continue
         tag = tag.lower()
+        if tag == "head":
+            continue
+        if tag in RAW:
+            parts.append(" ")
+            if not m[1] and tag not in endless and not (tag in ("svg", "math") and m[3].rstrip().endswith("/")):
+                end = _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag == "br":
             parts.append(" ")
         if tag in BREAKING:
             close()
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag in BREAKING or i == len(stack) - 1 or not any(s[0] in BREAKING for s in stack[i:]):
@@ -122,7 +135,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                             state[1] -= d
                         del stack[i:]
                     break
-        elif tag not in VOID and not m[4].rstrip().endswith("/"):
+        elif tag not in VOID and not m[3].rstrip().endswith("/"):
             if tag == "p" or tag == "li":  # these end the same element before them
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
@@ -134,8 +147,8 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                     if stack[i][0] in BREAKING:
                         break
             heading = tag in HEADINGS and state[0] > 0 and any(s[0] == "header" for s in stack) and not any(s[2] for s in stack if s[0] != "header")
-            container = {0: 0, 1: 1, 2: 1 << 16}[CONTAINERS.get(tag, 0) * (not _marked(m[4]))]
-            drop = int(tag in DROPPED or tag not in ("body", "html") and _marked(m[4]))
+            container = {0: 0, 1: 1, 2: 1 << 16}[CONTAINERS.get(tag, 0) * (not _marked(m[3]))]
+            drop = int(tag in DROPPED or tag not in ("body", "html") and _marked(m[3]))
             if heading:  # an article's own title may stand in its header
                 drop = -sum(s[2] for s in stack)
             stack.append((tag, container, drop))
