@@ -280,3 +280,14 @@ def test_near_dedup_heads_unlike_a_pair(spark, monkeypatch, block):
 )
 def test_html_raw_elements_take_no_more_than_their_own(page):
     assert [t for t, _, d in html_extract.blocks(page) if not d] == ["The text"]
+
+
+@pytest.mark.parametrize("shard", [2000, 4])
+def test_html_runs_count_over_all_shards_of_a_host(spark, monkeypatch, shard):
+    monkeypatch.setattr(html_extract, "SHARD", shard)
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(9))
+    rare, twice = "this notice stands on just three of the pages", "these words stand on only two of the pages"
+    rows = [(i, f"http://h/{i}", f"<div>{own(i)}</div>" + f"<div>{rare}</div>" * (i in (3, 17, 31)) + f"<div>{twice}</div>" * (i in (5, 22))) for i in range(40)]
+    rows.append((99, "http://other/1", f"<div>{twice}</div>"))
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own(i) + ("\n" + twice) * (i in (5, 22)) for i in range(40)} | {99: twice}

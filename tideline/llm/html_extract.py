@@ -11,9 +11,10 @@ host: the token streams of the host's pages outside containers are laid end to e
 suffixes are sorted by prefix doubling, and tokens of a run that also stands on enough
 distinct pages are boilerplate. Blocks mostly covered by such runs go, unique runs stay.
 
-Hosts of more pages than ``SHARD`` are dealt out by a hash of the page in shards of about
-that size, each with a suffix array of its own; what is on many pages of a host is on many
-pages of each shard.
+Hosts of more than ``SHARD`` pages or ``TOKENS`` tokens are dealt out by a hash of the page in
+shards of about that size, each with a suffix array of its own. The shards send hashes (64
+bits) of their distinct runs, with the pages that each is on, to buckets that add them up
+and answer, so that a run counts over the whole host whatever the shards.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import _blocks as K
+from tideline.llm import _bytes as B
 from tideline.llm._shared import fits_broadcast, stage
 
 #: Tokens of a repeated run, distinct pages it must be on, share of a block that it must cover.
 RUN, PAGES, COVERED = 6, 3, 0.5
-SHARD = 2000
+SHARD, TOKENS = 2000, 1 << 20
 
 # Tags by what they do.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas", "object", "select", "title"}
@@ -160,61 +164,88 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+class Runs:
+    """The runs of RUN tokens of pages, by a suffix array; n: on how many pages each distinct one is."""
+
+    def __init__(self, pages: list[list[str]]):
+        self.size = np.array([len(p) for p in pages], np.int64)
+        total = int(self.size.sum())
+        self.codes: dict[str, int] = {}
+        self.word = np.fromiter((self.codes.setdefault(t, len(self.codes)) for p in pages for t in p), np.int64, total)
+        owner = np.repeat(np.arange(len(pages)), self.size)
+        rank, have = self.word + 1, 1
+        while have < RUN:  # prefix doubling; 0 stands for what is beyond the end of the page
+            step = min(have, RUN - have)
+            then = np.zeros(total, np.int64)
+            then[: total - step] = rank[step:] * (owner[step:] == owner[: total - step])
+            rank = np.unique((rank << 32) | then, return_inverse=True)[1] + 1
+            have += step
+        self.starts = np.flatnonzero(np.arange(total) + RUN <= np.cumsum(self.size)[owner])
+        _, self.first, self.run = np.unique(rank[self.starts], return_index=True, return_inverse=True)
+        on = owner[self.starts]
+        order = np.lexsort((on, self.run))
+        r, o = self.run[order], on[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1])
+        self.n = np.bincount(r, new, len(self.first)).astype(np.int64)
+
+    def keys(self, host: str) -> np.ndarray:
+        """Hashes of the distinct runs on this host."""
+        words = pd.util.hash_array(np.array(list(self.codes), dtype=object))
+        acc = np.repeat(pd.util.hash_array(np.array([host], dtype=object)), len(self.first))
+        at = self.starts[self.first]
+        for j in range(RUN):
+            acc = B.mix(acc) + words[self.word[at + j]]
+        return B.mix(acc)
+
+    def covered(self, often: np.ndarray) -> list[np.ndarray]:
+        """For each page's tokens, whether a run that is often covers it."""
+        if not len(self.size):
+            return []
+        starts = self.starts[often[self.run]]
+        change = np.zeros(len(self.word) + 1, np.int64)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + RUN, -1)
+        return np.split(np.cumsum(change)[:-1] > 0, np.cumsum(self.size)[:-1])
+
+
 def repeated_tokens(pages: list[list[str]]) -> list[np.ndarray]:
     """For each page's tokens, whether a run of RUN tokens that covers it stands on PAGES distinct pages or more."""
-    size = [len(p) for p in pages]
-    total = sum(size)
-    if not total:
-        return [np.zeros(n, bool) for n in size]
-    _, word = np.unique(np.array([t for p in pages for t in p], dtype=object).astype(str), return_inverse=True)
-    owner = np.repeat(np.arange(len(pages)), size)
-    rank, have = word.astype(np.int64) + 1, 1
-    while have < RUN:  # prefix doubling; 0 stands for what is beyond the end of the page
-        step = min(have, RUN - have)
-        then = np.zeros(total, np.int64)
-        then[: total - step] = rank[step:] * (owner[step:] == owner[: total - step])
-        rank = np.unique((rank << 32) | then, return_inverse=True)[1] + 1
-        have += step
-    order = np.lexsort((owner, rank))
-    r, o = rank[order], owner[order]
-    head = np.append(True, r[1:] != r[:-1])
-    page_new = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1]))
-    group = np.cumsum(head) - 1
-    often = np.bincount(group, page_new)[group] >= PAGES
-    end = np.cumsum(size)[owner]
-    whole = np.arange(total) + RUN <= end
-    starts = order[often]
-    starts = starts[whole[starts]]
-    change = np.zeros(total + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + RUN, -1)
-    return np.split(np.cumsum(change)[:total] > 0, np.cumsum(size)[:-1])
-
-
-PARSED = "page_id long, url string, host string, contained boolean, inside array<string>, outside array<string>, marked array<boolean>"
+    runs = Runs(pages)
+    return runs.covered(runs.n >= PAGES)
+
+
+PARSED = "page_id long, url string, host string, contained boolean, n_tokens long, inside array<string>, outside array<string>, marked array<boolean>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            columns: dict[str, list] = {"contained": [], "inside": [], "outside": [], "marked": []}
+            columns: dict[str, list] = {"contained": [], "n_tokens": [], "inside": [], "outside": [], "marked": []}
             for page in part.column("html").to_pylist():
                 found = blocks(page)
                 level = max((c for _, c, d in found if not d), default=0)
                 columns["contained"].append(level > 0)
+                columns["n_tokens"].append(sum(t.count(" ") + 1 for t, _, _ in found))
                 columns["inside"].append([t for t, c, d in found if level and c >= level and not d])
                 columns["outside"].append([t for t, c, _ in found if not level or c < level])
                 columns["marked"].append([d for _, c, d in found if not level or c < level])
-            kinds = {"contained": pa.bool_(), "inside": pa.list_(pa.string()), "outside": pa.list_(pa.string()), "marked": pa.list_(pa.bool_())}
+            kinds = {"contained": pa.bool_(), "n_tokens": pa.int64(), "inside": pa.list_(pa.string()), "outside": pa.list_(pa.string()), "marked": pa.list_(pa.bool_())}
             yield pa.record_batch([*(part.column(c) for c in ("page_id", "url", "host")), *(pa.array(v, kinds[c]) for c, v in columns.items())], names=["page_id", "url", "host", *columns])
 
 
-def _unique_runs(table: pa.Table) -> pa.Table:
-    """Text of the pages without a container, from their blocks outside one, held against all pages of the shard."""
-    table = table.sort_by("page_id")
+TEXTS = "page_id long, url string, text string"
+
+
+def _runs_of(table: pa.Table) -> Runs:
+    return Runs([[t for b in page for t in b.split()] for page in table["outside"].to_pylist()])
+
+
+def _unique_runs(table: pa.Table, runs: Runs, often: np.ndarray) -> pa.Table:
+    """Text of the pages without a container, from their blocks outside one, without the runs that are often on the host."""
     outside, marked = table["outside"].to_pylist(), table["marked"].to_pylist()
-    covered = repeated_tokens([[t for b in page for t in b.split()] for page in outside])
+    covered = runs.covered(often)
     ids, urls, texts = [], [], []
     for i, (alone, page, marks) in enumerate(zip(table["contained"].to_pylist(), outside, marked, strict=True)):
         if alone:
@@ -232,6 +263,48 @@ def _unique_runs(table: pa.Table) -> pa.Table:
     return pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string())})
 
 
+def _whole_host(table: pa.Table) -> pa.Table:
+    runs = _runs_of(table)
+    return _unique_runs(table, runs, runs.n >= PAGES)
+
+
+def _dealt_keys(table: pa.Table, runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the shard's runs, their buckets, and the order in which they are sent."""
+    key = runs.keys(table["host"][0].as_py())
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    return key, bucket, np.lexsort((key, bucket))
+
+
+def _ask(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        runs = _runs_of(table)
+        key, bucket, order = _dealt_keys(table, runs, buckets)
+        key, n, parts = key[order], runs.n[order].astype(np.uint32), K.by_bucket(bucket[order])
+        return K.parts_table([p[0] for p in parts], table["block"][0].as_py(), [K.pack(key[a:b], n[a:b]) for _, a, b in parts])
+
+    return run
+
+
+def _often(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
+    """Whether the pages of all shards together have each run often; a page is in one shard alone."""
+    where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)[1]
+    often = (np.bincount(where, np.concatenate([p[1] for p in parts])) >= PAGES)[where]
+    return [K.pack(x) for x in np.split(often, np.cumsum([len(p[0]) for p in parts])[:-1])]
+
+
+def _told(buckets: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        runs = _runs_of(table)
+        order = _dealt_keys(table, runs, buckets)[2]
+        found = dict(zip(answers["bucket"].to_pylist(), answers["blob"], strict=True))
+        often = np.zeros(len(order), bool)
+        if found:
+            often[order] = np.concatenate([K.unpack(found[b].as_buffer())[0] for b in sorted(found)])
+        return _unique_runs(table, runs, often)
+
+    return run
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text (blocks in page order, one line each; empty if none).
 
@@ -242,13 +315,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     parsed = stage(read.mapInArrow(_parse, PARSED), "pages")
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.bool_and("contained").alias("plain"))
+    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.bool_and("contained").alias("plain"))
     # hosts where every page has a container need no suffix array
-    sizes = stage(sizes.where("not plain").select("host", F.ceil(F.col("n") / SHARD).cast("int").alias("shards")), "hosts")
+    sizes = sizes.where("not plain").select("host", "tokens", F.ceil(F.greatest(F.col("n") / SHARD, F.col("tokens") / TOKENS, F.lit(1))).cast("int").alias("shards"))
+    sizes = stage(sizes, "hosts")
+    split = sizes.where("shards > 1").agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-split // TOKENS))
     sizes = F.broadcast(sizes) if fits_broadcast(sizes.count(), 64) else sizes
-    open_hosts = parsed.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    open_hosts = parsed.join(sizes.select("host", "shards"), "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
     # dealt anew by host and shard: a host's pages may all be in one task after the join
-    dealt = open_hosts.select("page_id", "url", "contained", "outside", "marked", "host", "shard").repartition("host", "shard")
-    guessed = dealt.groupBy("host", "shard").applyInArrow(_unique_runs, "page_id long, url string, text string")
+    dealt = open_hosts.select("page_id", "url", "contained", "outside", "marked", "host", "shard", "shards", F.xxhash64("host", "shard").alias("block"))
+    guessed = dealt.where("shards = 1").repartition("host", "shard").groupBy("host", "shard").applyInArrow(_whole_host, TEXTS)
+    if split:
+        shards = dealt.where("shards > 1").repartition("block").groupBy("block")
+        answers = stage(K.answer(shards.applyInArrow(_ask(buckets), K.PART_SCHEMA), _often), "runs")
+        guessed = guessed.unionByName(shards.cogroup(answers.groupBy("block")).applyInArrow(_told(buckets), TEXTS))
     known = parsed.where("contained").select("page_id", "url", F.concat_ws("\n", "inside").alias("text"))
     return known.unionByName(guessed)
