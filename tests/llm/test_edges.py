@@ -291,3 +291,19 @@ def test_html_runs_count_over_all_shards_of_a_host(spark, monkeypatch, shard):
     rows.append((99, "http://other/1", f"<div>{twice}</div>"))
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: own(i) + ("\n" + twice) * (i in (5, 22)) for i in range(40)} | {99: twice}
+
+
+@pytest.mark.parametrize("shard", [2000, 3])
+def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, monkeypatch, shard):
+    monkeypatch.setattr(html_extract, "SHARD", shard)
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(12))
+    line, story = "Read more such stories with our daily letter", " ".join(f"story{j}" for j in range(30))
+    page = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    rows = [(i, f"http://h/{i}", page(own(i), line)) for i in range(8)]
+    rows += [(20 + i, f"http://h/m{i}", page(story, "the end of it")) for i in range(5)]  # mirrors
+    rows += [(30 + i, f"http://h/n{i}", page(f"near{i} " + own(50), own(51))) for i in range(5)]  # mirrors but for a word
+    rows += [(40 + i, f"http://h/l{i}", f"<aside>{own(1)}</aside>" + page(own(60 + i))) for i in range(4)]  # named outside of other articles
+    rows += [(60, "http://h/p", f"<p>{line}</p>")]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: own(i) for i in range(8)} | {20 + i: story + "\nthe end of it" for i in range(5)} | {30 + i: f"near{i} {own(50)}\n{own(51)}" for i in range(5)}
+    assert got == want | {40 + i: own(60 + i) for i in range(4)} | {60: line}

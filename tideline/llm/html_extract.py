@@ -11,6 +11,11 @@ host: the token streams of the host's pages outside containers are laid end to e
 suffixes are sorted by prefix doubling, and tokens of a run that also stands on enough
 distinct pages are boilerplate. Blocks mostly covered by such runs go, unique runs stay.
 
+Containers are held against each other in the same way, apart from what is outside them
+(there, lists of titles repeat what is an article's own). Pages of one host with the same
+container count as one, and one that repeated runs cover by ``MIRROR`` is a copy of others
+with a few words changed: mirrored articles stay.
+
 Hosts of more than ``SHARD`` pages or ``TOKENS`` tokens are dealt out by a hash of the page in
 shards of about that size, each with a suffix array of its own. The shards send hashes (64
 bits) of their distinct runs, with the pages that each is on, to buckets that add them up
@@ -19,6 +24,7 @@ and answer, so that a run counts over the whole host whatever the shards.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,8 @@ from tideline.llm._shared import fits_broadcast, stage
 
 #: Tokens of a repeated run, distinct pages it must be on, share of a block that it must cover.
 RUN, PAGES, COVERED = 6, 3, 0.5
+#: Share of a container in repeated runs from which on it is a copy.
+MIRROR = 0.8
 SHARD, TOKENS = 2000, 1 << 20
 
 # Tags by what they do.
@@ -165,9 +174,9 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
 
 
 class Runs:
-    """The runs of RUN tokens of pages, by a suffix array; n: on how many pages each distinct one is."""
+    """The runs of RUN tokens of pages, by a suffix array; n: on how many (counted) pages each distinct one is."""
 
-    def __init__(self, pages: list[list[str]]):
+    def __init__(self, pages: list[list[str]], counted: np.ndarray | None = None):
         self.size = np.array([len(p) for p in pages], np.int64)
         total = int(self.size.sum())
         self.codes: dict[str, int] = {}
@@ -187,6 +196,8 @@ class Runs:
         r, o = self.run[order], on[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1])
+        if counted is not None:
+            new &= counted[o]
         self.n = np.bincount(r, new, len(self.first)).astype(np.int64)
 
     def keys(self, host: str) -> np.ndarray:
@@ -215,10 +226,11 @@ def repeated_tokens(pages: list[list[str]]) -> list[np.ndarray]:
     return runs.covered(runs.n >= PAGES)
 
 
-PARSED = "page_id long, url string, host string, contained boolean, n_tokens long, inside array<string>, outside array<string>, marked array<boolean>"
+PARSED = "uid long, digest binary, page_id long, url string, host string, contained boolean, n_tokens long, inside array<string>, outside array<string>, marked array<boolean>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    uid = TaskContext.get().partitionId() << 33
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
@@ -232,45 +244,55 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns["outside"].append([t for t, c, _ in found if not level or c < level])
                 columns["marked"].append([d for _, c, d in found if not level or c < level])
             kinds = {"contained": pa.bool_(), "n_tokens": pa.int64(), "inside": pa.list_(pa.string()), "outside": pa.list_(pa.string()), "marked": pa.list_(pa.bool_())}
-            yield pa.record_batch([*(part.column(c) for c in ("page_id", "url", "host")), *(pa.array(v, kinds[c]) for c, v in columns.items())], names=["page_id", "url", "host", *columns])
+            digests = [hashlib.blake2b("\n".join(x).encode(), digest_size=16).digest() if c else None for x, c in zip(columns["inside"], columns["contained"], strict=True)]
+            own = [pa.array(np.arange(uid, uid + part.num_rows)), pa.array(digests, pa.binary())]
+            uid += part.num_rows
+            yield pa.record_batch([*own, *(part.column(c) for c in ("page_id", "url", "host")), *(pa.array(v, kinds[c]) for c, v in columns.items())], names=["uid", "digest", "page_id", "url", "host", *columns])
 
 
 TEXTS = "page_id long, url string, text string"
 
 
-def _runs_of(table: pa.Table) -> Runs:
-    return Runs([[t for b in page for t in b.split()] for page in table["outside"].to_pylist()])
+def _tokens(pages: list[list[str]]) -> list[list[str]]:
+    return [[t for b in page for t in b.split()] for page in pages]
+
+
+def _runs_of(table: pa.Table) -> tuple[Runs, Runs]:
+    """Runs outside containers and inside them; of equal containers one is counted."""
+    counted = ~table["copy"].to_numpy(zero_copy_only=False).astype(bool)
+    return Runs(_tokens(table["outside"].to_pylist())), Runs(_tokens(table["inside"].to_pylist()), counted)
 
 
-def _unique_runs(table: pa.Table, runs: Runs, often: np.ndarray) -> pa.Table:
-    """Text of the pages without a container, from their blocks outside one, without the runs that are often on the host."""
-    outside, marked = table["outside"].to_pylist(), table["marked"].to_pylist()
-    covered = runs.covered(often)
-    ids, urls, texts = [], [], []
-    for i, (alone, page, marks) in enumerate(zip(table["contained"].to_pylist(), outside, marked, strict=True)):
-        if alone:
+def _texts(table: pa.Table, runs: tuple[Runs, Runs], often: list[np.ndarray]) -> pa.Table:
+    """Text of the pages, from their blocks in a container if they have one, without the runs that are often on the host."""
+    covered = [r.covered(o) for r, o in zip(runs, often, strict=True)]
+    columns = (table[c].to_pylist() for c in ("contained", "outside", "inside", "marked"))
+    texts = []
+    for i, (contained, outside, inside, marks) in enumerate(zip(*columns, strict=True)):
+        page, mine = (inside, covered[1][i]) if contained else (outside, covered[0][i])
+        if contained and mine.mean() >= MIRROR:
+            texts.append("\n".join(page))
             continue
         kept, at = [], 0
-        for block, mark in zip(page, marks, strict=True):
+        for block, mark in zip(page, [False] * len(page) if contained else marks, strict=True):
             n = len(block.split())
-            share = covered[i][at : at + n].mean() if n else 1.0
+            share = mine[at : at + n].mean() if n else 1.0
             at += n
             if not mark and share < COVERED:
                 kept.append(block)
-        ids.append(table["page_id"][i].as_py())
-        urls.append(table["url"][i].as_py())
         texts.append("\n".join(kept))
-    return pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string())})
+    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string())})
 
 
 def _whole_host(table: pa.Table) -> pa.Table:
     runs = _runs_of(table)
-    return _unique_runs(table, runs, runs.n >= PAGES)
+    return _texts(table, runs, [r.n >= PAGES for r in runs])
 
 
-def _dealt_keys(table: pa.Table, runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dealt_keys(table: pa.Table, runs: tuple[Runs, Runs], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the shard's runs, their buckets, and the order in which they are sent."""
-    key = runs.keys(table["host"][0].as_py())
+    host = table["host"][0].as_py()
+    key = np.concatenate([B.mix(r.keys(host), 41 + i) for i, r in enumerate(runs)])
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     return key, bucket, np.lexsort((key, bucket))
 
@@ -279,7 +301,8 @@ def _ask(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         runs = _runs_of(table)
         key, bucket, order = _dealt_keys(table, runs, buckets)
-        key, n, parts = key[order], runs.n[order].astype(np.uint32), K.by_bucket(bucket[order])
+        n = np.concatenate([r.n for r in runs])
+        key, n, parts = key[order], n[order].astype(np.uint32), K.by_bucket(bucket[order])
         return K.parts_table([p[0] for p in parts], table["block"][0].as_py(), [K.pack(key[a:b], n[a:b]) for _, a, b in parts])
 
     return run
@@ -300,7 +323,7 @@ def _told(buckets: int):
         often = np.zeros(len(order), bool)
         if found:
             often[order] = np.concatenate([K.unpack(found[b].as_buffer())[0] for b in sorted(found)])
-        return _unique_runs(table, runs, often)
+        return _texts(table, runs, np.split(often, [len(runs[0].n)]))
 
     return run
 
@@ -316,19 +339,26 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     parsed = stage(read.mapInArrow(_parse, PARSED), "pages")
     sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.bool_and("contained").alias("plain"))
-    # hosts where every page has a container need no suffix array
-    sizes = sizes.where("not plain").select("host", "tokens", F.ceil(F.greatest(F.col("n") / SHARD, F.col("tokens") / TOKENS, F.lit(1))).cast("int").alias("shards"))
+    sizes = sizes.select("host", "plain", "tokens", F.ceil(F.greatest(F.col("n") / SHARD, F.col("tokens") / TOKENS, F.lit(1))).cast("int").alias("shards"))
     sizes = stage(sizes, "hosts")
     split = sizes.where("shards > 1").agg(F.sum("tokens")).first()[0] or 0
     buckets = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-split // TOKENS))
     sizes = F.broadcast(sizes) if fits_broadcast(sizes.count(), 64) else sizes
-    open_hosts = parsed.join(sizes.select("host", "shards"), "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    # of pages of a host with the same container, all but the first
+    inside = parsed.where("contained").select("uid", "host", "digest")
+    first = inside.groupBy("host", "digest").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = stage(inside.join(first, ["host", "digest"]).where("uid <> first").select("uid", F.lit(True).alias("copy")), "copies")
+    copies = F.broadcast(copies) if fits_broadcast(copies.count(), 16) else copies
+    shard = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
+    placed = parsed.join(sizes.select("host", "plain", "shards"), "host").join(copies, "uid", "left").withColumn("shard", shard)
+    # what is outside containers is not asked for where every page of a host has one
+    nothing = F.array().cast("array<string>")
+    placed = placed.withColumns({"copy": F.coalesce("copy", F.lit(False)), "outside": F.when(F.col("plain"), nothing).otherwise(F.col("outside"))})
     # dealt anew by host and shard: a host's pages may all be in one task after the join
-    dealt = open_hosts.select("page_id", "url", "contained", "outside", "marked", "host", "shard", "shards", F.xxhash64("host", "shard").alias("block"))
-    guessed = dealt.where("shards = 1").repartition("host", "shard").groupBy("host", "shard").applyInArrow(_whole_host, TEXTS)
+    dealt = placed.select("page_id", "url", "contained", "copy", "inside", "outside", "marked", "host", "shard", "shards", F.xxhash64("host", "shard").alias("block"))
+    found = dealt.where("shards = 1").repartition("host", "shard").groupBy("host", "shard").applyInArrow(_whole_host, TEXTS)
     if split:
         shards = dealt.where("shards > 1").repartition("block").groupBy("block")
         answers = stage(K.answer(shards.applyInArrow(_ask(buckets), K.PART_SCHEMA), _often), "runs")
-        guessed = guessed.unionByName(shards.cogroup(answers.groupBy("block")).applyInArrow(_told(buckets), TEXTS))
-    known = parsed.where("contained").select("page_id", "url", F.concat_ws("\n", "inside").alias("text"))
-    return known.unionByName(guessed)
+        found = found.unionByName(shards.cogroup(answers.groupBy("block")).applyInArrow(_told(buckets), TEXTS))
+    return found
