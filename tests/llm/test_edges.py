@@ -307,3 +307,48 @@ def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, monkeypatch,
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: own(i) for i in range(8)} | {20 + i: story + "\nthe end of it" for i in range(5)} | {30 + i: f"near{i} {own(50)}\n{own(51)}" for i in range(5)}
     assert got == want | {40 + i: own(60 + i) for i in range(4)} | {60: line}
+
+
+def test_language_model_against_a_brute_force_tree(spark):
+    """Scores by a tree that tests every context seen often enough, whatever its prefix and suffix."""
+    import random
+
+    rng = random.Random(5)
+    train = [" ".join(f"v{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(30)) for _ in range(40)]
+    # q has many single successors, so its own state fails; what follows "q z" is plain
+    train += [f"q u{i} a{i}" for i in range(150)] + ["q z hit"] * 12 + [f"r{i} z other{i}" for i in range(150)]
+    probe = ["q z hit", "q z other1", "q u1", "v1 v2 v1 v1 v3", "z hit", ""]
+    texts = [(i, t) for i, t in enumerate(train)] + [(1000 + i, t) for i, t in enumerate(probe)]
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+
+    count, after = Counter(), defaultdict(Counter)
+
+    def contexts(t):
+        symbols = ["START", *t.split(), "END"]
+        for i in range(1, len(symbols)):
+            yield symbols[i], [tuple(symbols[i - d : i]) for d in (1, 2) if i >= d]
+
+    for t in train:
+        for x, found in contexts(t):
+            count[x] += 1
+            for c in found:
+                after[c][x] += 1
+    total, kinds = sum(count.values()), len(count)
+    kept = set()
+
+    def probability(c, x):
+        if not c:
+            return (count[x] + 1) / (total + kinds + 1)
+        p = probability(c[1:], x)
+        return (after[c][x] + len(after[c]) * p) / (after[c].total() + len(after[c])) if c in kept else p
+
+    for depth in (1, 2):
+        for c in [c for c in after if len(c) == depth and after[c].total() >= suffix_tree_lm.SEEN]:
+            n, t = after[c].total(), len(after[c])
+            gain = sum(k * math.log((k - 1 + t * p) / ((n - 1 + t) * p)) for x, k in after[c].items() for p in [probability(c[1:], x)])
+            if gain > suffix_tree_lm.GAIN:
+                kept.add(c)
+    assert ("q",) not in kept and ("q", "z") in kept
+    for i, t in texts:
+        want = sum(math.log10(probability(found[-1], x)) for x, found in contexts(t))
+        assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), (t, got[i], want)

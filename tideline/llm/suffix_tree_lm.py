@@ -1,7 +1,8 @@
 """Probabilistic suffix tree over words, counted and scored by exchanges.
 
 States are contexts of up to ``DEPTH`` words. A context is retained if it was seen at
-least ``SEEN`` times in training and passes a divergence test against its suffix: the
+least ``SEEN`` times in training and passes a divergence test against its suffix, whether
+or not its own prefix or suffix passed: the
 gain in log-likelihood of its next symbols, each predicted from the other occurrences
 (leave-one-out), must exceed ``GAIN``. A retained state's distribution is smoothed with
 its suffix's: ``(N(s, x) + T(s) * P_suffix(x)) / (N(s) + T(s))``, T the number of distinct
@@ -136,7 +137,8 @@ class Block:
     def pair_parts(self, block: int, depth: int) -> pa.Table:
         count = np.bincount(self.kind, self.weight[self.at], len(self.one)).astype(np.uint64)
         context, symbol = self.context[self.at][self.one], self.tok[self.at][self.one]
-        level = np.clip(-2 * np.log(self.p[self.at][self.one]) + 0.5, 0, 255).astype(np.uint8)
+        # the suffix's probability is asked for with symbols that training has here
+        p = np.where(count > 0, self.p[self.at][self.one], 0).astype(np.float32)
         symbol = B.mix(symbol, 31)
         blobs, runs = [], K.by_bucket(self.key_bucket)
         for _, a, b in runs:
@@ -145,7 +147,7 @@ class Block:
             blobs.append(
                 K.pack(
                     _steps(context[a:b][head] >> np.uint64(24)), self.split[a:b][head].astype(np.uint32), size.astype(np.uint32),
-                    (symbol[a:b] >> np.uint64(48)).astype(np.uint16), (symbol[a:b] >> np.uint64(40)).astype(np.uint8), count[a:b].astype(np.uint32), level[a:b],
+                    (symbol[a:b] >> np.uint64(32)).astype(np.uint32), (symbol[a:b] >> np.uint64(24)).astype(np.uint8), count[a:b].astype(np.uint32), p[a:b],
                 )
             )
         return K.parts_table([depth << _SHIFT | r[0] for r in runs], block, blobs)
@@ -172,11 +174,9 @@ class Block:
         n, t, c = total[self.kind], kinds[self.kind], count[self.kind]
         use = kept[self.kind]
         at = self.at[use]
-        self.seen[at] = c[use].astype(np.int64)
+        self.seen[self.at] = c.astype(np.int64)
         self.p = self.p.copy()
         self.p[at] = (c[use] + t[use] * self.p[at]) / (n[use] + t[use])
-        self.open = np.zeros(len(self.tok), bool)
-        self.open[at] = True
 
 
 def _known(arrays: list[np.ndarray], model: dict, answers: dict[int, list[np.ndarray]], depth: int) -> Block:
@@ -218,22 +218,23 @@ def _test_contexts(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]
     wide = np.zeros(len(states), np.int64)
     wide[s_part] = split
     s = np.repeat(s_part, size)
-    # 24 bits of a symbol's hash tell the symbols of one context in one bucket apart
+    # 40 bits of a symbol's hash tell the symbols of one context in one bucket apart
     x = (np.concatenate([p[3] for p in parts]).astype(np.uint64) << np.uint64(8)) | np.concatenate([p[4] for p in parts])
-    count, level = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
-    one, where = _distinct((s.astype(np.uint64) << np.uint64(24)) | x)
+    count, sent = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+    one, where = _distinct((s.astype(np.uint64) << np.uint64(40)) | x)
+    p = np.zeros(len(one))
+    p[where[sent > 0]] = sent[sent > 0]  # all that send one send the same
     n_sx = np.bincount(where, count, len(one))
     state = s[one]
     n_s = np.bincount(state, n_sx, len(states))
     t_s = np.bincount(state, n_sx > 0, len(states))
-    p = np.exp(level[one] / -2.0)
     seen = n_sx > 0
     n_all, t_all = (n_s * wide)[state], (t_s * wide)[state]
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = n_sx * np.log((n_sx - 1 + t_all * p) / ((n_all - 1 + t_all) * p))
     gain = np.bincount(state[seen], gain[seen], len(states))
     keep = (n_s >= SEEN) & (gain > GAIN) & (wide == 1)
-    answers = np.where((keep | (wide > 1))[state], n_sx, 0).astype(np.uint32)[where]
+    answers = n_sx.astype(np.uint32)[where]  # of all contexts: the next round goes by true counts
     told = np.zeros(len(states), bool)
     out, at, key_at = [], 0, 0
     for part in parts:
