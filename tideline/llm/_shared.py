@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -11,15 +10,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side, in bytes by count times row width, that an operator broadcasts.
+#: Largest side, in bytes, that an operator broadcasts.
 BROADCAST_BYTES = 32 << 20
+#: With this setting Spark drops the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_staged: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that
-    is unset (tests on one machine), a temporary one that ends with the process."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset,
+    one process that is driver and executor at once (tests) gets a temporary one; a cluster
+    has to name its folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tideline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -28,16 +33,48 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, so that a lost
-    executor costs no recomputation of what came before, and gives sizes to the planner."""
+    executor costs no recomputation of what came before, and gives sizes to the planner.
+    The table is deleted by release(), or at the end of the process."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tideline/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    # Spark drops shuffle files once nothing refers to them, and its listeners refer to the
-    # last query that ended until another one does
-    spark.range(1).collect()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    _staged[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made._staged_at = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: all that came from them is staged too."""
+    for table in tables:
+        _delete(table._staged_at)
+
+
+def _delete(path: str) -> None:
+    spark = _staged.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def release_all() -> None:
+    """Delete what is still staged: tables that the results of queries are read from. Call it
+    between queries of a long session, once their results are written."""
+    for path in list(_staged):
+        try:
+            _delete(path)
+        except Exception:  # the session has ended: the folder's owner clears it
+            _staged.clear()
 
 
 def fits_broadcast(rows: int, width: int) -> bool:
