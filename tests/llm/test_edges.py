@@ -176,22 +176,34 @@ def test_html(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
-def test_repeated_tokens_by_brute_force():
+@pytest.mark.parametrize("block", [1 << 22, 60])
+def test_html_repeated_runs_by_brute_force(spark, block):
     import random
 
     rng = random.Random(1)
-    pages = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(40)]
+    pages = [[" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 5))] for _ in range(60)]
+    pages += [pages[7], pages[7], pages[7]]  # equal pages count as one
+    rows = [(i, f"http://h{i % 2}/{i}", "".join(f"<div>{b}</div>" for b in blocks)) for i, blocks in enumerate(pages)]
     n, least = html_extract.RUN, html_extract.PAGES
     seen = defaultdict(set)
-    for p, tokens in enumerate(pages):
-        for i in range(len(tokens) - n + 1):
-            seen[tuple(tokens[i : i + n])].add(p)
-    for tokens, got in zip(pages, html_extract.repeated_tokens(pages), strict=True):
-        want = [False] * len(tokens)
-        for i in range(len(tokens) - n + 1):
-            if len(seen[tuple(tokens[i : i + n])]) >= least:
-                want[i : i + n] = [True] * n
-        assert got.tolist() == want
+    for i, blocks in enumerate(pages):
+        tokens = " ".join(blocks).split()
+        for j in range(len(tokens) - n + 1):
+            seen[i % 2, tuple(tokens[j : j + n])].add(tuple(blocks))
+    want = {}
+    for i, blocks in enumerate(pages):
+        tokens, kept, at = " ".join(blocks).split(), [], 0
+        mark = [False] * len(tokens)
+        for j in range(len(tokens) - n + 1):
+            if len(seen[i % 2, tuple(tokens[j : j + n])]) >= least:
+                mark[j : j + n] = [True] * n
+        for b in blocks:
+            size = len(b.split())
+            kept += [b] if sum(mark[at : at + size]) < html_extract.COVERED * size else []
+            at += size
+        want[i] = "\n".join(kept)
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), block=block).collect()}
+    assert got == want and "" in want.values() and len({*want.values()}) > 40
 
 
 def labelled(spark, flag):
@@ -276,26 +288,33 @@ def test_near_dedup_heads_unlike_a_pair(spark, monkeypatch, block):
         "<iframe src=x><p>The<textarea> text</p>",
         "<p>The<script>var a = '<p>no</p>'</script > text</p>",
         "<![CDATA[ ><p>The text</p>",
+        "<![CDATA[ <p>no</p> ]]><p>The text</p>",
+        "<p title=it's>The text",
+        "<p title=\"never ends>The text</p><p title='>",
+        "<p title=\"a > b\" 'odd' x='>'>The text</p>",
+        "<header><h2>no</h2></header><article><div class='post-header'>The text</div></article>",
+        "<div class='content has-sidebar no-ads'>The text</div><div class='sidebar-wrapper'>no</div>",
+        "<p class='search-results'>The text</p><div class='comments-area'>no</div><div id=siteFooter>no</div>",
+        "<!-->The text<!-- no --><? no ><!-- never ends <p>no",
+        "<p>The text</p><div never ends",
     ],
 )
 def test_html_raw_elements_take_no_more_than_their_own(page):
     assert [t for t, _, d in html_extract.blocks(page) if not d] == ["The text"]
 
 
-@pytest.mark.parametrize("shard", [2000, 4])
-def test_html_runs_count_over_all_shards_of_a_host(spark, monkeypatch, shard):
-    monkeypatch.setattr(html_extract, "SHARD", shard)
+@pytest.mark.parametrize("block", [1 << 22, 100])
+def test_html_runs_count_over_the_whole_host(spark, block):
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(9))
     rare, twice = "this notice stands on just three of the pages", "these words stand on only two of the pages"
     rows = [(i, f"http://h/{i}", f"<div>{own(i)}</div>" + f"<div>{rare}</div>" * (i in (3, 17, 31)) + f"<div>{twice}</div>" * (i in (5, 22))) for i in range(40)]
     rows.append((99, "http://other/1", f"<div>{twice}</div>"))
-    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), block=block).collect()}
     assert got == {i: own(i) + ("\n" + twice) * (i in (5, 22)) for i in range(40)} | {99: twice}
 
 
-@pytest.mark.parametrize("shard", [2000, 3])
-def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, monkeypatch, shard):
-    monkeypatch.setattr(html_extract, "SHARD", shard)
+@pytest.mark.parametrize("block", [1 << 22, 100])
+def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, block):
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(12))
     line, story = "Read more such stories with our daily letter", " ".join(f"story{j}" for j in range(30))
     page = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
@@ -304,7 +323,7 @@ def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, monkeypatch,
     rows += [(30 + i, f"http://h/n{i}", page(f"near{i} " + own(50), own(51))) for i in range(5)]  # mirrors but for a word
     rows += [(40 + i, f"http://h/l{i}", f"<aside>{own(1)}</aside>" + page(own(60 + i))) for i in range(4)]  # named outside of other articles
     rows += [(60, "http://h/p", f"<p>{line}</p>")]
-    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), block=block).collect()}
     want = {i: own(i) for i in range(8)} | {20 + i: story + "\nthe end of it" for i in range(5)} | {30 + i: f"near{i} {own(50)}\n{own(51)}" for i in range(5)}
     assert got == want | {40 + i: own(60 + i) for i in range(4)} | {60: line}
 
@@ -352,3 +371,16 @@ def test_language_model_against_a_brute_force_tree(spark):
     for i, t in texts:
         want = sum(math.log10(probability(found[-1], x)) for x, found in contexts(t))
         assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), (t, got[i], want)
+
+
+def test_html_takes_time_in_proportion_to_the_page():
+    import time
+
+    for unit in ("<a x=\"", "<p title='", "<b>", "<![CDATA[ x", "<i></b>", "< ", "<script>", "<div><p>"):
+        began = time.perf_counter()
+        html_extract.blocks(unit * (2_000_000 // len(unit)))
+        assert time.perf_counter() - began < 20, unit
+
+
+def test_html_text_with_signs_below_and_above():
+    assert [t for t, _, _ in html_extract.blocks("<p>1 < 2 && 3 > 2 &amp; a<5 I <3 you</p>")] == ["1 < 2 && 3 > 2 & a<5 I <3 you"]

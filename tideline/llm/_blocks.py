@@ -31,7 +31,11 @@ _KINDS = ["|u1", "<u2", "<u4", "<u8", "<i8", "<f4", "<f8", "|b1"]
 MISSING = np.iinfo(np.int64).max
 
 BLOCK_SCHEMA = "block long, payload binary, n_bytes long"
-PART_SCHEMA = "bucket int, block long, blob binary"
+PART_SCHEMA = "bucket long, block long, blob binary"
+#: A part's bucket has the round of the exchange above this many bits.
+ROUND = 40
+#: How staged blocks are written: they are compressed already, and a task reads a few.
+STORED = {"parquet.block.size": str(16 << 20), "compression": "none"}
 
 
 @functools.cache
@@ -90,7 +94,7 @@ def blocks(docs: DataFrame, mark=None, size: int = BLOCK) -> DataFrame:
     doc_id is the largest number."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0) if mark is None else mark).cast("int").alias("mark"))
     packed = read.mapInArrow(_pack_batches(size), BLOCK_SCHEMA)
-    return stage(packed, "blocks", **{"parquet.block.size": str(16 << 20), "compression": "none"})
+    return stage(packed, "blocks", **STORED)
 
 
 def bucket_count(packed: DataFrame) -> int:
@@ -101,7 +105,7 @@ def bucket_count(packed: DataFrame) -> int:
 
 def parts_table(bucket: np.ndarray | list, block: np.ndarray | list | int, blobs: list[bytes]) -> pa.Table:
     block = [block] * len(blobs) if np.isscalar(block) else block
-    return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "block": pa.array(block, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def emit(packed: DataFrame, each: Callable[[int, list[np.ndarray]], pa.Table]) -> DataFrame:
@@ -129,7 +133,7 @@ def answer(parts: DataFrame, each: Callable[[int, list[int], list[list[np.ndarra
 
 def finish(packed: DataFrame, answers: DataFrame, each: Callable[[int, list[np.ndarray], dict[int, list[np.ndarray]]], pa.Table], schema: str) -> DataFrame:
     """each(block, arrays, answers by bucket) of every block."""
-    empty = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    empty = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = {b: unpack(x.as_buffer()) for b, x in zip(right["bucket"].to_pylist(), right["blob"], strict=True)}

@@ -1,25 +1,25 @@
-"""Main text of web pages, with boilerplate found by suffix arrays over a host's pages.
+"""Main text of web pages, with boilerplate found by suffix arrays over a host's token streams.
 
 A page is read as a stream of tags and text. Blocks (paragraphs, headings, list items and
-so on) get their text with character references decoded, and what the markup itself says:
+so on) get their text with character references decoded, and what the markup says of them:
 inside a content container (article, main), or inside a menu, header, footer, sidebar,
-form, advert, notice or comments (by tag, role, class or id). Marked boilerplate goes, and
-where a page has a container, so does everything outside it.
-
-Pages without a container say less, so their blocks are held against the other pages of the
-host: the token streams of the host's pages outside containers are laid end to end, their
-suffixes are sorted by prefix doubling, and tokens of a run that also stands on enough
-distinct pages are boilerplate. Blocks mostly covered by such runs go, unique runs stay.
-
-Containers are held against each other in the same way, apart from what is outside them
-(there, lists of titles repeat what is an article's own). Pages of one host with the same
-container count as one, and one that repeated runs cover by ``MIRROR`` is a copy of others
-with a few words changed: mirrored articles stay.
-
-Hosts of more than ``SHARD`` pages or ``TOKENS`` tokens are dealt out by a hash of the page in
-shards of about that size, each with a suffix array of its own. The shards send hashes (64
-bits) of their distinct runs, with the pages that each is on, to buckets that add them up
-and answer, so that a run counts over the whole host whatever the shards.
+form, advert, notice or comments (by tag, role, class or id).
+
+Every page is then held against its host. The pages' token streams (one outside the
+container and one inside) are laid end to end, their suffixes are sorted, and neighbours
+that share ``RUN`` tokens or more form the repeated substrings; those on ``PAGES`` distinct
+pages are boilerplate. (A longer repeated substring is covered by its runs of ``RUN`` tokens,
+so these alone decide what is covered.) Blocks mostly covered go, unique runs stay. The
+markup is a second vote: blocks it marks go, and so does what is outside a container.
+Pages with the same content count as one, and a container that repeated runs cover by
+``MIRROR`` is a copy of others with a few words changed: mirrored articles stay.
+
+A host may be of any size, so its suffix array is dealt out. Blocks of pages (some megabytes of a
+scan's pages, of any hosts) ask buckets twice, in packed arrays: first which anchors (the
+4-token gram with the least hash in each run) occur often enough, in 32 bits; then, for the
+runs whose anchor does, on how many distinct pages of the host each is. A block sorts the
+suffixes of the latter, so only they and their pages' digests travel. Nothing depends on a
+host's size or on how its pages are dealt.
 """
 
 from __future__ import annotations
@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 
 from tideline.llm import _blocks as K
 from tideline.llm import _bytes as B
-from tideline.llm._shared import fits_broadcast, stage
+from tideline.llm._shared import stage
 
-#: Tokens of a repeated run, distinct pages it must be on, share of a block that it must cover.
-RUN, PAGES, COVERED = 6, 3, 0.5
+#: Tokens of a repeated run and of its anchor, distinct pages it must be on, share of a block that it must cover.
+RUN, GRAM, PAGES, COVERED = 6, 4, 3, 0.5
 #: Share of a container in repeated runs from which on it is a copy.
 MIRROR = 0.8
-SHARD, TOKENS = 2000, 1 << 20
+#: Bytes of html in a block (a longer page has a block of its own).
+BLOCK = 4 << 20
 
 # Tags by what they do.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas", "object", "select", "title"}
@@ -59,79 +60,150 @@ BREAKING = {
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of a class or id that mark boilerplate.
+#: Words that mark boilerplate as the last word of a class or id.
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer",
     "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo",
     "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe",
     "subscription", "toolbar", "topbar", "widget",
 }
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Words that say nothing at the end of a name: what is before them counts.
+GENERIC = {
+    "area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "icon", "icons", "inner", "item", "items", "link", "links", "list", "main", "module",
+    "outer", "panel", "row", "section", "slot", "text", "title", "unit", "wrap", "wrapper", "articles", "posts", "stories",
+}
+#: First words that name a state; and parts whose header or footer is their own (a title, say).
+STATES = {"has", "hide", "is", "no", "not", "show", "with", "without"}
+OWNERS = {"article", "chapter", "content", "entry", "page", "post", "section", "story"}
+OWNED = {"banner", "footer", "header"}
+
+#: A tag as browsers read it: quotes count where they begin an attribute's value.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)>")
+#: The same up to the next >, for pages with a quote that never ends.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)", re.I)
+
+
+def _boilerplate(name: str) -> bool:
+    """Whether one class or id names boilerplate: "site-footer" and "comments-area" do,
+    "post-header", "has-sidebar" and "search-results" don't."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or words[0] in STATES:
+        return False
+    while words and words[-1] in GENERIC:
+        words.pop()
+    return bool(words) and words[-1] in NAMES and not (words[-1] in OWNED and OWNERS.intersection(words[:-1]))
 
 
 def _marked(attributes: str) -> bool:
     """Whether attributes mark boilerplate or hidden content."""
-    if not attributes.strip():
+    if not attributes or attributes.isspace():
         return False
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", re.sub(r"[\"'][^\"']*[\"']", '""', attributes), re.I) and "aria-hidden" not in attributes:
+    if "hidden" in attributes and "aria-hidden" not in attributes and _HIDDEN.search(_QUOTED.sub('""', attributes)):
         return True
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id") and NAMES.intersection(_NAME.findall(value)):
+        if key in ("class", "id") and any(map(_boilerplate, value.split())):
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _markup(page: str) -> Iterator[tuple[str, re.Match | None, int]]:
+    """(text before it, tag, end) of the page's tags, in one pass; send(end) goes on from there.
+
+    Comments, declarations and processing instructions are skipped; one that never ends
+    takes the rest of the page, as does a tag. A < that begins none of these is text.
+    """
+    at = first = 0
+    tags, cdata = _TAG, True
+    while (i := page.find("<", at)) >= 0:
+        c = page[i + 1 : i + 2]
+        if c.isascii() and c.isalpha() or c == "/" and page[i + 2 : i + 3].isascii() and page[i + 2 : i + 3].isalpha():
+            m = tags.match(page, i)
+            if m is None and tags is _TAG:  # a quote that never ends, once for all of the page
+                tags = _LOOSE
+                m = tags.match(page, i)
+            if m is None:
+                yield page[first:i], None, len(page)
+                return
+            at = first = (yield page[first:i], m, m.end()) or m.end()
+            continue
+        if c not in ("!", "/", "?"):
+            at = i + 1
+            continue
+        if page.startswith("<!--", i):
+            end = i + 5 if page.startswith("<!-->", i) else page.find("-->", i + 4) + 3
+            end = end if end > 2 else len(page)
+        else:
+            end = page.find("]]>", i) + 3 if cdata and page.startswith("<![CDATA[", i) else 0
+            cdata = cdata and (end > 2 or not page.startswith("<![CDATA[", i))
+            if end < 3:
+                end = page.find(">", i) + 1 or len(page)
+        yield page[first:i], None, end
+        at = first = end
+    yield page[first:], None, len(page)
+
+
 def blocks(page: str) -> list[tuple[str, int, bool]]:
     """(text, level, marked as boilerplate) of the page's blocks with text, in order; level: 2
     inside an article, 1 inside the main part, else 0.
 
     The tags of head count for nothing (what it may hold is raw or without text), so it may
     end anywhere. A raw element goes with what it holds; of one that never ends, and of
-    svg and math that close themselves, only the tag. A comment that never ends takes the
-    rest of the page, as in browsers.
+    svg and math that close themselves, only the tag. Time grows in proportion to the page.
     """
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    state = [0, 0]  # open containers (an article adds 2^16), open boilerplate elements
+    level, dropped, others = 0, 0, 0  # open containers (an article adds 2^16), boilerplate elements, and those but headers
     stack: list[tuple[str, int, int]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    breaks: list[int] = []  # of the open elements that break lines
     endless: set[str] = set()  # raw tags without an end tag from here on
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, 2 if state[0] >> 16 else int(state[0] > 0), state[1] > 0))
+                out.append((text, 2 if level >> 16 else int(level > 0), dropped > 0))
             parts.clear()
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    def leave(i: int) -> None:
+        nonlocal level, dropped, others
+        while len(stack) > i:
+            tag, c, d = stack.pop()
+            places[tag].pop()
+            if tag in BREAKING:
+                breaks.pop()
+            level, dropped, others = level - c, dropped - d, others - (d != 0 and tag != "header")
+
+    scan, skip = _markup(page), None
+    while True:
+        try:
+            text, m, _ = scan.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        if text:
+            parts.append(text)
+        if m is None:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if tag == "head":
             continue
         if tag in RAW:
             parts.append(" ")
             if not m[1] and tag not in endless and not (tag in ("svg", "math") and m[3].rstrip().endswith("/")):
-                end = _RAW_END[tag].search(page, at)
+                end = _RAW_END[tag].search(page, m.end())
                 if end:
-                    at = end.end()
+                    skip = end.end()
                 else:
                     endless.add(tag)
             continue
@@ -139,226 +211,222 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if tag in BREAKING:
             close()
+        mine = places.setdefault(tag, [])
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in BREAKING or i == len(stack) - 1 or not any(s[0] in BREAKING for s in stack[i:]):
-                        for _, c, d in stack[i:]:
-                            state[0] -= c
-                            state[1] -= d
-                        del stack[i:]
-                    break
+            if mine and (tag in BREAKING or not breaks or breaks[-1] < mine[-1]):
+                leave(mine[-1])
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            if tag == "p" or tag == "li":  # these end the same element before them
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        for _, c, d in stack[i:]:
-                            state[0] -= c
-                            state[1] -= d
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BREAKING:
-                        break
-            heading = tag in HEADINGS and state[0] > 0 and any(s[0] == "header" for s in stack) and not any(s[2] for s in stack if s[0] != "header")
-            container = {0: 0, 1: 1, 2: 1 << 16}[CONTAINERS.get(tag, 0) * (not _marked(m[3]))]
-            drop = int(tag in DROPPED or tag not in ("body", "html") and _marked(m[3]))
-            if heading:  # an article's own title may stand in its header
-                drop = -sum(s[2] for s in stack)
+            if tag in ("p", "li") and mine and breaks[-1] == mine[-1]:  # these end the same element before them
+                leave(mine[-1])
+            marked = _marked(m[3])
+            container = 0 if marked or tag not in CONTAINERS else 1 << 16 * (CONTAINERS[tag] - 1)
+            drop = int(tag in DROPPED or tag not in ("body", "html") and marked)
+            if tag in HEADINGS and level > 0 and dropped > 0 and not others:  # an article's own title may stand in its header
+                drop = -dropped
+            mine.append(len(stack))
+            if tag in BREAKING:
+                breaks.append(len(stack))
             stack.append((tag, container, drop))
-            state[0] += container
-            state[1] += drop
-    if at < len(page):
-        parts.append(page[at:])
+            level, dropped, others = level + container, dropped + drop, others + (drop != 0 and tag != "header")
     close()
     return out
 
 
-class Runs:
-    """The runs of RUN tokens of pages, by a suffix array; n: on how many (counted) pages each distinct one is."""
-
-    def __init__(self, pages: list[list[str]], counted: np.ndarray | None = None):
-        self.size = np.array([len(p) for p in pages], np.int64)
-        total = int(self.size.sum())
-        self.codes: dict[str, int] = {}
-        self.word = np.fromiter((self.codes.setdefault(t, len(self.codes)) for p in pages for t in p), np.int64, total)
-        owner = np.repeat(np.arange(len(pages)), self.size)
-        rank, have = self.word + 1, 1
-        while have < RUN:  # prefix doubling; 0 stands for what is beyond the end of the page
-            step = min(have, RUN - have)
-            then = np.zeros(total, np.int64)
-            then[: total - step] = rank[step:] * (owner[step:] == owner[: total - step])
-            rank = np.unique((rank << 32) | then, return_inverse=True)[1] + 1
-            have += step
-        self.starts = np.flatnonzero(np.arange(total) + RUN <= np.cumsum(self.size)[owner])
-        _, self.first, self.run = np.unique(rank[self.starts], return_index=True, return_inverse=True)
-        on = owner[self.starts]
-        order = np.lexsort((on, self.run))
-        r, o = self.run[order], on[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1])
-        if counted is not None:
-            new &= counted[o]
-        self.n = np.bincount(r, new, len(self.first)).astype(np.int64)
-
-    def keys(self, host: str) -> np.ndarray:
-        """Hashes of the distinct runs on this host."""
-        words = pd.util.hash_array(np.array(list(self.codes), dtype=object))
-        acc = np.repeat(pd.util.hash_array(np.array([host], dtype=object)), len(self.first))
-        at = self.starts[self.first]
-        for j in range(RUN):
-            acc = B.mix(acc) + words[self.word[at + j]]
-        return B.mix(acc)
-
-    def covered(self, often: np.ndarray) -> list[np.ndarray]:
-        """For each page's tokens, whether a run that is often covers it."""
-        if not len(self.size):
-            return []
-        starts = self.starts[often[self.run]]
-        change = np.zeros(len(self.word) + 1, np.int64)
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + RUN, -1)
-        return np.split(np.cumsum(change)[:-1] > 0, np.cumsum(self.size)[:-1])
-
-
-def repeated_tokens(pages: list[list[str]]) -> list[np.ndarray]:
-    """For each page's tokens, whether a run of RUN tokens that covers it stands on PAGES distinct pages or more."""
-    runs = Runs(pages)
-    return runs.covered(runs.n >= PAGES)
-
-
-PARSED = "uid long, digest binary, page_id long, url string, host string, contained boolean, n_tokens long, inside array<string>, outside array<string>, marked array<boolean>"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        for first in range(0, batch.num_rows, 500):
-            part = batch.slice(first, 500)
-            columns: dict[str, list] = {"contained": [], "n_tokens": [], "inside": [], "outside": [], "marked": []}
-            for page in part.column("html").to_pylist():
-                found = blocks(page)
-                level = max((c for _, c, d in found if not d), default=0)
-                columns["contained"].append(level > 0)
-                columns["n_tokens"].append(sum(t.count(" ") + 1 for t, _, _ in found))
-                columns["inside"].append([t for t, c, d in found if level and c >= level and not d])
-                columns["outside"].append([t for t, c, _ in found if not level or c < level])
-                columns["marked"].append([d for _, c, d in found if not level or c < level])
-            kinds = {"contained": pa.bool_(), "n_tokens": pa.int64(), "inside": pa.list_(pa.string()), "outside": pa.list_(pa.string()), "marked": pa.list_(pa.bool_())}
-            digests = [hashlib.blake2b("\n".join(x).encode(), digest_size=16).digest() if c else None for x, c in zip(columns["inside"], columns["contained"], strict=True)]
-            own = [pa.array(np.arange(uid, uid + part.num_rows)), pa.array(digests, pa.binary())]
-            uid += part.num_rows
-            yield pa.record_batch([*own, *(part.column(c) for c in ("page_id", "url", "host")), *(pa.array(v, kinds[c]) for c, v in columns.items())], names=["uid", "digest", "page_id", "url", "host", *columns])
+class Pages:
+    """The pages of a block: their blocks of text, and their token streams end to end."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.buf, self.offsets, self.flags, self.size, self.ids, self.host, self.digest, self.url, self.url_at, self.url_null = arrays
+        self.page = np.repeat(np.arange(len(self.ids)), self.size)
+        words, owner = B.word_hashes(self.buf, self.offsets)
+        lane = 2 * self.page[owner] + (self.flags[owner] & 1)
+        order = np.argsort(lane, kind="stable")
+        self.owner, self.lane = owner[order], lane[order]
+        # a token of one host and one kind of stream is unlike the same word elsewhere
+        self.token = B.mix(words[order] ^ B.mix(self.host[self.lane >> 1] + (self.lane & 1).astype(np.uint64), 3))
+        n = len(self.token)
+        self.starts = np.flatnonzero(self.lane[: max(0, n - RUN + 1)] == self.lane[RUN - 1 :])
+
+    def _joined(self, at: np.ndarray, n: int) -> np.ndarray:
+        acc = self.token[at]
+        for j in range(1, n):
+            acc = B.mix(acc) + self.token[at + j]
+        return B.mix(acc, n)
+
+    def anchors(self, buckets: int) -> None:
+        """Places (bucket in the upper 32 bits, hash in the lower) of the distinct anchors, and the anchor of each run."""
+        gram = self._joined(np.arange(max(0, len(self.token) - GRAM + 1)), GRAM)
+        low = np.uint64((1 << max(20, len(gram).bit_length())) - 1)
+        least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
+        at = self.starts
+        for j in range(1, RUN - GRAM + 1):
+            at = np.where(least[self.starts + j] < least[at], self.starts + j, at)
+        h = B.mix(gram[at], 41)
+        self.places, self.anchor = np.unique(((h % np.uint64(buckets)) << np.uint64(32)) | (h >> np.uint64(32)), return_inverse=True)
+
+    def runs(self, alive: np.ndarray, buckets: int) -> None:
+        """The distinct runs among those with a living anchor: their suffixes are put in order,
+        and neighbours whose longest common prefix has RUN tokens are the same run."""
+        self.at = self.starts[alive[self.anchor]]
+        columns = [self.token[self.at + j] for j in range(RUN)]
+        order = np.lexsort(columns[::-1])
+        alike, lcp = np.ones(max(0, len(order) - 1), bool), np.zeros(max(0, len(order) - 1), np.int64)
+        for c in columns:
+            alike &= c[order][1:] == c[order][:-1]
+            lcp += alike
+        head = np.append(True, lcp < RUN) if len(order) else np.zeros(0, bool)
+        run = np.cumsum(head) - 1
+        h = B.mix(self._joined(self.at[order[head]], RUN), 43)
+        place = ((h % np.uint64(buckets)).astype(np.int64), h >> np.uint64(16))
+        # the distinct runs by bucket and key
+        sent = np.lexsort(place[::-1])
+        self.bucket, self.key = place[0][sent], place[1][sent]
+        back = np.empty(len(sent), np.int64)
+        back[sent] = np.arange(len(sent))
+        self.run = np.empty(len(order), np.int64)
+        self.run[order] = back[run]
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the runs in their order: how many digests of pages, PAGES at most, and these."""
+        pair = np.unique((self.run.astype(np.uint64) << np.uint64(32)) | (self.digest[self.lane[self.at] >> 1] >> np.uint64(32)))
+        run = (pair >> np.uint64(32)).astype(np.int64)
+        first = np.searchsorted(run, np.arange(len(self.key)))
+        stay = np.arange(len(pair)) - first[run] < PAGES
+        return np.bincount(run[stay], minlength=len(self.key)).astype(np.uint8), (pair[stay] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def covered(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block of text, how many of its tokens are in runs that are often on the host, and its tokens."""
+        change = np.zeros(len(self.token) + 1, np.int64)
+        at = self.at[often[self.run]]
+        np.add.at(change, at, 1)
+        np.add.at(change, at + RUN, -1)
+        mine = np.bincount(self.owner, np.cumsum(change)[:-1] > 0, len(self.page))
+        return mine, np.bincount(self.owner, minlength=len(self.page))
+
+
+SENT = {"anchors": 0, "runs": 1}  # rounds, as upper bits of a part's bucket
+
+
+def _digest(texts: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode(), digest_size=8).digest(), "little")
+
+
+def _packed(rows: pa.RecordBatch) -> tuple[bytes, int]:
+    """The pages' blocks in packed arrays, in the order of Pages."""
+    texts, flags, size, digest = [], [], [], []
+    for page in rows.column("html").to_pylist():
+        found = blocks(page)
+        level = max((c for _, c, d in found if not d), default=0)
+        own = [level > 0 and c >= level and not d for _, c, d in found]
+        texts += [t for t, _, _ in found]
+        flags += [o | 2 * d for o, (_, _, d) in zip(own, found, strict=True)]
+        size.append(len(found))
+        digest.append(_digest([t for (t, _, _), o in zip(found, own, strict=True) if o or not level]))
+    buf, offsets = B.text_buffer(pa.array(texts, pa.large_string()))
+    url = rows.column("url")
+    url_buf, url_at = B.text_buffer(url.fill_null(""))
+    host = pd.util.hash_array(np.array(rows.column("host").to_pylist(), dtype=object))
+    ids = rows.column("page_id").fill_null(K.MISSING).to_numpy(zero_copy_only=False).astype(np.int64)
+    arrays = [buf, offsets, np.array(flags, np.uint8), np.array(size, np.int64), ids, host.astype(np.uint64), np.array(digest, np.uint64), url_buf, url_at, np.asarray(url.is_null())]
+    return K.pack(*arrays, level=6), len(buf)
+
+
+def _parse(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in B.pieces(B.text_buffer(batch.column("html"))[1], size):
+                blob, n = _packed(batch.slice(a, b - a))
+                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([blob], pa.binary()), pa.array([n], pa.int64())], names=["block", "payload", "n_bytes"])
+                number += 1
 
+    return run
 
-TEXTS = "page_id long, url string, text string"
 
+def _ask_anchors(buckets: int):
+    def each(block: int, arrays: list[np.ndarray]) -> pa.Table:
+        p = Pages(arrays)
+        p.anchors(buckets)
+        times = np.minimum(np.bincount(p.anchor, minlength=len(p.places)), PAGES).astype(np.uint8)
+        parts = K.by_bucket((p.places >> np.uint64(32)).astype(np.int64))
+        return K.parts_table([r[0] for r in parts], block, [K.pack(p.places[a:b].astype(np.uint32), times[a:b]) for _, a, b in parts])
+
+    return each
 
-def _tokens(pages: list[list[str]]) -> list[list[str]]:
-    return [[t for b in page for t in b.split()] for page in pages]
 
+def _alive(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
+    """Whether each anchor stands in the corpus often enough for its runs to be on PAGES pages."""
+    where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)[1]
+    alive = (np.bincount(where, np.concatenate([p[1] for p in parts])) >= PAGES)[where]
+    return [K.pack(x) for x in np.split(alive, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
-def _runs_of(table: pa.Table) -> tuple[Runs, Runs]:
-    """Runs outside containers and inside them; of equal containers one is counted."""
-    counted = ~table["copy"].to_numpy(zero_copy_only=False).astype(bool)
-    return Runs(_tokens(table["outside"].to_pylist())), Runs(_tokens(table["inside"].to_pylist()), counted)
 
+def _told(answers: dict[int, list[np.ndarray]], kind: str) -> np.ndarray:
+    mine = [answers[b][0] for b in sorted(answers) if b >> K.ROUND == SENT[kind]]
+    return np.concatenate(mine) if mine else np.zeros(0, bool)
 
-def _texts(table: pa.Table, runs: tuple[Runs, Runs], often: list[np.ndarray]) -> pa.Table:
-    """Text of the pages, from their blocks in a container if they have one, without the runs that are often on the host."""
-    covered = [r.covered(o) for r, o in zip(runs, often, strict=True)]
-    columns = (table[c].to_pylist() for c in ("contained", "outside", "inside", "marked"))
-    texts = []
-    for i, (contained, outside, inside, marks) in enumerate(zip(*columns, strict=True)):
-        page, mine = (inside, covered[1][i]) if contained else (outside, covered[0][i])
-        if contained and mine.mean() >= MIRROR:
-            texts.append("\n".join(page))
-            continue
-        kept, at = [], 0
-        for block, mark in zip(page, [False] * len(page) if contained else marks, strict=True):
-            n = len(block.split())
-            share = mine[at : at + n].mean() if n else 1.0
-            at += n
-            if not mark and share < COVERED:
-                kept.append(block)
-        texts.append("\n".join(kept))
-    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string())})
-
-
-def _whole_host(table: pa.Table) -> pa.Table:
-    runs = _runs_of(table)
-    return _texts(table, runs, [r.n >= PAGES for r in runs])
-
-
-def _dealt_keys(table: pa.Table, runs: tuple[Runs, Runs], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the shard's runs, their buckets, and the order in which they are sent."""
-    host = table["host"][0].as_py()
-    key = np.concatenate([B.mix(r.keys(host), 41 + i) for i, r in enumerate(runs)])
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    return key, bucket, np.lexsort((key, bucket))
-
-
-def _ask(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        runs = _runs_of(table)
-        key, bucket, order = _dealt_keys(table, runs, buckets)
-        n = np.concatenate([r.n for r in runs])
-        key, n, parts = key[order], n[order].astype(np.uint32), K.by_bucket(bucket[order])
-        return K.parts_table([p[0] for p in parts], table["block"][0].as_py(), [K.pack(key[a:b], n[a:b]) for _, a, b in parts])
 
-    return run
+def _ask_runs(buckets: int):
+    def each(block: int, arrays: list[np.ndarray], answers: dict[int, list[np.ndarray]]) -> pa.Table:
+        p = Pages(arrays)
+        p.anchors(buckets)
+        p.runs(_told(answers, "anchors"), buckets)
+        n, digests = p.digests()
+        at = np.append(0, np.cumsum(n.astype(np.int64)))
+        parts = K.by_bucket(p.bucket)
+        blobs = [K.pack(np.diff(p.key[a:b], prepend=np.uint64(0)), n[a:b], digests[at[a] : at[b]]) for _, a, b in parts]
+        return K.parts_table([SENT["runs"] << K.ROUND | r[0] for r in parts], block, blobs)
+
+    return each
 
 
 def _often(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
-    """Whether the pages of all shards together have each run often; a page is in one shard alone."""
-    where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)[1]
-    often = (np.bincount(where, np.concatenate([p[1] for p in parts])) >= PAGES)[where]
+    """Whether each run is on PAGES distinct pages of its host."""
+    key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    where = np.unique(key, return_inverse=True)[1]
+    owner = np.repeat(where, np.concatenate([p[1] for p in parts]))
+    pages = np.unique((owner.astype(np.uint64) << np.uint64(32)) | np.concatenate([p[2] for p in parts]))
+    often = (np.bincount((pages >> np.uint64(32)).astype(np.int64)) >= PAGES)[where]
     return [K.pack(x) for x in np.split(often, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
-def _told(buckets: int):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        runs = _runs_of(table)
-        order = _dealt_keys(table, runs, buckets)[2]
-        found = dict(zip(answers["bucket"].to_pylist(), answers["blob"], strict=True))
-        often = np.zeros(len(order), bool)
-        if found:
-            often[order] = np.concatenate([K.unpack(found[b].as_buffer())[0] for b in sorted(found)])
-        return _texts(table, runs, np.split(often, [len(runs[0].n)]))
-
-    return run
+TEXTS = "page_id long, url string, text string"
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _texts(buckets: int):
+    def each(block: int, arrays: list[np.ndarray], answers: dict[int, list[np.ndarray]]) -> pa.Table:
+        """Text of the pages: from their blocks in a container if they have one, without the runs that are often on the host."""
+        p = Pages(arrays)
+        p.anchors(buckets)
+        p.runs(_told(answers, "anchors"), buckets)
+        mine, of = p.covered(_told(answers, "runs"))
+        inside, marked = p.flags & 1 > 0, p.flags & 2 > 0
+        n = len(p.ids)
+        contained = np.bincount(p.page, inside, n) > 0
+        mirror = np.bincount(p.page, mine * inside, n) >= MIRROR * np.maximum(np.bincount(p.page, of * inside, n), 1)
+        keep = np.where(contained[p.page], inside & (mirror[p.page] | (mine < COVERED * of)), ~marked & (mine < COVERED * of))
+        raw, url = p.buf.tobytes(), p.url.tobytes()
+        ends = p.offsets.tolist()
+        last = np.cumsum(p.size).tolist()
+        texts = ["\n".join(raw[ends[i] : ends[i + 1]].decode() for i in range(a, b) if keep[i]) for a, b in zip([0, *last], last, strict=False)]
+        urls = [None if gone else url[a:b].decode() for gone, a, b in zip(p.url_null.tolist(), p.url_at[:-1].tolist(), p.url_at[1:].tolist(), strict=True)]
+        return pa.table({"page_id": pa.array(p.ids, pa.int64(), mask=p.ids == K.MISSING), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string())})
+
+    return each
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = BLOCK) -> DataFrame:
     """One row per input row: page_id, url, text (blocks in page order, one line each; empty if none).
 
     Null html is empty. A null url, or one without a host, counts as a host of its own
-    kind. Repeated rows each get a row and count as distinct pages. Other columns are
-    ignored; an empty table gives an empty result.
+    kind. Repeated rows each get a row; pages of equal content count as one page. Ids are
+    integers; a null one stays null. Other columns are ignored; an empty table gives an
+    empty result. block: bytes of html that a task holds at once (results don't depend on it).
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    parsed = stage(read.mapInArrow(_parse, PARSED), "pages")
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.bool_and("contained").alias("plain"))
-    sizes = sizes.select("host", "plain", "tokens", F.ceil(F.greatest(F.col("n") / SHARD, F.col("tokens") / TOKENS, F.lit(1))).cast("int").alias("shards"))
-    sizes = stage(sizes, "hosts")
-    split = sizes.where("shards > 1").agg(F.sum("tokens")).first()[0] or 0
-    buckets = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-split // TOKENS))
-    sizes = F.broadcast(sizes) if fits_broadcast(sizes.count(), 64) else sizes
-    # of pages of a host with the same container, all but the first
-    inside = parsed.where("contained").select("uid", "host", "digest")
-    first = inside.groupBy("host", "digest").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = stage(inside.join(first, ["host", "digest"]).where("uid <> first").select("uid", F.lit(True).alias("copy")), "copies")
-    copies = F.broadcast(copies) if fits_broadcast(copies.count(), 16) else copies
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
-    placed = parsed.join(sizes.select("host", "plain", "shards"), "host").join(copies, "uid", "left").withColumn("shard", shard)
-    # what is outside containers is not asked for where every page of a host has one
-    nothing = F.array().cast("array<string>")
-    placed = placed.withColumns({"copy": F.coalesce("copy", F.lit(False)), "outside": F.when(F.col("plain"), nothing).otherwise(F.col("outside"))})
-    # dealt anew by host and shard: a host's pages may all be in one task after the join
-    dealt = placed.select("page_id", "url", "contained", "copy", "inside", "outside", "marked", "host", "shard", "shards", F.xxhash64("host", "shard").alias("block"))
-    found = dealt.where("shards = 1").repartition("host", "shard").groupBy("host", "shard").applyInArrow(_whole_host, TEXTS)
-    if split:
-        shards = dealt.where("shards > 1").repartition("block").groupBy("block")
-        answers = stage(K.answer(shards.applyInArrow(_ask(buckets), K.PART_SCHEMA), _often), "runs")
-        found = found.unionByName(shards.cogroup(answers.groupBy("block")).applyInArrow(_told(buckets), TEXTS))
-    return found
+    packed = stage(read.mapInArrow(_parse(block), K.BLOCK_SCHEMA), "pages", **K.STORED)
+    buckets = K.bucket_count(packed)
+    anchors = stage(K.answer(K.emit(packed, _ask_anchors(buckets)), _alive), "anchors")
+    runs = stage(K.answer(K.finish(packed, anchors, _ask_runs(buckets), K.PART_SCHEMA), _often), "runs")
+    return K.finish(packed, anchors.unionByName(runs), _texts(buckets), TEXTS)
