@@ -94,7 +94,12 @@ def blocks(docs: DataFrame, mark=None, size: int = BLOCK) -> DataFrame:
     doc_id is the largest number."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0) if mark is None else mark).cast("int").alias("mark"))
     packed = read.mapInArrow(_pack_batches(size), BLOCK_SCHEMA)
-    return stage(packed, "blocks", **STORED)
+    return keep(packed)
+
+
+def keep(packed: DataFrame) -> DataFrame:
+    """Blocks staged in buckets by their number: answers come to them, they stay where they are."""
+    return stage(packed, "blocks", by="block", **STORED)
 
 
 def bucket_count(packed: DataFrame) -> int:

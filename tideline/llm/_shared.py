@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: With this setting Spark drops the shuffle files of a query once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_staged: dict[str, SparkSession] = {}
+_staged: dict[str, tuple[SparkSession, str | None]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,23 +31,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, so that a lost
     executor costs no recomputation of what came before, and gives sizes to the planner.
-    The table is deleted by release(), or at the end of the process."""
+    by: a column to bucket the table by, so that groups and joins on it shuffle only what
+    they meet. The table is deleted by release(), or at the end of the process."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
+    path, table = f"{shared_folder(spark)}/tideline/{name}-{key}", None
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        if by is None:
+            df.write.options(**options).parquet(path)
+        else:
+            n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tideline_{name}_{key}"
+            df.repartition(n, by).write.format("parquet").options(path=path, **options).bucketBy(n, by).saveAsTable(table)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    _staged[path] = spark
-    made = spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark, table
+    made = spark.table(table) if table else spark.read.schema(df.schema).parquet(path)
     made._staged_at = path
     return made
 
@@ -59,11 +65,13 @@ def release(*tables: DataFrame) -> None:
 
 
 def _delete(path: str) -> None:
-    spark = _staged.pop(path, None)
-    if spark is not None and spark.sparkContext._jsc is not None:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    spark, table = _staged.pop(path, (None, None))
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register

@@ -16,7 +16,7 @@ Pages with the same content count as one, and a container that repeated runs cov
 
 A host may be of any size, so its suffix array is dealt out. Blocks of pages (some megabytes of a
 scan's pages, of any hosts) ask buckets twice, in packed arrays: first which anchors (the
-4-token gram with the least hash in each run) occur often enough, in 32 bits; then, for the
+5-token gram with the least hash in each run) occur often enough, in 32 bits; then, for the
 runs whose anchor does, on how many distinct pages of the host each is. A block sorts the
 suffixes of the latter, so only they and their pages' digests travel. Nothing depends on a
 host's size or on how its pages are dealt.
@@ -41,7 +41,7 @@ from tideline.llm import _bytes as B
 from tideline.llm._shared import stage
 
 #: Tokens of a repeated run and of its anchor, distinct pages it must be on, share of a block that it must cover.
-RUN, GRAM, PAGES, COVERED = 6, 4, 3, 0.5
+RUN, GRAM, PAGES, COVERED = 6, 5, 3, 0.5
 #: Share of a container in repeated runs from which on it is a copy.
 MIRROR = 0.8
 #: Bytes of html in a block (a longer page has a block of its own).
@@ -425,7 +425,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    packed = stage(read.mapInArrow(_parse(block), K.BLOCK_SCHEMA), "pages", **K.STORED)
+    packed = K.keep(read.mapInArrow(_parse(block), K.BLOCK_SCHEMA))
     buckets = K.bucket_count(packed)
     anchors = stage(K.answer(K.emit(packed, _ask_anchors(buckets)), _alive), "anchors")
     runs = stage(K.answer(K.finish(packed, anchors, _ask_runs(buckets), K.PART_SCHEMA), _often), "runs")
