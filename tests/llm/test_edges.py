@@ -384,3 +384,30 @@ def test_html_takes_time_in_proportion_to_the_page():
 
 def test_html_text_with_signs_below_and_above():
     assert [t for t, _, _ in html_extract.blocks("<p>1 < 2 && 3 > 2 &amp; a<5 I <3 you</p>")] == ["1 < 2 && 3 > 2 & a<5 I <3 you"]
+
+
+def test_previous_factors_by_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randrange(1, 40)
+        values = [rng.randrange(9) for _ in range(n)]
+        before, after = suffix_dedup.smaller_positions(np.array(values))
+        assert before.tolist() == [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
+        assert after.tolist() == [min((j for j in range(i + 1, n) if values[j] < values[i]), default=n) for i in range(n)]
+        rank = [rng.randrange(4) for _ in range(n)]
+        want = [suffix_dedup.LENGTH * any(r == rank[i] and v < values[i] for r, v in zip(rank, values, strict=True)) for i in range(n)]
+        assert suffix_dedup.previous_factors(np.array(rank), np.array(values)).tolist() == want
+
+
+def test_suffix_classes_of_far_buckets_stay_apart():
+    import numpy as np
+
+    rows = np.zeros((4, suffix_dedup.WIDTH + 6), np.uint8)
+    rows[3] = 1
+    bucket = np.array([5, 5 + (1 << 20), 5 + (1 << 31), 5 + (1 << 31)], np.uint64)
+    kind, one = suffix_dedup._distinct(bucket << np.uint64(32), rows)
+    assert len(one) == 4 and (np.diff(bucket[one].astype(np.int64)) >= 0).all() and sorted(kind.tolist()) == [0, 1, 2, 3]

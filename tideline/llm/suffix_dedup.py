@@ -8,13 +8,15 @@ itself:
 1. Blocks send the hashes of their anchors to buckets and learn which occur elsewhere.
 2. For these, blocks send the distinct surroundings (24 bytes before and after the anchor)
    with the smallest document that has each.
-3. A bucket concatenates the differing surroundings of its groups, sorts their suffixes by
-   prefix doubling, and reads from the order which suffixes share ``LENGTH`` bytes with a
-   suffix of a smaller document: with ties in document order, the previous smaller
-   position of a suffix is in its own run of equal prefixes or the factor is too short.
-4. Blocks mark the runs that start in a smaller document and cut the bytes they cover.
-
-Every comparison is on hashes of 52 bits or more of whole byte strings, and groups are
+3. A bucket lays the surroundings of its groups end to end, puts their suffixes in order
+   by induced ranks, and takes each suffix's previous and next smaller positions in that
+   order: the nearest suffixes of smaller documents. The longer of the prefixes shared with
+   these two is the longest previous factor.
+4. Blocks learn which of their runs have a previous factor of ``LENGTH`` bytes or more, and
+   cut the bytes that these runs cover.
+
+Only whether a factor has ``LENGTH`` bytes decides, so lengths are worked out up to that.
+Comparisons go by 64-bit hashes of whole byte strings within one bucket, and groups are
 confirmed by ranks of the bytes themselves.
 """
 
@@ -23,7 +25,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tideline.llm import _blocks as K
 from tideline.llm import _bytes as B
@@ -136,9 +137,13 @@ def _found(arrays: list[np.ndarray], answers: dict[int, list[np.ndarray]], bucke
 
 def _distinct(place: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row its class (equal bucket and equal surroundings), numbered in the order of the buckets; one row of each class."""
-    h = ((place >> np.uint64(32)) << np.uint64(44)) | (_row_hash(rows) >> np.uint64(20))
-    _, one, kind = np.unique(h, return_index=True, return_inverse=True)
-    return kind, one
+    bucket, h = place >> np.uint64(32), _row_hash(rows)
+    order = np.lexsort((h, bucket))
+    head = np.ones(len(order), bool)
+    head[1:] = (bucket[order][1:] != bucket[order][:-1]) | (h[order][1:] != h[order][:-1])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(head) - 1
+    return kind, order[head]
 
 
 def _second_round(buckets: int):
@@ -152,7 +157,7 @@ def _second_round(buckets: int):
         np.minimum.at(doc, kind, ids[np.searchsorted(offsets, at, side="right") - 1])
         rows = rows[one][:, : WIDTH + 2]
         runs = K.by_bucket((place[one] >> np.uint64(32)).astype(np.int64))
-        return K.parts_table([r[0] for r in runs], block, [K.pack(rows[a:b].ravel(), doc[a:b]) for _, a, b in runs])
+        return K.parts_table([1 << K.ROUND | r[0] for r in runs], block, [K.pack(rows[a:b].ravel(), doc[a:b]) for _, a, b in runs])
 
     return each
 
@@ -179,21 +184,47 @@ def suffix_ranks(rows: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def smaller_positions(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest positions before and after each one whose value is smaller; -1 and n if there is none.
+
+    Pointers jump together: what lies between a position and its pointer is no smaller, and
+    so is what lies between the pointer's value and its own pointer.
+    """
+    n = len(values)
+    found = []
+    for v in (values, values[::-1]):
+        at = np.arange(n) - 1
+        wrong = np.flatnonzero(v[at] >= v)
+        wrong = wrong[at[wrong] >= 0]
+        while len(wrong):
+            at[wrong] = at[at[wrong]]
+            wrong = wrong[at[wrong] >= 0]
+            wrong = wrong[v[at[wrong]] >= v[wrong]]
+        found.append(at)
+    return found[0], (n - 1 - found[1])[::-1]
+
+
 def previous_factors(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The document of each suffix's longest previous factor of LENGTH bytes or more, or
-    its own. Suffixes stand in suffix order, ties by document. The previous smaller
-    position of a suffix then is in its own run of equal ranks or shares fewer bytes, and
-    the next smaller position is always beyond the run; following previous smaller
-    positions to their end gives the run's first document."""
-    order = np.lexsort((doc, rank))
+    """Lengths of the longest previous factors, up to LENGTH: what each suffix shares with one
+    of a smaller document. rank: of the suffixes' first LENGTH bytes, in suffix order; unlike
+    ranks share less than LENGTH bytes, which counts as nothing."""
+    order = np.argsort(rank, kind="stable")
     head = np.append(True, rank[order][1:] != rank[order][:-1])
-    out = np.empty(len(rank), np.int64)
-    out[order] = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    run = np.cumsum(head) - 1  # neighbours in one run share LENGTH bytes
+    before, after = smaller_positions(doc[order])
+    n = len(order)
+    longest = np.zeros(n, np.int64)
+    for at in (before, after):
+        inside = (at >= 0) & (at < n)
+        longest[inside] = np.maximum(longest[inside], LENGTH * (run[at[inside]] == run[inside]))
+    out = np.empty(n, np.int64)
+    out[order] = longest
     return out
 
 
 def _compare(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
-    """For each surroundings sent, the smallest documents of its SIDE + 1 runs."""
+    """For each surroundings sent: the smallest document that has it, and which of its SIDE + 1
+    runs (bits) have a previous factor of LENGTH bytes in a smaller one."""
     rows = np.concatenate([p[0] for p in parts]).reshape(-1, WIDTH + 2)
     doc = np.concatenate([p[1] for p in parts])
     wide = np.zeros((len(rows), WIDTH + 6), np.uint8)
@@ -205,44 +236,35 @@ def _compare(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> l
     grams[:, :GRAM] = rows[one][:, SIDE : SIDE + GRAM]
     _, group, size = np.unique(_row_hash(grams), return_inverse=True, return_counts=True)
     several = np.flatnonzero(size[group] > 1)
-    runs = np.repeat(least[:, None], SIDE + 1, axis=1)
+    earlier = np.zeros(len(one), np.uint32)
     if len(several):
         around = rows[one[several]]
         before, after = around[:, WIDTH].astype(np.int64), around[:, WIDTH + 1].astype(np.int64)
         for start, rank in enumerate(suffix_ranks(around, group[several])):
             real = np.flatnonzero((start >= SIDE - before) & (start <= after))
-            runs[several[real], start] = previous_factors(rank[real], least[several[real]])
-    plain = (runs == least[:, None]).all(axis=1)
-    out, at = [], 0
-    for p in parts:
-        mine = kind[at : at + len(p[1])]
-        at += len(p[1])
-        out.append(K.pack(plain[mine], least[mine], runs[mine[~plain[mine]]].ravel()))
-    return out
+            factor = previous_factors(rank[real], least[several[real]])
+            earlier[several[real[factor >= LENGTH]]] |= np.uint32(1 << start)
+    cut = np.cumsum([len(p[1]) for p in parts])[:-1]
+    return [K.pack(least[mine], earlier[mine]) for mine in np.split(kind, cut)]
 
 
 def _cut(buckets: int):
     def each(block: int, arrays: list[np.ndarray], answers: dict[int, list[np.ndarray]]) -> pa.Table:
         buf, offsets, ids, _ = arrays
-        first = {b: x for b, x in answers.items() if b >= 0}
-        second = {-1 - b: x for b, x in answers.items() if b < 0}
+        first = {b: x for b, x in answers.items() if b >> K.ROUND == 0}
+        second = {b: x for b, x in answers.items() if b >> K.ROUND == 1}
         at, place, rows = _found(arrays, first, buckets)
         n = len(buf)
         marks = np.zeros(n + 1, np.int32)
         if len(at):
             kind, one = _distinct(place, rows)
-            runs = np.empty((len(one), SIDE + 1), np.int64)
-            done = 0
-            for b in sorted(second):
-                plain, least, extra = second[b]
-                mine = np.repeat(least[:, None], SIDE + 1, axis=1)
-                mine[~plain] = extra.reshape(-1, SIDE + 1)
-                runs[done : done + len(least)] = mine
-                done += len(least)
+            told = [second[b] for b in sorted(second)]
+            least, earlier = (np.concatenate([t[i] for t in told])[kind] for i in (0, 1))
             doc = ids[np.searchsorted(offsets, at, side="right") - 1]
             start = np.arange(SIDE + 1)
             real = (start >= SIDE - rows[:, WIDTH][:, None].astype(np.int64)) & (start <= rows[:, WIDTH + 1][:, None])
-            hit = real & (runs[kind] < doc[:, None])
+            # all of the surroundings are in a smaller document, or this run is
+            hit = real & ((least < doc)[:, None] | ((earlier[:, None] >> start.astype(np.uint32)) & 1 > 0))
             begin = (at[:, None] - SIDE + start)[hit]
             marks += np.bincount(begin, minlength=n + 1).astype(np.int32)
             marks -= np.bincount(begin + LENGTH, minlength=n + 1).astype(np.int32)
@@ -294,6 +316,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = K.bucket_count(packed)
     repeated = stage(K.answer(K.emit(packed, _first_round(buckets)), _repeated), "repeated")
     around = K.finish(packed, repeated, _second_round(buckets), K.PART_SCHEMA)
-    earlier = K.answer(around, _compare).select((-1 - F.col("bucket")).alias("bucket"), "block", "blob")
+    earlier = K.answer(around, _compare)
     made = K.finish(packed, repeated.unionByName(earlier), _cut(buckets), RESULT)
     return made.mapInArrow(_spans, "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
