@@ -328,7 +328,8 @@ def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, block):
     assert got == want | {40 + i: own(60 + i) for i in range(4)} | {60: line}
 
 
-def test_language_model_against_a_brute_force_tree(spark):
+@pytest.mark.parametrize("longest, block", [(2, 1 << 21), (3, 3000), (6, 1 << 21), (1, 500)])
+def test_language_model_against_a_brute_force_tree(spark, longest, block):
     """Scores by a tree that tests every context seen often enough, whatever its prefix and suffix."""
     import random
 
@@ -336,16 +337,19 @@ def test_language_model_against_a_brute_force_tree(spark):
     train = [" ".join(f"v{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(30)) for _ in range(40)]
     # q has many single successors, so its own state fails; what follows "q z" is plain
     train += [f"q u{i} a{i}" for i in range(150)] + ["q z hit"] * 12 + [f"r{i} z other{i}" for i in range(150)]
-    probe = ["q z hit", "q z other1", "q u1", "v1 v2 v1 v1 v3", "z hit", ""]
-    texts = [(i, t) for i, t in enumerate(train)] + [(1000 + i, t) for i, t in enumerate(probe)]
-    got = {r.doc_id: r.score for r in suffix_tree_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    train += [f"k{j} l m n o{j}" for j in range(4)] * 6  # only four words before tell what follows
+    if longest == 1:  # contexts with more than a bucket's share of all tokens
+        train += [f"s{i % 40}" for i in range(19000)]
+    probe = ["q z hit", "q z other1", "s1", "s1 s2", "q u1", "v1 v2 v1 v1 v3", "z hit", "", "k2 l m n o2", "k2 l m n o3"]
+    texts = [(i, t) for i, t in enumerate(train)] + [(10**6 + i, t) for i, t in enumerate(probe)]
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") < 10**6, depth=longest, block=block).collect()}
 
     count, after = Counter(), defaultdict(Counter)
 
     def contexts(t):
         symbols = ["START", *t.split(), "END"]
         for i in range(1, len(symbols)):
-            yield symbols[i], [tuple(symbols[i - d : i]) for d in (1, 2) if i >= d]
+            yield symbols[i], [tuple(symbols[i - d : i]) for d in range(1, longest + 1) if i >= d]
 
     for t in train:
         for x, found in contexts(t):
@@ -361,13 +365,13 @@ def test_language_model_against_a_brute_force_tree(spark):
         p = probability(c[1:], x)
         return (after[c][x] + len(after[c]) * p) / (after[c].total() + len(after[c])) if c in kept else p
 
-    for depth in (1, 2):
+    for depth in range(1, longest + 1):
         for c in [c for c in after if len(c) == depth and after[c].total() >= suffix_tree_lm.SEEN]:
             n, t = after[c].total(), len(after[c])
             gain = sum(k * math.log((k - 1 + t * p) / ((n - 1 + t) * p)) for x, k in after[c].items() for p in [probability(c[1:], x)])
             if gain > suffix_tree_lm.GAIN:
                 kept.add(c)
-    assert ("q",) not in kept and ("q", "z") in kept
+    assert ("q",) not in kept and (("q", "z") in kept) == (longest > 1) and (("k2", "l", "m", "n") in kept) == (longest > 3)
     for i, t in texts:
         want = sum(math.log10(probability(found[-1], x)) for x, found in contexts(t))
         assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), (t, got[i], want)

@@ -1,6 +1,6 @@
 """Probabilistic suffix tree over words, counted and scored by exchanges.
 
-States are contexts of up to ``DEPTH`` words. A context is retained if it was seen at
+States are contexts of one word and more. A context is retained if it was seen at
 least ``SEEN`` times in training and passes a divergence test against its suffix, whether
 or not its own prefix or suffix passed: the
 gain in log-likelihood of its next symbols, each predicted from the other occurrences
@@ -9,32 +9,39 @@ its suffix's: ``(N(s, x) + T(s) * P_suffix(x)) / (N(s) + T(s))``, T the number o
 next symbols; the root is the add-one unigram. A token's probability is that of the
 longest retained suffix of what precedes it, so the tree is one proper distribution.
 
+Contexts grow by a word a round for as long as any is seen ``SEEN`` times, and up to
+``depth`` words: every longer one is inside a copied passage of more than that.
+
 Counts cover all training documents. Blocks of documents send distinct (context, symbol)
 keys to the context's bucket, which sums, tests and answers; contexts with more than a
-bucket's share of all tokens are split over several buckets by symbol and their sums
-(at most one row for each bucket) meet in a small table.
+bucket's share of all tokens are split over several buckets by symbol and their sums meet
+in a small table (``HOT`` rows a round at most, by the share that makes a context hot).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _blocks as K
 from tideline.llm import _bytes as B
-from tideline.llm._shared import crc_mod, stage
+from tideline.llm._shared import crc_mod, release, stage
 
-DEPTH, SEEN, GAIN = 2, 2, 3.0
+DEPTH, SEEN, GAIN = 4, 2, 3.0
 #: Bytes of text in a block.
 BLOCK = 3 << 20
+#: Most contexts that are split over buckets: each has more than 1 / HOT of all tokens.
+HOT = 1 << 20
 #: Hashes of the symbols before and after a text.
 START, END = np.uint64(3), np.uint64(5)
 RESULT = "doc_id long, train long, n_tokens long, n_known long, base_score double, score double"
-#: Bits of a context's hash that are sent (with the bucket's, about 46 of them tell contexts apart).
-_HEAD = np.uint64(0xFFFFFFFFFF000000)
-_SHIFT = 24  # a part's bucket: round << 24 | bucket
+#: Of hashes, this many lower bits are not sent: 48 bits tell keys of one bucket apart.
+_LOW = np.uint64(16)
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +56,30 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, first
 
 
+def _token_batches(size: int):
+    """Blocks of texts as tokens: distinct hashes in order (as differences), and which each token is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            buf, offsets = B.text_buffer(batch.column("text"))
+            ids, mark = batch.column("doc_id").fill_null(K.MISSING).to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False)
+            for a, b in B.pieces(offsets, size):
+                at = offsets[a : b + 1]
+                tok, first = tokens(buf[at[0] : at[-1]], at - at[0])
+                tok = B.mix(tok, 5)
+                one, word = _distinct(tok)
+                blob = K.pack(_steps(tok[one]), word.astype(np.uint32), first, ids[a:b].astype(np.int64), mark[a:b].astype(np.uint8), level=3)
+                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([blob], pa.binary()), pa.array([int(at[-1] - at[0])], pa.int64())], names=["block", "payload", "n_bytes"])
+                number += 1
+
+    return run
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets as ranges of hashes, so that the order of the hashes is that of the buckets too."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where one of each distinct value is, in their order, and the rank of every value's.
@@ -71,26 +102,21 @@ class Block:
     """What a block knows after the answers of the rounds so far."""
 
     def __init__(self, arrays: list[np.ndarray], model: dict):
-        buf, offsets, self.ids, self.train = arrays
+        steps, word, self.first, self.ids, self.train = arrays
         self.model, self.buckets = model, model["buckets"]
-        self.tok, self.first = tokens(buf, offsets)
+        self.words, self.word = np.cumsum(steps, dtype=np.uint64), word.astype(np.int64)
+        self.tok = self.words[self.word]
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         self.weight = self.train[self.doc].astype(np.int64)
-        self.words, self.word = np.unique(self.tok, return_inverse=True)
-        place = B.mix(self.words, 5) % np.uint64(self.buckets)
-        self.order = np.argsort(place, kind="stable")
-        self.place = place[self.order].astype(np.int64)
 
     def word_parts(self, block: int) -> pa.Table:
-        counts = np.bincount(self.word, self.weight, len(self.words)).astype(np.uint64)[self.order]
-        words = self.words[self.order]
-        runs = K.by_bucket(self.place)
-        return K.parts_table([r[0] for r in runs], block, [K.pack(_steps(words[a:b] >> np.uint64(16)), counts[a:b]) for _, a, b in runs])
+        counts = np.bincount(self.word, self.weight, len(self.words)).astype(np.uint64)
+        runs = K.by_bucket(_bucket(self.words, self.buckets))
+        return K.parts_table([r[0] for r in runs], block, [K.pack(_steps(self.words[a:b] >> _LOW), counts[a:b]) for _, a, b in runs])
 
     def take_words(self, answers: dict[int, list[np.ndarray]]) -> None:
-        found = [answers[b][0] for b in sorted(answers) if b >> _SHIFT == 0]
-        self.count = np.zeros(len(self.words), np.int64)
-        self.count[self.order] = np.concatenate(found).astype(np.int64) if found else 0
+        found = [answers[b][0] for b in sorted(answers) if b >> K.ROUND == 0]
+        self.count = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
         self.c = self.count[self.word]
         self.p = (self.c + 1) / (self.model["N"] + self.model["V"] + 1)
         self.root = self.p
@@ -109,7 +135,8 @@ class Block:
         self.context = B.mix(self.context * np.uint64(0x9E3779B97F4A7C15) + symbol, depth)
         self.open &= at >= begin - 1
         if depth == 1:
-            times = np.full(len(self.tok), self.model["texts"], np.int64)
+            # the start of a text was seen as often as its end is, and always counts as often enough
+            times = np.maximum(SEEN, self.c[self.first[self.doc + 1] - 1])
             times[inside] = self.c[at[inside]]
         else:  # how often the context's last word followed the rest of it
             times = np.zeros(len(self.tok), np.int64)
@@ -118,21 +145,20 @@ class Block:
         self.times = times
 
     def keys(self) -> None:
-        """Distinct (bucket, context, symbol) of the open tokens, in this order."""
+        """Distinct (context, symbol) of the open tokens, in the order of the contexts' salted hashes."""
         at = np.flatnonzero(self.open)
         context, symbol, times = self.context[at], self.tok[at], self.times[at]
-        pair = B.mix(context + B.mix(symbol, 17), 19)
-        one, kind = _distinct(pair)
-        share = max(1, self.model["N"] // self.buckets)
+        one, kind = _distinct(B.mix(context + B.mix(symbol, 17), 19))
+        share = max(1, self.model["N"] // min(self.buckets, HOT))
         split = np.maximum(1, times[one] // share).astype(np.uint64)
-        salt = B.mix(symbol[one], 23) % split
-        bucket = (B.mix(context[one] + salt, 29) % np.uint64(self.buckets)).astype(np.int64)
-        # by bucket, then by the bits of the context that are sent
-        order = np.argsort((bucket.astype(np.uint64) << np.uint64(40)) | (context[one] >> np.uint64(24)))
+        h = B.mix(context[one] + B.mix(symbol[one], 23) % split, 29)
+        # by hash, then as they stand, which no other machine would sort otherwise
+        low = np.uint64((1 << max(16, len(h).bit_length())) - 1)
+        order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.at, self.kind, self.one = at, back[kind], one[order]
-        self.key_bucket, self.split = bucket[order], split[order]
+        self.h, self.split = h[order], split[order]
 
     def pair_parts(self, block: int, depth: int) -> pa.Table:
         count = np.bincount(self.kind, self.weight[self.at], len(self.one)).astype(np.uint64)
@@ -140,31 +166,31 @@ class Block:
         # the suffix's probability is asked for with symbols that training has here
         p = np.where(count > 0, self.p[self.at][self.one], 0).astype(np.float32)
         symbol = B.mix(symbol, 31)
-        blobs, runs = [], K.by_bucket(self.key_bucket)
+        blobs, runs = [], K.by_bucket(_bucket(self.h, self.buckets))
         for _, a, b in runs:
-            head = np.flatnonzero(np.append(True, context[a + 1 : b] != context[a : b - 1]))
-            size = np.diff(np.append(head, b - a))
+            head = np.flatnonzero(np.append(True, self.h[a + 1 : b] != self.h[a : b - 1]))
+            size, split = np.diff(np.append(head, b - a)), self.split[a:b][head]
             blobs.append(
                 K.pack(
-                    _steps(context[a:b][head] >> np.uint64(24)), self.split[a:b][head].astype(np.uint32), size.astype(np.uint32),
+                    _steps(self.h[a:b][head] >> _LOW), split.astype(np.uint32), size.astype(np.uint32), context[a:b][head][split > 1],
                     (symbol[a:b] >> np.uint64(32)).astype(np.uint32), (symbol[a:b] >> np.uint64(24)).astype(np.uint8), count[a:b].astype(np.uint32), p[a:b],
                 )
             )
-        return K.parts_table([depth << _SHIFT | r[0] for r in runs], block, blobs)
+        return K.parts_table([depth << K.ROUND | r[0] for r in runs], block, blobs)
 
     def take_pairs(self, answers: dict[int, list[np.ndarray]], depth: int) -> None:
         """Counts of the states; at tokens whose context is retained, the new probability."""
-        mine = [answers[b] for b in sorted(answers) if b >> _SHIFT == depth]
+        mine = [answers[b] for b in sorted(answers) if b >> K.ROUND == depth]
         total, kinds, count = np.zeros(len(self.one)), np.zeros(len(self.one)), np.zeros(len(self.one))
         if mine:
             size = np.concatenate([x[2] for x in mine])
             total = np.repeat(np.concatenate([x[0] for x in mine]), size).astype(float)
             kinds = np.repeat(np.concatenate([x[1] for x in mine]), size).astype(float)
             count = np.concatenate([x[3] for x in mine]).astype(float)
-        hot, found = self.model["hot"].get(depth, (np.zeros(0, np.uint64), np.zeros((0, 2)))), self.context[self.at][self.one] & _HEAD
         wide = self.split > 1
         if wide.any():
             total[wide] = kinds[wide] = 0
+            hot, found = self.model["hot"][depth].value, self.context[self.at][self.one]
             if len(hot[0]):
                 where = np.minimum(np.searchsorted(hot[0], found), len(hot[0]) - 1)
                 wide &= hot[0][where] == found
@@ -210,17 +236,17 @@ def _sum_words(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) ->
 
 
 def _test_contexts(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
-    parts = [[np.cumsum(p[0], dtype=np.uint64) << np.uint64(24), *p[1:]] for p in parts]
-    context = np.concatenate([p[0] for p in parts])
+    context = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     split = np.concatenate([p[1] for p in parts])
     size = np.concatenate([p[2] for p in parts])
     states, s_part = np.unique(context, return_inverse=True)
-    wide = np.zeros(len(states), np.int64)
+    wide, name = np.zeros(len(states), np.int64), np.zeros(len(states), np.uint64)
     wide[s_part] = split
+    name[s_part[split > 1]] = np.concatenate([p[3] for p in parts])  # of the parts of one context
     s = np.repeat(s_part, size)
     # 40 bits of a symbol's hash tell the symbols of one context in one bucket apart
-    x = (np.concatenate([p[3] for p in parts]).astype(np.uint64) << np.uint64(8)) | np.concatenate([p[4] for p in parts])
-    count, sent = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+    x = (np.concatenate([p[4] for p in parts]).astype(np.uint64) << np.uint64(8)) | np.concatenate([p[5] for p in parts])
+    count, sent = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts])
     one, where = _distinct((s.astype(np.uint64) << np.uint64(40)) | x)
     p = np.zeros(len(one))
     p[where[sent > 0]] = sent[sent > 0]  # all that send one send the same
@@ -244,7 +270,7 @@ def _test_contexts(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]
         new = mine[(wide[mine] > 1) & ~told[mine]]
         told[new] = True
         hot = np.concatenate([n_s[new], t_s[new], gain[new]]).astype(np.float64)
-        out.append(K.pack((n_s * keep)[mine].astype(np.uint64), (t_s * keep)[mine].astype(np.uint32), part[2], answer, states[new], hot))
+        out.append(K.pack((n_s * keep)[mine].astype(np.uint64), (t_s * keep)[mine].astype(np.uint32), part[2], answer, name[new], hot))
     return out
 
 
@@ -259,8 +285,8 @@ def _corpus_sums(answers: DataFrame) -> tuple[int, int]:
 
 
 def _hot_states(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts that were split over buckets, sorted, with N and T (0 if the test fails):
-    each has more than a bucket's share of the tokens, so there are fewer than buckets."""
+    """Contexts that were split over buckets and pass the test, sorted, with N and T: each
+    has more than 1 / HOT of the tokens, so there are HOT at most."""
 
     def run(batches):
         for batch in batches:
@@ -276,37 +302,44 @@ def _hot_states(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return states[order], np.array([(r.n, r.t) for r in rows]).reshape(-1, 2)[order]
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, train (1 or 0), n_tokens, n_known, base_score,
     score (log10), train_tokens; the model learns from the rows where ``train`` (a
     condition on docs) holds.
 
     Words are runs without white space, A-Z lower-cased; every text ends with one end
-    token. Null text is empty: it has one token. Repeated rows each count. A null doc_id
-    stays null. Other columns are ignored; an empty table gives an empty result; without
-    training rows every token has probability 1 over the one unknown symbol.
+    token. Null text is empty: it has one token. Repeated rows each count. Ids are integers; a
+    null one stays null. Other columns are ignored; an empty table gives an empty result; without
+    training rows every token has probability 1 over the one unknown symbol. depth: words of
+    the longest contexts; block: bytes of text that a task holds at once.
     """
-    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.cast("int").alias("mark"))
-    packed = K.blocks(read, F.col("mark"), BLOCK)
-    model = {"buckets": K.bucket_count(packed), "N": 0, "V": 0, "texts": 0, "hot": {}}
+    spark = docs.sparkSession
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.cast("int").alias("mark"))
+    packed = K.keep(read.mapInArrow(_token_batches(block), K.BLOCK_SCHEMA))
+    model = {"buckets": K.bucket_count(packed), "N": 0, "V": 0, "hot": {}}
     answers = stage(K.answer(K.emit(packed, lambda block, arrays: Block(arrays, model).word_parts(block)), _sum_words), "words")
     model["N"], model["V"] = _corpus_sums(answers)
-    model["texts"] = SEEN  # the start of a text always counts as seen often enough
-    for depth in range(1, DEPTH + 1):
+    rounds = 0
+    while rounds < depth:
+        rounds += 1
 
-        def each(block: int, arrays: list[np.ndarray], got: dict[int, list[np.ndarray]], depth: int = depth) -> pa.Table:
+        def each(block: int, arrays: list[np.ndarray], got: dict[int, list[np.ndarray]], depth: int = rounds) -> pa.Table:
             b = _known(arrays, model, got, depth)
             b.lengthen(depth)
             b.keys()
             return b.pair_parts(block, depth)
 
         asked = K.finish(packed, answers, each, K.PART_SCHEMA)
-        told = stage(K.answer(asked, _test_contexts), f"states{depth}")
-        model["hot"][depth] = _hot_states(told)
+        told = stage(K.answer(asked, _test_contexts), f"states{rounds}")
+        if told.isEmpty():  # no context of so many words is seen often enough
+            release(told)
+            rounds -= 1
+            break
+        model["hot"][rounds] = spark.sparkContext.broadcast(_hot_states(told))
         answers = answers.unionByName(told)
 
     def last(block: int, arrays: list[np.ndarray], got: dict[int, list[np.ndarray]]) -> pa.Table:
-        b = _known(arrays, model, got, DEPTH + 1)
+        b = _known(arrays, model, got, rounds + 1)
         at = b.first[:-1]
         sums = [np.add.reduceat(v, at) if len(at) else np.zeros(0) for v in ((b.c > 0).astype(np.int64), np.log10(b.root), np.log10(b.p))]
         ids = pa.array(b.ids, pa.int64(), mask=b.ids == K.MISSING)
