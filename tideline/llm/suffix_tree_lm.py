@@ -20,6 +20,7 @@ in a small table (``HOT`` rows a round at most, by the share that makes a contex
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,9 @@ from tideline.llm import _blocks as K
 from tideline.llm import _bytes as B
 from tideline.llm._shared import crc_mod, release, stage
 
-DEPTH, SEEN, GAIN = 4, 2, 3.0
+DEPTH, SEEN, GAIN = 3, 2, 3.0
 #: Bytes of text in a block.
-BLOCK = 3 << 20
+BLOCK = 4 << 20
 #: Most contexts that are split over buckets: each has more than 1 / HOT of all tokens.
 HOT = 1 << 20
 #: Hashes of the symbols before and after a text.
@@ -162,9 +163,10 @@ class Block:
 
     def pair_parts(self, block: int, depth: int) -> pa.Table:
         count = np.bincount(self.kind, self.weight[self.at], len(self.one)).astype(np.uint64)
-        context, symbol = self.context[self.at][self.one], self.tok[self.at][self.one]
-        # the suffix's probability is asked for with symbols that training has here
-        p = np.where(count > 0, self.p[self.at][self.one], 0).astype(np.float32)
+        context, symbol = self.context[self.at[self.one]], self.tok[self.at[self.one]]
+        # the suffix's probability is asked for with symbols that training has here: at first
+        # the root's, as the symbol's count, which packs better
+        p = np.where(count > 0, (self.c if depth == 1 else self.p)[self.at[self.one]], 0).astype(np.uint32 if depth == 1 else np.float32)
         symbol = B.mix(symbol, 31)
         blobs, runs = [], K.by_bucket(_bucket(self.h, self.buckets))
         for _, a, b in runs:
@@ -190,7 +192,7 @@ class Block:
         wide = self.split > 1
         if wide.any():
             total[wide] = kinds[wide] = 0
-            hot, found = self.model["hot"][depth].value, self.context[self.at][self.one]
+            hot, found = self.model["hot"][depth].value, self.context[self.at[self.one]]
             if len(hot[0]):
                 where = np.minimum(np.searchsorted(hot[0], found), len(hot[0]) - 1)
                 wide &= hot[0][where] == found
@@ -235,7 +237,8 @@ def _sum_words(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) ->
     return out
 
 
-def _test_contexts(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
+def _test_contexts(sums: tuple[int, int], bucket: int, blocks: list[int], parts: list[list[np.ndarray]]) -> list[bytes]:
+    """Whether the contexts pass, with the counts of their symbols; sums: N and V of the root."""
     context = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     split = np.concatenate([p[1] for p in parts])
     size = np.concatenate([p[2] for p in parts])
@@ -250,6 +253,8 @@ def _test_contexts(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]
     one, where = _distinct((s.astype(np.uint64) << np.uint64(40)) | x)
     p = np.zeros(len(one))
     p[where[sent > 0]] = sent[sent > 0]  # all that send one send the same
+    if sent.dtype == np.uint32:
+        p = (p + 1) / (sums[0] + sums[1] + 1)
     n_sx = np.bincount(where, count, len(one))
     state = s[one]
     n_s = np.bincount(state, n_sx, len(states))
@@ -330,7 +335,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             return b.pair_parts(block, depth)
 
         asked = K.finish(packed, answers, each, K.PART_SCHEMA)
-        told = stage(K.answer(asked, _test_contexts), f"states{rounds}")
+        told = stage(K.answer(asked, functools.partial(_test_contexts, (model["N"], model["V"]))), f"states{rounds}")
         if told.isEmpty():  # no context of so many words is seen often enough
             release(told)
             rounds -= 1
