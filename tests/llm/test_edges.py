@@ -415,3 +415,56 @@ def test_suffix_classes_of_far_buckets_stay_apart():
     bucket = np.array([5, 5 + (1 << 20), 5 + (1 << 31), 5 + (1 << 31)], np.uint64)
     kind, one = suffix_dedup._distinct(bucket << np.uint64(32), rows)
     assert len(one) == 4 and (np.diff(bucket[one].astype(np.int64)) >= 0).all() and sorted(kind.tolist()) == [0, 1, 2, 3]
+
+
+def test_near_dedup_pair_among_thousands_of_quotes(spark):
+    """Two near copies, and 12,000 shorter texts of lower ids that quote 30 shingles of the first."""
+    first = [f"w{i}" for i in range(101)]
+    second = [f"changed{i}" if i in (9, 29, 49, 69, 89) else w for i, w in enumerate(first)]
+    texts = [" ".join([*first[i % 70 : i % 70 + 31], *(f"q{i}x{j}" for j in range(10))]) for i in range(12_000)]
+    rows = spark.createDataFrame(list(enumerate([*texts, " ".join(first), " ".join(second)])), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(rows, shingle=2, percent=80).where("doc_id >= 12000 or not kept").collect()}
+    assert got == {12_000: 12_000, 12_001: 12_000}
+
+
+def test_near_dedup_finds_all_links_of_loosely_alike_texts(spark):
+    """Families of texts that are 0.5 to 0.95 alike, against brute force."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = []
+    for base in range(25):
+        words = [f"b{base}w{i}" for i in range(80)]
+        for _ in range(60):
+            own = list(words)
+            for i in rng.sample(range(80), rng.randrange(1, 13)):
+                own[i] = f"x{rng.randrange(60)}"
+            texts.append(" ".join(own))
+        texts += [texts[-1], texts[-1] + " tail"]
+    rng.shuffle(texts)
+    sets = [{*zip(t.split(), t.split()[1:], strict=False)} for t in texts]
+    code = {s: i for i, s in enumerate({x for s in sets for x in s})}
+    member = np.zeros((len(sets), len(code)), np.float32)
+    for i, s in enumerate(sets):
+        member[i, [code[x] for x in s]] = 1
+    shared, size = member @ member.T, member.sum(axis=1)
+    label = np.arange(len(sets))
+    for a, b in zip(*np.nonzero(100 * shared >= 80 * (size[:, None] + size - shared)), strict=True):
+        if label[a] != label[b]:
+            label[label == max(label[a], label[b])] = min(label[a], label[b])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(rows, shingle=2, percent=80).collect()}
+    assert got == dict(enumerate(label.tolist())) and 100 < len({*got.values()}) < len(texts) - 300
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    from tideline.llm import _links
+
+    monkeypatch.setattr(_links, "HOT", 3)
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k)], "k long, i long")
+    one = spark.createDataFrame([(k, k, f"v{k}") for k in range(1, 5)], "k long, n long, v string")
+    assert sorted(map(tuple, _links.join_hot(rows, one, "k", "n").collect())) == sorted((k, i, f"v{k}") for k in range(1, 5) for i in range(k))
+    links = spark.createDataFrame([(0, i) for i in range(1, 20)] + [(30 + i, 31 + i) for i in range(9)] + [(50, 5), (7, 7)], "u long, v long")
+    assert {r.node: r.component for r in _links.components(links).collect()} == {i: 0 for i in [*range(20), 50]} | {i: 30 for i in range(30, 40)}

@@ -9,7 +9,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import stage
+from tideline.llm._shared import fits_broadcast, release, stage
+
+#: Rows of one key from which on its join partner goes to them instead.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, width: int = 64) -> DataFrame:
+    """rows joined with one, which has one row for each key; n: its column with the number of
+    rows that have the key, dropped. Keys of more than HOT rows are broadcast (if their rows
+    in one, of width bytes, are few enough), so that no task gets all rows of one key; the
+    others meet by a shuffle."""
+    heavy = one.where(F.col(n) > HOT).drop(n)
+    count = heavy.count()
+    if not count or not fits_broadcast(count, width):
+        return rows.join(one.drop(n), key)
+    keys = F.broadcast(heavy.select(F.col(key).alias("__hot")))
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(keys, F.col(key) == F.col("__hot"), "left_anti")
+    return hot.unionByName(rest.join(one.where(F.col(n) <= HOT).drop(n), key))
 
 
 def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,15 +56,17 @@ def components(links: DataFrame) -> DataFrame:
     pairs = stage(links.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInPandas(_contract, "u long, v long"), "links")
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
         # large star: larger neighbours move to the least neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both.where("v > u"), least, "u", "n", width=16).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large.where("u > v"), "large")
+        release(pairs, least)
         # small star: smaller neighbours, and the node itself, move to the least of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(down, "u")
+        down = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "down")
+        moved = join_hot(large, down, "u", "n", width=16)
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         small = stage(small, "small")
+        release(large, down)
         # done when every node has one link, to a node without a smaller neighbour
         open_ends = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         twice = small.count() - small.select("u").distinct().count()

@@ -10,11 +10,14 @@ Equal sets form classes first; only one representative of a class is banded. In
 each representative is paired with the least one. Pairs whose signatures agree in a third
 of their slots make up families. In buckets that then still hold several families, members
 of different families are held against each other, in blocks, and families with a pair that
-may be similar enough become one: whatever may be linked lies in one family. A family is
-dealt out in blocks, and each pair of blocks meets in one task with full sets, where
-similar pairs are confirmed exactly; union-find skips pairs that are connected already, so
-a family of n near copies gives about n links, never n^2 rows. A last union-find joins the
-links of all tasks.
+may be similar enough become one: whatever may be linked lies in one family.
+
+Links are confirmed exactly, on full sets, in two rounds. First each member meets the head
+that it is likest to: n near copies give n comparisons and, mostly, one component. A family
+that is one component is done. Where others remain, their members meet all of the family, and those
+of its largest component only them: both are dealt out in blocks, and each pair of blocks
+meets in one task, where union-find skips pairs that are connected already. A last
+union-find joins the links of all tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
-from tideline.llm._links import components
-from tideline.llm._shared import fits_broadcast, stage
+from tideline.llm._links import components, join_hot
+from tideline.llm._shared import fits_broadcast, release, stage
 
 #: Slots, and slots of a band: (1 - 0.8^5)^32 = 3e-6 of the pairs at 0.8 share no bucket.
 SLOTS, ROWS = 160, 5
@@ -163,11 +166,12 @@ def _short(sig: np.ndarray) -> np.ndarray:
 
 
 def _related_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose signatures agree in RELATED of the slots or more."""
+    """The pairs whose signatures agree in RELATED of the slots or more, and in how many."""
     for batch in batches:
         a, b = (np.frombuffer(B.text_buffer(batch.column(c))[0], np.uint8).reshape(-1, SLOTS) for c in ("sig_u", "sig_v"))
-        keep = pa.array((a == b).sum(axis=1) >= RELATED * SLOTS)
-        yield pa.record_batch([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+        alike = (a == b).sum(axis=1)
+        keep = alike >= RELATED * SLOTS
+        yield pa.record_batch([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep)), pa.array(alike[keep], pa.int32())], names=["u", "v", "alike"])
 
 
 def _across(percent: int):
@@ -218,6 +222,28 @@ def _across(percent: int):
     return run
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted) are alike enough."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _confirmed(percent: int):
+    """Links between a head and the members of one of its blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        head, sets = table["head"][0].as_py(), dict(zip(table["id"].to_pylist(), table["set"], strict=True))
+        own = np.frombuffer(sets.pop(head).as_buffer(), np.uint64) if head in sets else np.zeros(0, np.uint64)
+        v = [x for x, raw in sets.items() if len(own) and _similar(own, np.frombuffer(raw.as_buffer(), np.uint64), percent)]
+        return pa.table({"u": pa.array([head] * len(v), pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _linked(percent: int):
     """Links between the members of two blocks (or within one) that connect all that is similar enough."""
     need = (percent / 100 - SLACK) * SLOTS
@@ -229,20 +255,17 @@ def _linked(percent: int):
         sig = np.frombuffer(B.text_buffer(table["sig"])[0], np.uint8).reshape(-1, SLOTS)
         size = np.array([len(x) for x in sets])
         within = table["i"][0].as_py() == table["j"][0].as_py()
-        label = np.arange(len(ids))
+        label = np.unique(table["part"].to_numpy(), return_inverse=True)[1]
         u, v = [], []
         for x in range(len(ids)):
             others = np.arange(x + 1, len(ids))
-            others = others[(100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (within | (block[others] != block[x]))]
+            others = others[(label[others] != label[x]) & (100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (within | (block[others] != block[x]))]
             alike = (sig[others] == sig[x]).sum(axis=1)
             others, alike = others[alike >= need], alike[alike >= need]
             for y in others[np.argsort(-alike, kind="stable")]:
                 if label[y] == label[x]:
                     continue
-                both = np.concatenate([sets[x], sets[y]])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
+                if _similar(sets[x], sets[y], percent):
                     label[label == label[y]] = label[x]
                     u.append(ids[x])
                     v.append(ids[y])
@@ -273,15 +296,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     slots = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
     heads = slots.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = F.least("n_shingles", "head.n_shingles") >= RELATED * F.greatest("n_shingles", "head.n_shingles")
-    stars = slots.join(heads.select("band", "head"), "band").where((F.col("rep") != F.col("head.rep")) & near)
-    pairs = stars.select(F.col("head.rep").alias("u"), F.col("rep").alias("v")).distinct()
+    heads = stage(heads.select("band", F.col("head.rep").alias("head"), F.col("head.n_shingles").alias("size"), "n"), "heads")
+    near = F.least("n_shingles", "size") >= RELATED * F.greatest("n_shingles", "size")
+    stars = join_hot(slots, heads, "band", "n").where((F.col("rep") != F.col("head")) & near)
+    pairs = stars.select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
     sig = reps.select("rep", "sig").dropDuplicates(["rep"])
-    pairs = pairs.join(sig.withColumnsRenamed({"rep": "u", "sig": "sig_u"}), "u").join(sig.withColumnsRenamed({"rep": "v", "sig": "sig_v"}), "v")
-    related = stage(pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(_related_batches, "u long, v long"), "related")
-    families = stage(components(related), "related_families")
+    most = heads.groupBy(F.col("head").alias("u")).agg(F.sum("n").alias("n"))
+    of_head = sig.withColumnsRenamed({"rep": "u", "sig": "sig_u"}).join(most, "u")
+    pairs = join_hot(pairs, of_head, "u", "n", width=256).join(sig.withColumnsRenamed({"rep": "v", "sig": "sig_v"}), "v")
+    related = stage(pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(_related_batches, "u long, v long, alike int"), "related")
+    families = stage(components(related.select("u", "v")), "related_families")
     # buckets that still hold several families: the star compared their members with the head alone
-    held = slots.join(heads.select("band", "n"), "band").join(families.withColumnRenamed("node", "rep"), "rep", "left")
+    held = join_hot(slots, heads.select("band", "n", F.col("n").alias("size")), "band", "n").withColumnRenamed("size", "n").join(families.withColumnRenamed("node", "rep"), "rep", "left")
     held = stage(held.select("band", "n", "rep", "n_shingles", F.coalesce("component", "rep").alias("family")), "held")
     several = held.groupBy("band").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("band")
     open_ = held.join(several, "band", "left_semi").withColumn("blocks", F.ceil(F.col("n") / CROSS).cast("int"))
@@ -291,19 +317,48 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = open_.join(reps.select("rep", "n_shingles", "sig"), ["rep", "n_shingles"]).withColumn("pool", F.pmod(F.xxhash64("band", "i", "j"), F.lit(pools)))
     open_ = open_.select("pool", "band", "i", "j", "block", "rep", "n_shingles", "family", "sig")
     more = stage(open_.groupBy("pool").applyInArrow(_across(percent), "u long, v long"), "across")
+    release(held, heads)
     if not more.isEmpty():
-        families = components(families.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    count = families.groupBy("component").count()
-    families = families.join(count, "component").select("node", F.col("component").alias("family"), F.ceil(F.col("count") / MEMBERS).cast("int").alias("blocks"))
-    families = stage(families, "families")
-    wanted = families.select(F.col("node").alias("doc_id"))
-    wanted = F.broadcast(wanted) if fits_broadcast(families.count(), 16) else wanted
-    sets = read.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "id long, set binary, sig binary")
-    dealt = sets.join(families, F.col("id") == F.col("node")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "set", "sig")
-    links = dealt.groupBy("family", "i", "j").applyInArrow(_linked(percent), "u long, v long")
+        joined = stage(components(families.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "joined_families")
+        release(families)
+        families = joined
+    families = families.select("node", F.col("component").alias("family"))
+
+    def sets_of(wanted: DataFrame, n: int) -> DataFrame:
+        some = F.broadcast(wanted) if fits_broadcast(n, 16) else wanted
+        return read.join(some, "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "id long, set binary, sig binary")
+
+    # each member meets the head that it is likest to
+    best = related.where(F.col("alike") >= (percent / 100 - SLACK) * SLOTS).groupBy("v").agg(F.max(F.struct("alike", (-F.col("u")).alias("less"))).alias("best"))
+    best = stage(best.select(F.col("v").alias("id"), (-F.col("best.less")).alias("head")), "best")
+    stars = stage(best.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")), "stars")
+    roles = join_hot(best, stars, "head", "n", width=24).select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    roles = roles.unionByName(stars.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    wanted = stage(roles.select(F.col("id").alias("doc_id")).distinct(), "met")
+    met = sets_of(wanted, wanted.count()).select("id", "set").join(roles, "id").select("head", "block", "id", "set")
+    links = stage(met.groupBy("head", "block").applyInArrow(_confirmed(percent), "u long, v long"), "links")
     parts = stage(components(links), "parts")
+    release(best, stars, wanted, related)
+
+    # families that are several components so far: the others' members meet all, those of the largest only them
+    placed = stage(families.join(parts, "node", "left").select("node", "family", F.coalesce("component", "node").alias("part")), "placed")
+    sized = placed.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    sized = sized.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("parts > 1")
+    rest = F.ceil((F.col("n") - F.col("top.n")) / MEMBERS).cast("int")
+    sized = stage(sized.select("family", F.col("top.part").alias("largest"), F.ceil(F.col("top.n") / MEMBERS).cast("int").alias("first"), rest.alias("rest"), "n"), "unresolved")
+    left = join_hot(placed, sized, "family", "n", width=40)
+    large = F.col("part") == F.col("largest")
+    block = F.when(large, F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    others = F.sequence(F.when(large, F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("rest") - 1)
+    left = stage(left.select(F.col("node").alias("id"), "family", "part", block.alias("block"), others.alias("others")), "left")
+    dealt = sets_of(left.select(F.col("id").alias("doc_id")), left.count()).join(left, "id").withColumn("other", F.explode("others"))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "part", "id", "set", "sig")
+    across = stage(dealt.groupBy("family", "i", "j").applyInArrow(_linked(percent), "u long, v long"), "across_links")
+    if not across.isEmpty():
+        joined = stage(components(links.unionByName(across)), "joined_parts")
+        release(parts)
+        parts = joined
+    release(placed, sized, left, links)
 
     placed = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
