@@ -2,6 +2,10 @@
 
 quality classifier, exact dedup, MinHash near-dedup, benchmark decontamination, mixing.
 The classifier is fitted on sf_dir's labels (all labelled rows may be learnt from here).
+
+All stages take documents with extra columns of any name and return all columns, but for the
+last. An empty table stays empty. Decisions go by doc_id: rows that repeat one go or stay
+together, and a null one is an id like others.
 """
 
 from __future__ import annotations
@@ -24,26 +28,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with a score of GOOD or more. Null and empty texts are scored by their
+    statistics; a null n_chars counts as 0; without any label all stay. Rows of one doc_id
+    share their best score."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality_fm.keep_good(docs, labels, GOOD, metadata=("n_chars",))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without lesser exact copies: of texts that differ in white space alone, the
+    longest stays, then the smallest doc_id. Null, empty and blank texts are one group."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the smallest doc_id of each group of near copies. Texts without words are
+    copies of nothing; one of fewer words than SHINGLE is one shingle; a null doc_id stays."""
     return near_dedup.drop_near_copies(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those of whose words a twentieth or more are in windows of the
+    benchmark. Texts and items without words match nothing."""
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each of docs: doc_id, n_tokens, domain, rate, copies, off_target. copies is
+    how often to take the document (0: not at all) and is what meets the targets, on
+    average; clean documents keep their row. Empty texts have no tokens and any rate does."""
     labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
     rates = mixing.mix(docs, labelled, TARGETS)
-    return rates.select("doc_id", "n_tokens", "domain", "rate", "copies")
+    return rates.select("doc_id", "n_tokens", "domain", "rate", "copies", "off_target")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminated), ("mix", mixed)]
