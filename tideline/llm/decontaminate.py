@@ -2,10 +2,11 @@
 
 Every text becomes the hashes of its k-word shingles; the smallest hash of each window of
 ``span - k + 1`` shingles is its fingerprint, so any shared run of ``span`` words shares a
-fingerprint. Fingerprints of the corpus meet those of the benchmark in a join; documents
-with a hit are read again, their hits give diagonals (document word minus item word), and
-along each diagonal the equal words are laid out in runs. Runs of at least ``span`` words,
-or whole shorter items, are contamination.
+fingerprint. Fingerprints of the corpus, from one pass over it, meet those of the benchmark
+in a join. Documents with a hit are read again: where a shingle is the fingerprint of an
+item's window, the hit is extended to the whole window and confirmed word by word. Equal
+windows of an item are one, so repeated words cost no more than others. Items shorter than
+a span are one window, found by the hash of all their words.
 
 DataFrame functions only. Higher-order functions work inside one row, joins on hashes
 carry ids and positions, and only documents with a fingerprint hit are laid out.
@@ -65,21 +66,16 @@ def _item_table(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _item_prints(items: DataFrame) -> DataFrame:
-    """fp, item, ipos of items of a full window, at every position where the hash is one of their minima."""
-    both = items.where(F.size("iw") >= SPAN).select("item", shingle_hashes(F.col("iw")).alias("h"))
-    found = both.select("item", "h", fingerprints(F.col("h")).alias("m"))
-    return (
-        found.select("item", "m", F.posexplode("h").alias("ipos", "fp"))
-        .where(F.array_contains("m", F.col("fp")))
-        .select("fp", "item", "ipos")
-    )
-
-
-def _short_prints(items: DataFrame) -> DataFrame:
-    """n, fp, item of items shorter than a window: the hash of all their n words."""
-    short = items.where(F.size("iw") < SPAN)
-    return short.select(F.size("iw").alias("n"), F.expr("xxhash64(iw)").alias("fp"), "item")
+def _item_windows(items: DataFrame) -> DataFrame:
+    """win (a key), item_id, n, words, fp and offset (where in the window the fingerprint is) of
+    the distinct windows of each item."""
+    n = F.least(F.size("iw"), F.lit(SPAN))
+    found = items.select("item", "item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("iw") - n + 1), lambda i: F.slice("iw", i, n))).alias("words"))
+    found = found.dropDuplicates(["item", "words"])
+    least = F.slice(shingle_hashes(F.col("words")), 1, SPAN - SHINGLE + 1)
+    found = found.withColumn("fp", F.when(F.col("n") < SPAN, F.xxhash64("words")).otherwise(F.array_min(least)))
+    offset = F.when(F.col("n") < SPAN, F.lit(0)).otherwise(F.array_position(least, F.col("fp")) - 1)
+    return found.select(F.xxhash64("item", "words").alias("win"), "item_id", "n", "words", "fp", offset.cast("int").alias("offset"))
 
 
 def _sized(side: DataFrame, rows: int, width: int) -> DataFrame:
@@ -101,29 +97,24 @@ def contamination(
     Repeated documents each get a row. Extra columns are ignored. An empty benchmark
     leaves every document clean; an empty corpus gives an empty result.
     """
-    items = stage(_item_table(benchmark, item_id_col, item_text_col), "items")
-    prints = stage(_item_prints(items), "prints")
-    shorts = stage(_short_prints(items), "shorts")
-    n_items, n_prints = items.count(), prints.count()
-    short_sizes = [r.n for r in shorts.select("n").distinct().collect()]  # at most 12 numbers
+    windows = stage(_item_windows(_item_table(benchmark, item_id_col, item_text_col)), "windows")
+    prints = windows.select("fp", "win", "n", "offset")
+    n_prints = prints.count()
+    width = windows.agg(F.sum(F.length(F.concat_ws(" ", "words")) + F.length(F.coalesce(F.col("item_id").cast("string"), F.lit(""))) + 64)).first()[0] or 0
+    short = [r.n for r in windows.where(F.col("n") < SPAN).select("n").distinct().collect()]  # at most 12 numbers
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     split = read.select("doc_id", F.xxhash64("text").alias("rk"), words(F.col("text")).alias("w"))
-    winnowed = split.select("doc_id", "rk", F.size("w").alias("n_words"), fingerprints(shingle_hashes(F.col("w"))).alias("h"))
-    probes = winnowed.select(
-        "doc_id", "rk", "n_words", F.greatest(F.size("h"), F.lit(1)).alias("n_prints"), F.lit(1).alias("main"), F.explode_outer("h").alias("fp")
-    )
-    targets = prints.select("fp")
-    for n in short_sizes:
-        grams = split.where(F.size("w") >= n).select("doc_id", "rk", F.size("w").alias("n_words"), F.explode(_grams("w", n)).alias("fp"))
-        probes = probes.unionByName(grams.select("doc_id", "rk", "n_words", F.lit(0).alias("n_prints"), F.lit(0).alias("main"), "fp"))
-    if short_sizes:
-        targets = targets.unionByName(shorts.select("fp"))
-    targets = targets.distinct().withColumn("hit", F.lit(1))
-    first = probes.join(_sized(targets, n_prints + n_items, 24), "fp", "left")
+    probe = fingerprints(shingle_hashes(F.col("w")))
+    if short:
+        probe = F.array_distinct(F.concat(probe, *[_grams("w", n) for n in short]))
+    probes = split.select("doc_id", "rk", F.size("w").alias("n_words"), probe.alias("h"))
+    probes = probes.select("doc_id", "rk", "n_words", F.greatest(F.size("h"), F.lit(1)).alias("n_prints"), F.explode_outer("h").alias("fp"))
+    targets = prints.select("fp").distinct().withColumn("hit", F.lit(1))
+    first = probes.join(_sized(targets, n_prints, 24), "fp", "left")
     # one row for each distinct (doc_id, text), and how often it occurs
     seen = first.groupBy("doc_id", "rk").agg(
-        F.max("n_words").alias("n_words"), F.max("hit").alias("hit"), (F.sum("main") / F.max("n_prints")).cast("int").alias("times")
+        F.max("n_words").alias("n_words"), F.max("hit").alias("hit"), (F.count(F.lit(1)) / F.max("n_prints")).cast("int").alias("times")
     )
     seen = stage(seen, "seen")
 
@@ -132,27 +123,22 @@ def contamination(
     again = read.withColumn("rk", F.xxhash64("text")).join(suspects, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k")), "left_semi")
     again = stage(again.dropDuplicates(["doc_id", "rk"]).select("doc_id", "rk", words(F.col("text")).alias("w")), "suspects")
 
-    positions = again.select("doc_id", "rk", F.posexplode(shingle_hashes(F.col("w"))).alias("dpos", "fp"))
-    diagonals = positions.join(_sized(prints, n_prints, 32), "fp").select("doc_id", "rk", "item", (F.col("dpos") - F.col("ipos")).alias("diag"))
-    for n in short_sizes:
-        own = again.where(F.size("w") >= n).select("doc_id", "rk", F.posexplode(_grams("w", n)).alias("dpos", "fp"))
-        own = own.join(_sized(shorts.where(F.col("n") == n).select("fp", "item"), n_items, 24), "fp")
-        diagonals = diagonals.unionByName(own.select("doc_id", "rk", "item", F.col("dpos").alias("diag")))
-
-    per_pair = diagonals.groupBy("doc_id", "rk", "item").agg(F.collect_set("diag").alias("diags"))
-    laid = per_pair.withColumnsRenamed({"doc_id": "d", "rk": "k"}).join(again, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("rk")))
-    laid = laid.join(_sized(items, n_items, 2048), "item").select("doc_id", "rk", "item", "item_id", "w", "iw", F.explode("diags").alias("diag"))
-    equal = F.filter(
-        F.sequence(F.lit(0), F.size("iw") - 1),
-        lambda j: (F.col("diag") + j >= 0) & (F.get(F.col("w"), F.col("diag") + j) == F.get(F.col("iw"), j)),
-    )
-    equal = laid.select("doc_id", "rk", "item", "item_id", "diag", F.least(F.size("iw"), F.lit(SPAN)).alias("need"), F.explode(equal).alias("j"))
-    line = ["doc_id", "rk", "item", "diag"]
-    equal = equal.withColumn("island", F.col("j") - F.row_number().over(W.Window.partitionBy(*line).orderBy("j")))
-    runs = equal.withColumn("run", F.count(F.lit(1)).over(W.Window.partitionBy(*line, "island"))).where("run >= need")
-    found = runs.groupBy("doc_id", "rk").agg(
-        F.count_distinct(F.col("diag") + F.col("j")).alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids")
-    )
+    at = _placed(shingle_hashes(F.col("w")), SPAN)
+    if short:
+        at = F.concat(at, *[_placed(_grams("w", n), n) for n in short])
+    at = again.select("doc_id", "rk", F.size("w").alias("size"), F.explode(at).alias("at")).select("doc_id", "rk", "size", "at.*")
+    near = at.join(_sized(prints, n_prints, 40), ["fp", "n"]).select("doc_id", "rk", "win", "n", "size", (F.col("pos") - F.col("offset")).alias("start"))
+    near = near.where("start >= 0 and start + n <= size").select("doc_id", "rk", "win", "start").distinct()
+    near = near.withColumnsRenamed({"doc_id": "d", "rk": "k"}).join(again, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("rk")))
+    told = windows.select("win", "item_id", "n", "words")
+    told = F.broadcast(told) if fits_broadcast(1, width) else told
+    hits = near.join(told, "win").where(F.slice("w", F.col("start") + 1, F.col("n")) == F.col("words")).select("doc_id", "rk", "start", "n", "item_id")
+    # the words that hits cover: of hits in order, what each adds beyond those before it
+    ids = F.collect_set(F.col("item_id").cast("string"))
+    starts = hits.groupBy("doc_id", "rk", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"), ids.alias("ids"))
+    before = F.max("end").over(W.Window.partitionBy("doc_id", "rk").orderBy("start").rowsBetween(W.Window.unboundedPreceding, -1))
+    added = starts.select("doc_id", "rk", "ids", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("added"))
+    found = added.groupBy("doc_id", "rk").agg(F.sum("added").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     found = found.withColumnsRenamed({"doc_id": "d", "rk": "k"})
     base = seen.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k")), "left")
@@ -167,14 +153,18 @@ def contamination(
     )
 
 
+def _placed(hashes: Column, n: int) -> Column:
+    return F.transform(hashes, lambda x, i: F.struct(i.alias("pos"), x.alias("fp"), F.lit(n).alias("n")))
+
+
 def _grams(name: str, n: int) -> Column:
-    """Hashes of all n-word runs."""
+    """Hashes of all n-word runs; none if there are fewer words."""
     arr = F.col(name)
-    return F.transform(F.sequence(F.lit(1), F.size(arr) - (n - 1)), lambda i: F.xxhash64(F.slice(arr, i, n)))
+    return F.when(F.size(arr) >= n, F.transform(F.sequence(F.lit(1), F.size(arr) - (n - 1)), lambda i: F.xxhash64(F.slice(arr, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones; all columns stay."""
     id_col = options.get("id_col", "doc_id")
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
+    return docs.alias("all").join(bad.alias("bad"), F.col(f"all.{id_col}").eqNullSafe(F.col("bad.doc_id")), "left_anti")
