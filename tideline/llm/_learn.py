@@ -24,7 +24,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Data
     labelled more than once takes its mean label, rounded; null ids and labels do not count."""
     one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     ids = stage(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n), "sample")  # n rows: bounded, so it may be broadcast
-    return docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return one_text(docs.join(F.broadcast(ids), "doc_id"))
+
+
+def one_text(rows: DataFrame) -> DataFrame:
+    """One row for each doc_id: that with the least text by hash, whatever the order of rows."""
+    best = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return best.select("doc_id", "row.*")
 
 
 def fit(sample: DataFrame, train: Callable[[pa.Table], list[np.ndarray]]) -> list[np.ndarray]:

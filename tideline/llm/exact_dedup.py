@@ -97,6 +97,6 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows whose doc_id exact_groups does not keep; all columns stay, and
     rows that repeat a kept doc_id stay with it."""
-    keep = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
+    keep = exact_groups(docs, **options).where("kept").select("doc_id").distinct()
     id_col = options.get("id_col", "doc_id")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    return docs.alias("all").join(keep.alias("keep"), F.col(f"all.{id_col}").eqNullSafe(F.col("keep.doc_id")), "left_semi")

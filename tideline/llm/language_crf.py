@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
-from tideline.llm._learn import by_piece, fit, sums_by
+from tideline.llm._learn import by_piece, fit, one_text, sums_by
 from tideline.llm._shared import stage
 
 BITS, LEX_BITS, STEP = 18, 15, 64
@@ -71,6 +71,10 @@ class Words:
         return sums_by(self.row, weights[self.feature], self.n) + scale * lexicon[self.lexical]
 
 
+#: Numbers in the transfer matrices that are held at once.
+HELD = 1 << 24
+
+
 def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Forward-backward over words laid end to end; first marks each chain's first word."""
     n, k = emission.shape
@@ -82,11 +86,19 @@ def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray,
     e = np.concatenate([e, np.ones((pad, k), e.dtype)]).reshape(steps, STEP, k)
     first = np.concatenate([first, np.ones(pad, bool)]).reshape(steps, STEP)
     t, s = np.exp(transition - transition.max()).astype(e.dtype), np.exp(start - start.max()).astype(e.dtype)
-    into = np.where(first[:, :, None, None], s[None, None, None, :], t[None, None, :, :]) * e[:, :, None, :]
-    product = into[:, 0]
-    for j in range(1, STEP):
-        product = product @ into[:, j]
-        product /= product.sum(axis=(1, 2), keepdims=True)
+    slices = [slice(a, a + max(1, HELD // (STEP * k * k))) for a in range(0, steps, max(1, HELD // (STEP * k * k)))]
+
+    def into(at: slice) -> np.ndarray:
+        return np.where(first[at][:, :, None, None], s[None, None, None, :], t[None, None, :, :]) * e[at][:, :, None, :]
+
+    product = np.empty((steps, k, k), e.dtype)
+    for at in slices:
+        m = into(at)
+        acc = m[:, 0]
+        for j in range(1, STEP):
+            acc = acc @ m[:, j]
+            acc /= acc.sum(axis=(1, 2), keepdims=True)
+        product[at] = acc
     ahead, behind = np.empty((steps, k), e.dtype), np.empty((steps, k), e.dtype)
     v = np.full(k, 1 / k, e.dtype)
     for c in range(steps):
@@ -98,16 +110,18 @@ def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray,
         behind[c] = v
         v = product[c] @ v
         v /= v.sum()
-    alpha, beta = np.empty_like(e), np.empty_like(e)
-    for j in range(STEP):
-        ahead = np.einsum("ci,cij->cj", ahead, into[:, j])
-        ahead /= ahead.sum(axis=1, keepdims=True)
-        alpha[:, j] = ahead
-    for j in range(STEP - 1, -1, -1):
-        beta[:, j] = behind
-        behind = np.einsum("cij,cj->ci", into[:, j], behind)
-        behind /= behind.sum(axis=1, keepdims=True)
-    out = (alpha * beta).reshape(-1, k)[:n]
+    out = np.empty_like(e)
+    for at in slices:
+        m, f, b = into(at), ahead[at], behind[at]
+        for j in range(STEP):
+            f = np.einsum("ci,cij->cj", f, m[:, j])
+            f /= f.sum(axis=1, keepdims=True)
+            out[at, j] = f
+        for j in range(STEP - 1, -1, -1):
+            out[at, j] *= b
+            b = np.einsum("cij,cj->ci", m[:, j], b)
+            b /= b.sum(axis=1, keepdims=True)
+    out = out.reshape(-1, k)[:n]
     return out / out.sum(axis=1, keepdims=True)
 
 
@@ -208,8 +222,9 @@ def label_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = docs.where(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    ids = stage(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).dropDuplicates(["doc_id"]), "sample")  # bounded, so it may be broadcast
-    arrays = fit(read.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), _train)
+    ids = ids.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    ids = stage(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")  # bounded, so it may be broadcast
+    arrays = fit(one_text(read.join(F.broadcast(ids), "doc_id")), _train)
     if not arrays:
         return read.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_switches"))
     names = arrays[5].tobytes().decode().split("\0")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
-from tideline.llm._learn import Adam, bag, by_piece, fit, sums_by
+from tideline.llm._learn import Adam, bag, by_piece, fit, one_text, sums_by
 from tideline.llm._shared import stage
 
 BITS, EPOCHS, BATCH, RATE = 16, 4, 64, 0.02
@@ -66,7 +66,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     ids = stage(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")  # bounded, so it may be broadcast
-    arrays = fit(read.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), _train)
+    arrays = fit(one_text(read.join(F.broadcast(ids), "doc_id")), _train)
     kind = read.schema["doc_id"].dataType.simpleString()
     names = arrays[2].tobytes().decode().split("\0") if arrays else ["all"]
     k = len(names)
@@ -101,7 +101,9 @@ def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
 
 def rates(scored: DataFrame, names: list[str], targets: dict[str, float]) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), posterior, rate, copies (the rate rounded
-    up or down at random by a hash of doc_id, right on average)."""
+    up or down at random by a hash of doc_id, right on average: how often to take the
+    document), and off_target: the largest difference, on every row the same, between a
+    domain's expected share of tokens and its target, under TOLERANCE if the targets are met."""
     k = len(names)
     total = sum(targets.get(x, 0.0) for x in names) or 1.0
     want = np.array([targets.get(x, 0.0) / total for x in names])
@@ -120,13 +122,11 @@ def rates(scored: DataFrame, names: list[str], targets: dict[str, float]) -> Dat
     base = totals(moves)
     tokens = max(base.sum(), 1.0)
     mass = np.maximum(base / tokens, 1e-9)
-    now = base
-    for _ in range(STEPS):
-        off = now / tokens - want
-        if np.abs(off).max() < TOLERANCE or not base.sum():
-            break
+    off = base / tokens - want if base.sum() else np.zeros(k)
+    while np.abs(off).max() >= TOLERANCE and len(moves) < STEPS:
         moves.append(off / mass)
-        now = totals(moves)
+        off = totals(moves) / tokens - want
+    left = float(np.abs(off).max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,15 +138,16 @@ def rates(scored: DataFrame, names: list[str], targets: dict[str, float]) -> Dat
     kind = scored.schema["doc_id"].dataType.simpleString()
     made = scored.mapInArrow(run, f"doc_id {kind}, n_tokens long, domain string, posterior double, rate double")
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return made.withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return made.withColumns({"copies": F.floor(F.col("rate") + chance).cast("long"), "off_target": F.lit(left)})
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, domain, posterior, rate, copies.
+    """One row per input row: doc_id, n_tokens, domain, posterior, rate, copies, off_target.
 
     targets maps domains to weights (scaled to sum to 1; a domain without one gets 0); the
     token total stays that of docs. A target for a domain that no document has any share of
-    can't be met; rates then come as close as STEPS steps get. Null text is empty: no
+    can't be met; rates then come as close as STEPS
+    steps get, and off_target tells how close. Null text is empty: no
     tokens, the classifier's prior as posterior, a rate like any other. Without labelled
     rows there is one domain and all rates go to its target. Repeated rows get equal rates;
     other columns are ignored; an empty table gives an empty result.

@@ -369,5 +369,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near-duplicates; all columns stay."""
     id_col = options.get("id_col", "doc_id")
-    keep = near_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    keep = near_groups(docs, **options).where("kept").select("doc_id").distinct()
+    return docs.alias("all").join(keep.alias("keep"), F.col(f"all.{id_col}").eqNullSafe(F.col("keep.doc_id")), "left_semi")

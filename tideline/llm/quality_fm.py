@@ -164,5 +164,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
     """docs whose score reaches the threshold; all columns stay. Rows of one doc_id share
     their best score."""
     id_col = options.get("id_col", "doc_id")
-    bad = score(docs, labels, **options).groupBy("doc_id").agg(F.max("score").alias("score")).where(F.col("score") < threshold).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = score(docs, labels, **options).groupBy("doc_id").agg(F.max("score").alias("score")).where(F.col("score") < threshold).select("doc_id")
+    return docs.alias("all").join(bad.alias("bad"), F.col(f"all.{id_col}").eqNullSafe(F.col("bad.doc_id")), "left_anti")
