@@ -8,6 +8,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def append(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows behind those of current; columns are matched by name."""
+    return current.unionByName(rows)
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str, updates: list[str]) -> DataFrame:
     """Rows of changes replace the named columns of current rows with their key; new keys are added."""
     marked = current.withColumn("_v", F.lit(0)).unionByName(changes.withColumn("_v", F.lit(1)))

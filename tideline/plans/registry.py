@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tideline.plans import audits, captions, catalog, documents, store, stories
+from tideline.plans import audits, boundaries, captions, catalog, documents, store, stories
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (stories, captions, audits, catalog, store, documents):
+for _module in (stories, captions, audits, catalog, store, documents, boundaries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
