@@ -104,9 +104,16 @@ def stable_seed(x: Column) -> Column:
     return F.conv(F.substring(F.sha2(x, 256), 1, 8), 16, 10).cast("long")
 
 
-def caption_phrases(x: Column | str, least: int = 3, most: int = 7) -> Column:
+def words_as_characters(words: str, vocabulary: str) -> Column:
+    """The words of one array as a string of one character each: the word's place among the
+    distinct words of the other (up to 55,000 of them), from U+0100 on."""
+    place = F.transform(F.col(words), lambda w: F.array_position(F.array_distinct(F.col(vocabulary)), w) + 255)
+    return F.decode(F.unhex(F.array_join(F.transform(place, lambda n: F.lpad(F.hex(n), 4, "0")), "")), "UTF-16BE")
+
+
+def caption_phrases(x: str, least: int = 3, most: int = 7) -> Column:
     """Short caption phrases: a group ends at most words, or at punctuation once it has
-    least; a short last group takes words from the one before, or joins it."""
+    least; a short last group takes words from the one before, or joins it. x names a column."""
     step = "struct(cast(array() as array<array<string>>) as done, cast(array() as array<string>) as open)"
     return F.expr(f"""
       transform(array(aggregate(
@@ -122,7 +129,7 @@ def caption_phrases(x: Column | str, least: int = 3, most: int = 7) -> Column:
               concat(slice(g, 1, size(g) - 2), array(
                 slice(element_at(g, -2), 1, size(element_at(g, -2)) - t),
                 concat(slice(element_at(g, -2), size(element_at(g, -2)) - t + 1, t), element_at(g, -1))))))[0]))[0]
-    """.replace("_text", x if isinstance(x, str) else "_text"))
+    """.replace("_text", x))
 
 
 def two_decimals(x: Column | str) -> Column:

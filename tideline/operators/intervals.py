@@ -85,3 +85,15 @@ def scenes(shots: DataFrame, key: str, max_scene_ms: int, silent: DataFrame | No
     placed = each.select(key, "_i", F.explode(fold).alias("o")).select(key, "_i", F.col("o.ordinal").alias("ordinal"), F.col("o.n").alias("_n"))
     number = F.dense_rank().over(W.partitionBy(key).orderBy("_i", "_n")) - 1
     return placed.select(key, "ordinal", number.cast("long").alias("scene"))
+
+
+def placed_by(rows: DataFrame, bucket: list[Column], order: list) -> DataFrame:
+    """rows with _place, their place (from 1) in the order of bucket and then of order. bucket
+    must be coarse (some thousands of values): counts of the buckets are summed in one task,
+    places inside a bucket are given where it is."""
+    names = [f"_b{i}" for i in range(len(bucket))]
+    marked = rows.withColumns(dict(zip(names, bucket, strict=True)))
+    counts = marked.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*names).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy(*names).orderBy(*order))
+    return marked.withColumn("_own", own).join(F.broadcast(counts.select(*names, before.alias("_before"))), names).withColumn("_place", F.col("_before") + F.col("_own")).drop("_own", "_before", *names)

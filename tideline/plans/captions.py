@@ -47,21 +47,41 @@ chunks AS (SELECT conv_id, i::INTEGER AS chunk, (i * 60)::DOUBLE AS s, least(dur
 SELECT conv_id, chunk, left(string_agg(text, chr(10) ORDER BY turn, text), 16000) AS body FROM chunks JOIN transcript USING (conv_id)
 WHERE end_ms / 1000.0::DOUBLE >= s AND start_ms / 1000.0::DOUBLE <= e GROUP BY 1, 2""", "transcript")
 def j3_transcript_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed bounds: a turn that touches a chunk's edge is in both chunks."""
-    said = ad.transcript(spark, sf)
-    span = said.groupBy("conv_id").agg((F.max("end_ms") / F.lit(1000.0)).alias("dur"))
-    chunks = iv.windows(span, F.col("dur"), 60)
-    joined = chunks.join(said, "conv_id").where((F.col("end_ms") / F.lit(1000.0) >= F.col("chunk_start")) & (F.col("start_ms") / F.lit(1000.0) <= F.col("chunk_end")))
+    """Closed bounds: a turn that touches a chunk's edge is in both chunks. A turn names its chunks itself, so nothing is joined."""
+    seconds = lambda c: F.col(c) / F.lit(1000.0)
+    said = ad.transcript(spark, sf).withColumn("dur", F.max(seconds("end_ms")).over(W.partitionBy("conv_id")))
+    first, last = F.greatest(F.lit(0), F.ceil(seconds("start_ms") / 60) - 1), F.least(F.floor(seconds("end_ms") / 60), F.ceil(F.col("dur") / 60) - 1)
+    joined = said.withColumn("chunk", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return joined.groupBy("conv_id", "chunk").agg(F.substring(F.array_join(F.transform(listed, lambda t: t["text"]), "\n"), 1, 16000).alias("body"))
 
 
-@query("f12_caption_phrases")
+#: Phrases as DuckDB SQL from rows in(id, text, s, e): words, a fold over them that closes groups,
+#: what a short last group takes, and the times that the phrases get.
+_PHRASES = r""",
+ws AS (SELECT id, s, e, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS w FROM rows_in),
+wd AS (SELECT id, i, w[i] AS word, regexp_matches(w[i], '[,;:.!?]["'')\]]*$') AS b FROM ws, unnest(range(1, len(w) + 1)) t(i)),
+fold AS (SELECT id, i, word, 0 AS g, 1 AS n, false AS shut FROM wd WHERE i = 1 UNION ALL
+  SELECT d.id, d.i, d.word, f.g + f.shut::INT, CASE WHEN f.shut THEN 1 ELSE f.n + 1 END,
+    (CASE WHEN f.shut THEN 1 ELSE f.n + 1 END) >= 7 OR ((CASE WHEN f.shut THEN 1 ELSE f.n + 1 END) >= 3 AND d.b) FROM fold f JOIN wd d ON d.id = f.id AND d.i = f.i + 1),
+sz AS (SELECT id, g, count(*) AS k FROM fold GROUP BY 1, 2),
+ends AS (SELECT a.id, a.g AS lg, a.k AS lk, p.k AS pk, least(3 - a.k, greatest(0, p.k - 3)) AS t FROM sz a JOIN sz p ON p.id = a.id AND p.g = a.g - 1 WHERE a.g = (SELECT max(g) FROM sz z WHERE z.id = a.id) AND a.k < 3),
+moved AS (SELECT f.id, f.i, f.word, CASE WHEN x.id IS NULL THEN f.g WHEN lk + t < 3 AND pk + lk <= 7 AND f.g = lg THEN lg - 1 WHEN NOT (lk + t < 3 AND pk + lk <= 7) AND f.g = lg - 1 AND f.n > pk - t THEN lg ELSE f.g END AS g FROM fold f LEFT JOIN ends x ON x.id = f.id),
+ph AS (SELECT id, g, string_agg(word, ' ' ORDER BY i) AS phrase FROM moved GROUP BY 1, 2),
+wt AS (SELECT *, greatest(1, len(regexp_extract_all(phrase, '[\p{L}\p{N}_''][\p{L}\p{N}_'']*'))) + CASE WHEN regexp_matches(phrase, '[.!?]["'')\]]*$') THEN 0.65::DOUBLE WHEN regexp_matches(phrase, '[,;:]["'')\]]*$') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM ph),
+sh AS (SELECT wt.*, s, e, sum(weight) OVER (PARTITION BY id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(weight) OVER (PARTITION BY id) AS share, max(g) OVER (PARTITION BY id) AS top FROM wt JOIN ws USING (id)),
+en AS (SELECT *, CASE WHEN g = top THEN e ELSE s + (e - s) * share END AS cue_end FROM sh),
+cues AS (SELECT id, g AS cue, coalesce(lag(cue_end) OVER (PARTITION BY id ORDER BY g), s) AS cue_start, cue_end, phrase FROM en)
+"""
+_TURNS_IN = ", rows_in AS (SELECT conv_id || ':' || turn AS id, conv_id, turn, text, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e FROM transcript)"
+
+
+@query("f12_caption_phrases", _TURNS_IN + _PHRASES + "SELECT conv_id, turn, cue::INTEGER AS pos, phrase FROM cues JOIN rows_in USING (id)", "transcript")
 def f12_caption_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).select("conv_id", "turn", F.posexplode(T.caption_phrases("text")).alias("pos", "words")).select("conv_id", "turn", "pos", F.array_join("words", " ").alias("phrase"))
 
 
-@query("w7_timed_captions")
+@query("w7_timed_captions", _TURNS_IN + _PHRASES + "SELECT conv_id, turn, cue::INTEGER AS cue, round(cue_start, 3) AS cue_start, round(cue_end, 3) AS cue_end, phrase FROM cues JOIN rows_in USING (id) WHERE e > s", "transcript")
 def w7_timed_captions(spark: SparkSession, sf: str) -> DataFrame:
     said = ad.transcript(spark, sf).select("conv_id", "turn", "text", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"))
     cues = cp.timed_phrases(said, ["conv_id", "turn"], "text", "start_s", "end_s")
@@ -218,3 +238,58 @@ def a8_clamped_words(spark: SparkSession, sf: str) -> DataFrame:
     timed = F.transform("w", lambda w, i: F.struct((F.col("start_ms") + i * 300).alias("s"), (F.col("start_ms") + (i + 1) * 300).alias("e")))
     kept = F.filter(timed, lambda x: x["s"] < F.col("lim"))
     return said.withColumn("kept", kept).where("size(kept) > 0").select("conv_id", "turn", F.size("kept").cast("long").alias("n_words"), F.array_max(F.transform("kept", lambda x: F.least(x["e"], F.col("lim")))).alias("last_ms"))
+
+
+_OFF = ", off AS (SELECT *, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM transcript)"
+_SPAN = "place / 1000.0::DOUBLE AS s, (place + end_ms - start_ms) / 1000.0::DOUBLE AS e"
+_MS = "SELECT conv_id, turn, cue::INTEGER AS cue, round(cue_start * 1000)::BIGINT AS start_ms, round(cue_end * 1000)::BIGINT AS end_ms, phrase FROM cues JOIN rows_in USING (id) WHERE e > s"
+
+
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as segments of an output, one after another: at (its place), and how long."""
+    at = cp.running_offset(F.col("end_ms") - F.col("start_ms"), ["conv_id"], ["turn", "text"]).cast("long")
+    return ad.transcript(spark, sf).withColumn("at", at).withColumn("length", F.col("end_ms") - F.col("start_ms"))
+
+
+def _cues(rows: DataFrame, keys: list[str], begin, length) -> DataFrame:
+    """Timed phrases of rows, in whole milliseconds."""
+    timed = cp.timed_phrases(rows.withColumns({"s": begin / 1000, "e": (begin + length) / 1000}), keys, "text", "s", "e")
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return timed.select(*keys, "cue", ms("cue_start").alias("start_ms"), ms("cue_end").alias("end_ms"), "phrase")
+
+
+@query("r2_narration_cues", _OFF + f", rows_in AS (SELECT conv_id || ':' || turn AS id, conv_id, turn, text, {_SPAN} FROM off WHERE role = 'assistant')" + _PHRASES + _MS, "transcript")
+def r2_narration_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """Captions of the narrated segments, each over its own stretch of the output."""
+    return _cues(_placed(spark, sf).where("role = 'assistant'"), ["conv_id", "turn"], F.col("at"), F.col("length"))
+
+
+_DIALOGUE = _OFF + f""", hit AS (SELECT o.conv_id, o.turn, t.text, o.place + greatest(o.start_ms, t.start_ms) - o.start_ms AS s, o.place + least(o.end_ms, t.end_ms) - o.start_ms AS e, t.turn AS said
+  FROM off o JOIN transcript t ON t.conv_id = o.conv_id AND (t.start_ms + t.end_ms) / 2.0::DOUBLE BETWEEN o.start_ms AND o.end_ms AND least(o.end_ms, t.end_ms) > greatest(o.start_ms, t.start_ms) WHERE o.role = 'user' AND length(o.text) >= 200),
+rows_in AS (SELECT conv_id || ':' || turn AS id, conv_id, turn, text, {_SPAN} FROM off WHERE role = 'user' AND length(text) < 200
+  UNION ALL SELECT conv_id || ':' || turn || '/' || said, conv_id, turn, text, s / 1000.0::DOUBLE, e / 1000.0::DOUBLE FROM hit)"""
+
+
+@query("r3_dialogue_cues", _DIALOGUE + _PHRASES + _MS, "transcript")
+def r3_dialogue_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """Captions of original dialogue: of the text that a segment brings along (short ones do),
+    else of the turns whose midpoint is in its source range, clamped and moved to its place."""
+    placed = _placed(spark, sf).where("role = 'user'")
+    given = _cues(placed.where(F.length("text") < 200), ["conv_id", "turn"], F.col("at"), F.col("length"))
+    said = ad.transcript(spark, sf).select("conv_id", F.col("turn").alias("said"), "text", "start_ms", "end_ms")
+    middle = (F.col("r.start_ms") + F.col("r.end_ms")) / 2.0
+    found = iv.overlap_join(placed.where(F.length("text") >= 200).select("conv_id", "turn", "at", "start_ms", "end_ms"), said, "conv_id", 20000)
+    found = found.where((middle >= F.col("l.start_ms")) & (middle <= F.col("l.end_ms")))
+    begin, end = F.greatest("l.start_ms", "r.start_ms"), F.least("l.end_ms", "r.end_ms")
+    found = found.select("conv_id", "l.turn", "r.said", "r.text", (F.col("l.at") + begin - F.col("l.start_ms")).alias("at"), (end - begin).alias("length"))
+    return given.unionByName(_cues(found, ["conv_id", "turn", "said"], F.col("at"), F.col("length")).drop("said"))
+
+
+@query("r5_combined_cues", f"""{_OFF}, narr AS (SELECT conv_id || ':' || turn AS id, conv_id, turn, text, {_SPAN} FROM off WHERE role = 'assistant'), {_DIALOGUE[len(_OFF) + 2:].replace("rows_in AS (", "dial AS (")},
+rows_in AS (SELECT * FROM narr UNION ALL SELECT * FROM dial){_PHRASES}, ms AS ({_MS}),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, end_ms, turn, cue, phrase) AS i FROM ms)
+SELECT conv_id, string_agg(i || chr(10) || {_TIME.format('start_ms')} || ' --> ' || {_TIME.format('end_ms')} || chr(10) || phrase || chr(10), chr(10) ORDER BY i) AS srt FROM n GROUP BY 1""", "transcript")
+def r5_combined_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """Narration and dialogue captions of an output in one SRT document."""
+    both = r2_narration_cues(spark, sf).unionByName(r3_dialogue_cues(spark, sf))
+    return cp.srt_document(both, ["conv_id"], ["start_ms", "end_ms", "turn", "cue", "phrase"], "start_ms", "end_ms", "phrase")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import text as T
+from tideline.operators import intervals as iv
 from tideline.sources import adapters as ad
 
 QUERIES: dict = {}
@@ -55,12 +56,12 @@ def w13_unique_labels(spark: SparkSession, sf: str) -> DataFrame:
     return ad.voices(spark, sf).select("voice_id", F.when(many, F.concat("name", F.lit(" ("), "engine", F.lit(")"))).otherwise(F.col("name")).alias("label"))
 
 
-@query("o4_catalog_order", "SELECT voice_id, row_number() OVER (ORDER BY style <> 'STANDARD', lower(name), engine, voice_id) AS pos FROM voices QUALIFY pos <= 50", "voices")
+@query("o4_catalog_order", "SELECT voice_id, row_number() OVER (ORDER BY style <> 'STANDARD', lower(name), engine, voice_id) AS pos FROM voices", "voices")
 def o4_catalog_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The first fifty of the catalog (a top-k report: only those rows are ordered in one place)."""
-    keys = [F.col("style") != "STANDARD", F.lower("name"), F.col("engine"), F.col("voice_id")]
-    top = ad.voices(spark, sf).orderBy(*keys).limit(50)
-    return top.select("voice_id", F.row_number().over(W.orderBy(*keys)).cast("long").alias("pos"))
+    """Every voice's place in the catalog: places by the first two letters, not in one task."""
+    special, name = F.col("style") != "STANDARD", F.lower("name")
+    rows = iv.placed_by(ad.voices(spark, sf), [special, F.substring(name, 1, 2)], [name, "engine", "voice_id"])
+    return rows.select("voice_id", F.col("_place").alias("pos"))
 
 
 @query("g13_engine_counts", "SELECT style, count(*) AS n, count(DISTINCT engine) AS engines, array_to_string(list_sort(list(DISTINCT engine)), ',') AS names FROM voices GROUP BY 1", "voices")
@@ -88,13 +89,10 @@ ORACLES["j15_source_cascade"] = ORACLES["j15_source_cascade"].replace(" , want",
 
 @query("j16_favourite_rank", "SELECT voice_id, coalesce(r, 999) AS rank FROM voices LEFT JOIN (SELECT voice_id, row_number() OVER (ORDER BY price DESC, voice_id) AS r FROM voices WHERE size = 7) f USING (voice_id)", "voices")
 def j16_favourite_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank among the favourites (those of one size), 999 for the rest; ranks by ranges of price, not in one task."""
+    """Rank among the favourites (those of one size), 999 for the rest; ranks by whole prices, not in one task."""
     v = ad.voices(spark, sf)
-    liked = v.where("size = 7").select("voice_id", "price")
-    ahead = liked.select(F.col("price").alias("p2"), F.col("voice_id").alias("v2"))
-    counts = ahead.groupBy("p2").agg(F.count(F.lit(1)).alias("n"))
-    above = counts.select("p2", (F.sum("n").over(W.orderBy(F.desc("p2"))) - F.col("n")).alias("above"))
-    ranked = liked.join(above, liked.price == above.p2).select("voice_id", (F.col("above") + F.row_number().over(W.partitionBy("price").orderBy("voice_id"))).alias("r"))
+    liked = iv.placed_by(v.where("size = 7"), [-F.floor("price")], [F.desc("price"), "voice_id"])
+    ranked = liked.select("voice_id", F.col("_place").alias("r"))
     return v.select("voice_id").join(ranked, "voice_id", "left").select("voice_id", F.coalesce("r", F.lit(999)).alias("rank"))
 
 
