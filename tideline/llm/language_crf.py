@@ -91,9 +91,10 @@ def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray,
     def into(at: slice) -> np.ndarray:
         return np.where(first[at][:, :, None, None], s[None, None, None, :], t[None, None, :, :]) * e[at][:, :, None, :]
 
+    only = into(slices[0]) if len(slices) == 1 else None  # what fits is worked out once
     product = np.empty((steps, k, k), e.dtype)
     for at in slices:
-        m = into(at)
+        m = into(at) if only is None else only
         acc = m[:, 0]
         for j in range(1, STEP):
             acc = acc @ m[:, j]
@@ -112,7 +113,7 @@ def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray,
         v /= v.sum()
     out = np.empty_like(e)
     for at in slices:
-        m, f, b = into(at), ahead[at], behind[at]
+        m, f, b = into(at) if only is None else only, ahead[at], behind[at]
         for j in range(STEP):
             f = np.einsum("ci,cij->cj", f, m[:, j])
             f /= f.sum(axis=1, keepdims=True)
