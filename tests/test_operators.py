@@ -24,6 +24,17 @@ def test_scenes(spark):
     assert scene_numbers(spark, two, most=500) == [0, 1]
 
 
+def test_scenes_of_one_long_island(spark):
+    # every shot takes one step, some two: the guard falls at uneven places
+    ends = [10 * (i + 1) + (7 if i % 5 == 0 else 0) for i in range(5000)]
+    want, first, n = [], None, -1
+    for i, end in enumerate(ends):
+        if first is None or end - first > 95:
+            first, n = 10 * i, n + 1
+        want.append(n)
+    assert scene_numbers(spark, [(10 * i, end, False) for i, end in enumerate(ends)], most=95) == want
+
+
 def test_overlap_join_has_each_pair_once(spark):
     left = spark.createDataFrame([("x", 0, 5000), ("x", 5000, 5001)], "k string, start_ms long, end_ms long")
     right = spark.createDataFrame([("x", 100, 4900), ("x", 5000, 9000), ("y", 0, 10)], "k string, start_ms long, end_ms long")

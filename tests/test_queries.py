@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["g23_story_plan", "w5_scenes_with_silence", "j2_overlap_join", "d1_originality_audit", "d2_pacing_gate", "s7_srt_round_trip", "j5_midpoint_cues", "k2_upsert", "v13_foreign_keys", "p9_native_or_all", "i1_checkpoint_validity"]
 SOME += ["f12_caption_phrases", "w7_timed_captions", "r2_narration_cues", "r3_dialogue_cues", "r5_combined_cues", "f14_word_error_rate", "j3_transcript_chunks", "o4_catalog_order", "j16_favourite_rank"]
+SOME += ["w5_scene_grouping", "w11_thinned_cuts", "s12_manifest_catalog", "k12_path_guard", "f5_episode_ids", "p6_mode_outputs", "x11_pending_migrations", "x12_subtitle_cascade", "x15_favourite_sets"]
 SOME += list(boundaries.QUERIES)
 
 

@@ -73,16 +73,20 @@ def scenes(shots: DataFrame, key: str, max_scene_ms: int, silent: DataFrame | No
     hard = F.col("excluded") | F.coalesce(F.lag("excluded").over(line), F.lit(True)) | quiet
     island = flagged.withColumn("_i", F.sum(hard.cast("long")).over(line))
     each = island.groupBy(key, "_i").agg(F.array_sort(F.collect_list(F.struct("start_ms", "ordinal", "end_ms"))).alias("_s"))
-    fold = F.aggregate(
+    # the fold keeps only where scenes begin (from 1), so that it copies nothing for most shots
+    begins = F.aggregate(
         "_s",
-        F.struct(F.lit(None).cast("long").alias("first"), F.lit(-1).alias("n"), F.array().cast("array<struct<ordinal:bigint,n:int>>").alias("out")),
+        F.struct(F.lit(None).cast("long").alias("first"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("begins")),
         lambda a, s: F.when(
             a["first"].isNull() | (s["end_ms"] - a["first"] > max_scene_ms),
-            F.struct(s["start_ms"].alias("first"), (a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.struct(s["ordinal"].alias("ordinal"), (a["n"] + 1).alias("n")))).alias("out")),
-        ).otherwise(F.struct(a["first"].alias("first"), a["n"].alias("n"), F.concat(a["out"], F.array(F.struct(s["ordinal"].alias("ordinal"), a["n"].alias("n")))).alias("out"))),
-        lambda a: a["out"],
+            F.struct(s["start_ms"].alias("first"), (a["at"] + 1).alias("at"), F.concat(a["begins"], F.array(a["at"])).alias("begins")),
+        ).otherwise(F.struct(a["first"].alias("first"), (a["at"] + 1).alias("at"), a["begins"].alias("begins"))),
+        lambda a: a["begins"],
     )
-    placed = each.select(key, "_i", F.explode(fold).alias("o")).select(key, "_i", F.col("o.ordinal").alias("ordinal"), F.col("o.n").alias("_n"))
+    folded = each.select(key, "_i", F.col("_s.ordinal").alias("_o"), begins.alias("_begins"))
+    cut = folded.select(key, "_i", "_o", "_begins", F.posexplode("_begins").alias("_n", "_from"))
+    size = F.coalesce(F.get("_begins", F.col("_n") + 1), F.size("_o") + 1) - F.col("_from")
+    placed = cut.select(key, "_i", "_n", F.explode(F.slice("_o", F.col("_from"), size)).alias("ordinal"))
     number = F.dense_rank().over(W.partitionBy(key).orderBy("_i", "_n")) - 1
     return placed.select(key, "ordinal", number.cast("long").alias("scene"))
 

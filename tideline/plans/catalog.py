@@ -159,10 +159,14 @@ def f17_content_types(spark: SparkSession, sf: str) -> DataFrame:
     return ad.table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(names, F.upper("event_type")), F.lit("OTHER")).alias("content_type"))
 
 
-@query("x15_favourite_sets", "SELECT c_custkey, array_to_string(list_sort(list_distinct(['a', 'b', 'c' || c_custkey % 3]) ), ',') AS favourites FROM customer")
+@query("x15_favourite_sets", """SELECT o_custkey, coalesce(string_agg(p, ',' ORDER BY p) FILTER (added AND NOT removed), '') AS favourites FROM (
+SELECT o_custkey, o_orderpriority AS p, bool_or(o_orderstatus <> 'P') AS added, bool_or(o_orderstatus = 'P') AS removed FROM orders GROUP BY 1, 2) GROUP BY 1""")
 def x15_favourite_sets(spark: SparkSession, sf: str) -> DataFrame:
-    added = F.array_union(F.array(F.lit("a"), F.lit("b")), F.array(F.concat(F.lit("c"), (F.col("c_custkey") % 3).cast("string"))))
-    return ad.table(spark, sf, "customer").select("c_custkey", F.array_join(F.array_sort(F.array_except(added, F.array(F.lit("z")))), ",").alias("favourites"))
+    """Favourites kept and added (finished and open orders' priorities) without those removed
+    (partial ones'), sorted; a set has one entry for each priority at most."""
+    of = lambda status: F.collect_set(F.when(F.col("o_orderstatus") == status, F.col("o_orderpriority")))
+    left = F.array_except(F.array_union(of("F"), of("O")), of("P"))
+    return ad.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(left), ",").alias("favourites"))
 
 
 @query("o6_first_messages", "SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:12], ',') AS first_orders FROM orders GROUP BY 1")

@@ -110,21 +110,26 @@ def s10_probe_streams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s12_manifest_catalog", "SELECT engine, voice_id, CASE WHEN size % 3 = 0 THEN engine || '-default' ELSE style END AS style FROM voices WHERE size > 2", "voices")
 def s12_manifest_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON manifest for each engine, exploded to voices with the engine's defaults."""
+    """JSON manifests of an engine's voices, one for every 10,000 ids, exploded to voices with
+    the engine's defaults."""
     voice = F.struct("voice_id", F.when(F.col("size") % 3 != 0, F.col("style")).alias("style"), "size")
-    manifests = ad.voices(spark, sf).groupBy("engine").agg(F.to_json(F.struct(F.first("engine").alias("engine"), F.collect_list(voice).alias("voices"))).alias("json"))
+    listed = ad.voices(spark, sf).groupBy("engine", F.floor(F.col("voice_id") / 10_000)).agg(F.collect_list(voice).alias("voices"))
+    manifests = listed.select(F.to_json(F.struct("engine", "voices")).alias("json"))
     read = manifests.select(F.from_json("json", "engine string, voices array<struct<voice_id:bigint,style:string,size:int>>").alias("m")).select("m.engine", F.explode("m.voices").alias("v"))
     return read.where("v.size > 2").select("engine", "v.voice_id", F.coalesce("v.style", F.concat("engine", F.lit("-default"))).alias("style"))
 
 
-@query("k12_path_guard", "SELECT p_partkey, p_partkey % 4 <> 1 AND p_partkey % 4 <> 3 AS inside FROM part")
+@query("k12_path_guard", """WITH steps AS (SELECT conv_id, turn, string_split(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) < 3 THEN '..' WHEN length(w) = 3 THEN '.' ELSE w END), '/'), '/') AS p FROM conversations),
+moves AS (SELECT conv_id, turn, list_transform(p, lambda x: CASE WHEN x = '..' THEN -1 WHEN x IN ('.', '') THEN 0 ELSE 1 END) AS d FROM steps)
+SELECT conv_id, turn, list_min(list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i]))) >= 0 AS inside FROM moves""")
 def k12_path_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a relative path, its . and .. steps taken, stays under its root."""
-    k = F.col("p_partkey") % 4
-    path = F.when(k == 0, "a/b/../c").when(k == 1, "a/../../c").when(k == 2, "./x/./y").otherwise("../etc")
+    """Whether a relative path, its . and .. steps taken, stays under its root. Paths are the
+    words of a turn, short ones as steps up (two letters) or in place (three)."""
+    step = lambda w: F.when(F.length(w) < 3, "..").when(F.length(w) == 3, ".").otherwise(w)
+    path = F.array_join(F.transform(F.split("text", " "), step), "/")
     depth = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("d"), F.lit(True).alias("ok")), lambda s, p: F.struct(
         (s["d"] + F.when(p == "..", -1).when((p == ".") | (p == ""), 0).otherwise(1)).alias("d"), (s["ok"] & ~((p == "..") & (s["d"] == 0))).alias("ok")), lambda s: s["ok"])
-    return ad.table(spark, sf, "part").select("p_partkey", depth.alias("inside"))
+    return ad.table(spark, sf, "conversations").select("conv_id", "turn", depth.alias("inside"))
 
 
 @query("p4_outside_range", "SELECT event_id FROM timeline WHERE NOT (start_ms >= 1704067200000 AND end_ms <= 1709000000000)", "timeline")
@@ -132,10 +137,10 @@ def p4_outside_range(spark: SparkSession, sf: str) -> DataFrame:
     return ad.timeline(spark, sf).where(~((F.col("start_ms") >= 1704067200000) & (F.col("end_ms") <= 1709000000000))).select("event_id")
 
 
-@query("p6_mode_outputs", "SELECT o_orderkey FROM orders WHERE CASE o_custkey % 3 WHEN 0 THEN o_orderstatus = 'F' WHEN 1 THEN o_orderstatus = 'O' ELSE true END")
+@query("p6_mode_outputs", "SELECT o_orderkey FROM orders WHERE CASE o_orderpriority WHEN '1-URGENT' THEN o_orderstatus = 'F' WHEN '2-HIGH' THEN o_orderstatus = 'O' ELSE true END")
 def p6_mode_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    mode = F.when(F.col("o_custkey") % 3 == 0, "FULL_EPISODE").when(F.col("o_custkey") % 3 == 1, "MAIN_STORIES").otherwise("ALL")
-    wanted = F.try_element_at(F.create_map(F.lit("FULL_EPISODE"), F.lit("F"), F.lit("MAIN_STORIES"), F.lit("O")), mode)
+    """Outputs of the type that their mode asks for; a mode that asks for none takes all."""
+    wanted = F.try_element_at(F.create_map(F.lit("1-URGENT"), F.lit("F"), F.lit("2-HIGH"), F.lit("O")), F.col("o_orderpriority"))
     return ad.table(spark, sf, "orders").where(wanted.isNull() | (wanted == F.col("o_orderstatus"))).select("o_orderkey")
 
 
@@ -206,11 +211,14 @@ def u4_forbidden_keys(spark: SparkSession, sf: str) -> DataFrame:
     return ad.table(spark, sf, "events").where(bad).select("event_id")
 
 
-@query("f5_episode_ids", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'S0' || p_size % 9 || 'E' || p_size ELSE 'EP' || lpad(p_partkey::VARCHAR, 6, '0') END AS episode FROM part")
+@query("f5_episode_ids", r"""SELECT p_partkey, CASE WHEN m = '' THEN 'EP' || lpad(p_partkey::VARCHAR, greatest(6, length(p_partkey::VARCHAR))::INT, '0') ELSE upper(regexp_replace(m, '[ ._-]+', '', 'g')) END AS episode FROM (
+SELECT p_partkey, regexp_extract(p_name || replace(p_brand, 'Brand#', CASE WHEN p_type IN ('SMALL', 'PROMO') THEN '.part' ELSE '.s' END) || ' - e' || p_size || '.mkv', '(?i)(S\d{1,2}[ ._-]*E\d{1,3})', 1) AS m FROM part)""")
 def f5_episode_ids(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Show s0"), _s("p_size").substr(F.lit(1), F.lit(0)), (F.col("p_size") % 9).cast("string"), F.lit(". e"), _s("p_size"), F.lit(".mkv"))).otherwise(F.lit("clip.mp4"))
+    """The season and episode in a file name, or a number of its own."""
+    season = F.replace("p_brand", F.lit("Brand#"), F.when(F.col("p_type").isin("SMALL", "PROMO"), ".part").otherwise(".s"))
+    name = F.concat("p_name", season, F.lit(" - e"), _s("p_size"), F.lit(".mkv"))
     mark = F.upper(F.regexp_replace(F.regexp_extract(name, r"(?i)(S\d{1,2}[ ._-]*E\d{1,3})", 1), r"[ ._-]+", ""))
-    return ad.table(spark, sf, "part").select("p_partkey", F.when(mark != "", mark).otherwise(F.concat(F.lit("EP"), F.lpad(_s("p_partkey"), 6, "0"))).alias("episode"))
+    return ad.table(spark, sf, "part").select("p_partkey", F.when(mark != "", mark).otherwise(F.concat(F.lit("EP"), F.format_string("%06d", "p_partkey"))).alias("episode"))
 
 
 @query("f8_publication_titles", r"""SELECT doc_id, t AS title, NOT regexp_matches(t, '[<>:"/\\|?*]') AND length(t) BETWEEN 1 AND 235 AND NOT upper(t) IN ('CON', 'NUL') AS ok FROM (
@@ -336,17 +344,24 @@ def x10_missing_files(spark: SparkSession, sf: str) -> DataFrame:
     return wanted.join(v.select("engine", F.col("size").alias("need")), ["engine", "need"], "left_anti")
 
 
-@query("x11_pending_migrations", r"SELECT name FROM (SELECT lpad(n::VARCHAR, 4, '0') || '_step.sql' AS name, n FROM range(1, 12) t(n)) WHERE regexp_matches(name, '^(\d{4})_[a-z0-9_]+\.sql$') AND n NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0)")
+@query("x11_pending_migrations", r"""WITH steps AS (SELECT p_partkey, CASE WHEN p_partkey < 10000 THEN lpad(p_partkey::VARCHAR, 4, '0') ELSE p_partkey::VARCHAR END || '_' || replace(p_name, ' ', '_') || '.sql' AS name FROM part)
+SELECT name FROM steps WHERE regexp_matches(name, '^\d{4}_[a-z0-9_]+\.sql$') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount = 0)""")
 def x11_pending_migrations(spark: SparkSession, sf: str) -> DataFrame:
-    found = spark.range(1, 12).select(F.concat(F.lpad(_s("id"), 4, "0"), F.lit("_step.sql")).alias("name"))
-    applied = ad.table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lpad(_s("n_nationkey"), 4, "0"), F.lit("_step.sql")).alias("name"))
-    return found.where(F.col("name").rlike(r"^(\d{4})_[a-z0-9_]+\.sql$")).join(applied, "name", "left_anti")
+    """Migrations by a valid name that are not among the applied ones."""
+    steps = ad.table(spark, sf, "part").select("p_partkey", F.concat(F.format_string("%04d", "p_partkey"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".sql")).alias("name"))
+    applied = ad.table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_discount = 0").select(F.col("l_partkey").alias("p_partkey"))
+    return steps.where(F.col("name").rlike(r"^(\d{4})_[a-z0-9_]+\.sql$")).join(applied, "p_partkey", "left_anti").select("name")
 
 
-@query("x12_subtitle_cascade", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'cached' WHEN doc_id % 5 = 0 THEN 'sidecar' WHEN doc_id % 3 = 0 THEN 'converted' WHEN doc_id % 2 = 0 THEN 'embedded' ELSE 'none' END AS subtitle FROM documents")
+@query("x12_subtitle_cascade", """SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'cached' WHEN doc_id IN (SELECT page_id FROM pages) THEN 'sidecar'
+WHEN doc_id IN (SELECT conv_id FROM conversations WHERE role = 'user') THEN 'converted' WHEN n_chars > 500 THEN 'embedded' ELSE 'none' END AS subtitle FROM documents""")
 def x12_subtitle_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    there = lambda n, name: F.when(F.col("doc_id") % n == 0, name)
-    return ad.table(spark, sf, "documents").select("doc_id", F.coalesce(there(7, "cached"), there(5, "sidecar"), there(3, "converted"), there(2, "embedded"), F.lit("none")).alias("subtitle"))
+    """The first source of subtitles that a document has."""
+    there = lambda table, key, name: ad.table(spark, sf, table).select(F.col(key).alias("doc_id")).distinct().withColumn(name, F.lit(name))
+    user = ad.table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id")).distinct().withColumn("converted", F.lit("converted"))
+    docs = ad.table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 500, "embedded").alias("embedded"))
+    found = docs.join(there("labels", "doc_id", "cached"), "doc_id", "left").join(there("pages", "page_id", "sidecar"), "doc_id", "left").join(user, "doc_id", "left")
+    return found.select("doc_id", F.coalesce("cached", "sidecar", "converted", "embedded", F.lit("none")).alias("subtitle"))
 
 
 @query("x19_mode_change", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'MAIN_STORIES' ELSE o_orderpriority END AS mode, o_orderstatus NOT IN ('F', 'O') AS skipped FROM orders")
