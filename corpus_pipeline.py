@@ -19,8 +19,8 @@ from tideline.llm._shared import stage
 #: Words of a shingle and similarity, in percent, of near copies; token weights of the mix.
 SHINGLE, PERCENT = 5, 80
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
-#: Documents below this score are rejected: well under 0.5, so that doubtful ones stay.
-GOOD = 0.3
+#: Documents below this score are rejected: the classifier's own decision.
+GOOD = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

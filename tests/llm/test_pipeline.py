@@ -61,6 +61,8 @@ def test_run(spark, tmp_path):
     assert len(got) == len({r.doc_id for r in got}) and all(r.rate >= 0 for r in got)
     tokens = {k: sum(r.n_tokens * r.rate for r in got if r.domain == k) for k in ("en", "de")}
     assert abs(tokens["de"] / sum(tokens.values()) - 1 / 3) < 0.02
+    taken = {k: sum(r.n_tokens * r.copies for r in got if r.domain == k) for k in ("en", "de")}
+    assert abs(taken["de"] / sum(taken.values()) - 1 / 3) < 0.06
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __keep string, __bad long, kept string, score double"
