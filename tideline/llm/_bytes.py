@@ -78,10 +78,10 @@ def pieces(offsets: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and the value's number of the words of consecutive values."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and the value's number of the words of consecutive values; gap: which bytes part words."""
     n = len(buf)
-    solid = ~SPACE[buf]
+    solid = ~gap[buf]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     before = np.ones(n + 1, bool)
@@ -94,10 +94,10 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, owner
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of consecutive values, and the value's number of each."""
     low = LOWER[buf]
-    starts, ends, owner = word_spans(low, offsets)
+    starts, ends, owner = word_spans(low, offsets, gap)
     return mix(span(prefix_sums(low), starts, ends) + (ends - starts).astype(U64)), owner
 
 

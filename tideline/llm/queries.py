@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, exact_dedup, html_extract, language_crf, mixing, near_dedup, quality_fm, suffix_dedup, suffix_tree_lm, toxicity_cnn
+from tideline.llm import decontaminate, exact_dedup, html_extract, language_crf, lexical_search, mixing, near_dedup, permutation_index, prefix_trie, quality_fm, suffix_dedup, suffix_tree_lm, toxicity_cnn
 from tideline.llm._shared import crc_mod
 
 
@@ -70,6 +70,18 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +93,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_superminhash": op10_superminhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_permutation_index": op13_permutation_index,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,5 +122,45 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
 k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY c DESC, doc_id) AS keep_id,
              count(*) OVER (PARTITION BY h) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k
+""",
+    "op11_prefix_trie": r"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+             FROM conversations WHERE conv_id IS NOT NULL),
+shared AS (SELECT DISTINCT c, c - c % 20 AS base,  -- crc32 of the id in decimal, eight bits a byte
+                  xor(4294967295, list_reduce(list_prepend(4294967295, [ord(x) for x in string_split(c::VARCHAR, '')]),
+                      lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, k: xor(z >> 1, 3988292384 * (z & 1))))) % 4 AS h
+           FROM own),
+made AS (SELECT s.c, 0 AS part, o.i, o.role, o.text FROM shared s JOIN own o ON o.c = s.base AND o.i <= s.h
+         UNION ALL SELECT s.c, 1, o.i, o.role, o.text FROM shared s JOIN own o ON o.c = s.c AND o.i > s.h),
+turns AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d FROM made),
+step AS (SELECT c, d, text, array_agg(sha256(length(role)::VARCHAR || ' ' || role || text)) OVER (PARTITION BY c ORDER BY d) AS path FROM turns),
+member AS (SELECT c, d, sha256(array_to_string(path, ' ')) AS node, sha256(array_to_string(path[:d - 1], ' ')) AS up,
+                  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM step
+           UNION ALL SELECT c, 0, sha256(''), NULL, 0 FROM shared),
+lengths AS (SELECT c, max(d) AS last FROM member GROUP BY 1),
+node AS (SELECT d, node, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(words) AS words,
+                coalesce(string_agg(CASE WHEN d = last THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends
+         FROM member JOIN lengths USING (c) GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, node)),
+below AS (SELECT DISTINCT a.d, a.node, b.d AS bd, b.node AS bnode FROM member a JOIN member b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT below.d, below.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * words)::BIGINT AS saved_tokens
+         FROM below JOIN whole ON whole.d = bd AND whole.node = bnode GROUP BY 1, 2)
+SELECT whole.conv_id, whole.d::BIGINT AS depth, up.conv_id AS parent_conv_id, whole.n AS n_convs, whole.n_children, n_leaves, saved_tokens, sha256(whole.ends) AS ends_sha256
+FROM whole JOIN sums ON sums.d = whole.d AND sums.node = whole.node LEFT JOIN node up ON up.d = whole.d - 1 AND up.node = whole.up
+""",
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+             * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN df USING (term) JOIN tf USING (term), corpus GROUP BY 1, 2, 3),
+k AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
 """,
 }
