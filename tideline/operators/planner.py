@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.text import two_decimals
+from tideline.operators import scan
 
 BRIDGES = ("CAUSE", "SETUP", "PAYOFF", "CONSEQUENCE")
 #: Importance from which an event must, or should, be told; fixed parts of an event's time (fixed values).
@@ -74,22 +75,23 @@ def top_share(classed: DataFrame, profile: Profile) -> DataFrame:
     return ranked.where(keep).drop("_k", "_n")
 
 
-def fit_limit(kept: DataFrame, limit_ms: int) -> DataFrame:
+def fit_limit(kept: DataFrame, limit_ms: int, hot: DataFrame | bool | None = True) -> DataFrame:
     """Drops optional, then should-have events, least important first, while the total is
     over the limit; the greedy loop as a prefix sum. feasible: must-have events alone fit."""
-    user = W.partitionBy("user_id")
-    drop_order = W.partitionBy("user_id").orderBy(F.expr("case budget_class when 'OPTIONAL' then 0 when 'SHOULD_HAVE' then 1 else 2 end"), "importance", "start_ms", "ordinal")
-    before = F.coalesce(F.sum("estimated_ms").over(drop_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    must = F.sum(F.when(F.col("budget_class") == "MUST_HAVE", F.col("estimated_ms")).otherwise(0)).over(user)
-    sized = kept.withColumn("_over", F.sum("estimated_ms").over(user) - before).withColumn("feasible", must <= limit_ms)
-    return sized.where((F.col("budget_class") == "MUST_HAVE") | (F.col("_over") <= limit_ms)).drop("_over")
+    ranked = kept.withColumn("_c", F.expr("case budget_class when 'OPTIONAL' then 0 when 'SHOULD_HAVE' then 1 else 2 end"))
+    must = F.when(F.col("budget_class") == "MUST_HAVE", F.col("estimated_ms")).otherwise(0)
+    totals = {"_all": F.col("estimated_ms"), "_must": must}
+    sized = scan.running(ranked, "user_id", ["_c", "importance", "start_ms", "ordinal"], {"_before": F.col("estimated_ms")}, totals, hot=hot)
+    sized = sized.withColumn("feasible", F.col("_must") <= limit_ms)
+    return sized.where((F.col("budget_class") == "MUST_HAVE") | (F.col("_all") - F.col("_before") <= limit_ms)).drop("_c", "_before", "_all", "_must")
 
 
 def plan(events: DataFrame, edges: DataFrame, profile: Profile) -> DataFrame:
+    hot = scan.hot_keys(events, "user_id", scan.MOST)
     kept = top_share(classify(events, edges, profile), profile)
-    kept = fit_limit(kept, profile.limit_ms) if profile.limit_ms is not None else kept.withColumn("feasible", F.lit(True))
-    order = F.row_number().over(W.partitionBy("user_id").orderBy("start_ms", "ordinal")) - 1
-    return kept.select("user_id", order.cast("long").alias("plan_ordinal"), "event_id", "budget_class", "reason", "estimated_ms", "feasible")
+    kept = fit_limit(kept, profile.limit_ms, hot) if profile.limit_ms is not None else kept.withColumn("feasible", F.lit(True))
+    placed = scan.running(kept, "user_id", ["start_ms", "ordinal"], number="plan_ordinal", hot=hot)
+    return placed.select("user_id", "plan_ordinal", "event_id", "budget_class", "reason", "estimated_ms", "feasible")
 
 
 def selected_plots(events: DataFrame, planned: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import text as T
+from tideline.operators import graph
 from tideline.operators import hierarchy as hi
 from tideline.operators import store as st
 from tideline.plans import stories
@@ -306,22 +307,26 @@ def r6_result_identity(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("a.render_id") == F.col("b.render_id")).where("a.n <> b.n or a.visual_ms <> b.visual_ms").select("a.render_id", "a.segment_id")
 
 
-@query("i3_invalidated_rows", f"""WITH RECURSIVE e(stage, needs) AS (VALUES {stories._STAGES}), d AS (SELECT 'DETECT_SHOTS' AS stage UNION SELECT e.stage FROM d JOIN e ON e.needs = d.stage),
-own AS (SELECT doc_id, (['PREPROCESS', 'TRANSCRIBE', 'DETECT_SHOTS', 'BUILD_SCENES', 'EXTRACT_EVENTS', 'BUILD_STORY_GRAPH', 'PLAN_RECAP'])[doc_id % 7 + 1] AS stage FROM documents)
-SELECT doc_id, stage FROM own WHERE stage IN (SELECT stage FROM d)""")
+@query("i3_invalidated_rows", "WITH RECURSIVE" + stories._HELD[1:] + """,
+changed AS (SELECT DISTINCT 'nation ' || s_nationkey AS root FROM supplier WHERE s_acctbal < 0),
+d AS (SELECT root AS node FROM changed UNION SELECT dst FROM d JOIN held ON src = node)
+SELECT node, node IN (SELECT root FROM changed) AS changed FROM d""")
 def i3_invalidated_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows to delete when a stage is run again: its own and those of all that follow from it."""
-    names = ["PREPROCESS", "TRANSCRIBE", "DETECT_SHOTS", "BUILD_SCENES", "EXTRACT_EVENTS", "BUILD_STORY_GRAPH", "PLAN_RECAP"]
-    own = ad.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 7 + 1).cast("int")).alias("stage"))
-    gone = stories.c2_stage_descendants(spark, sf).where("root = 'DETECT_SHOTS'").select("stage").union(spark.createDataFrame([("DETECT_SHOTS",)], "stage string"))
-    return own.join(F.broadcast(gone), "stage", "left_semi").select("doc_id", "stage")
+    """Rows to make again when nations change (those of a supplier in debt): their own and those of all
+    that they hold, at any depth."""
+    nation = F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
+    changed = ad.table(spark, sf, "supplier").where("s_acctbal < 0").select(nation.alias("root")).distinct()
+    below = graph.closure(stories.held(spark, sf), changed).select("node", F.lit(False).alias("own"))
+    return changed.select(F.col("root").alias("node"), F.lit(True).alias("own")).unionByName(below).groupBy("node").agg(F.bool_or("own").alias("changed"))
 
 
-@query("c3_predecessor_artifacts", f"WITH e(stage, needs) AS (VALUES {stories._STAGES}), o AS (SELECT (['PREPROCESS', 'TRANSCRIBE', 'DETECT_SHOTS', 'BUILD_SCENES', 'EXTRACT_EVENTS', 'BUILD_STORY_GRAPH', 'PLAN_RECAP'])[doc_id % 7 + 1] AS stage, source FROM documents) SELECT e.stage, string_agg(DISTINCT source, ',' ORDER BY source) AS artifacts FROM e JOIN o ON o.stage = e.needs GROUP BY 1")
+@query("c3_predecessor_artifacts", """WITH needs AS (SELECT DISTINCT l_partkey AS part, l_suppkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT part, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS artifacts FROM needs JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
 def c3_predecessor_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["PREPROCESS", "TRANSCRIBE", "DETECT_SHOTS", "BUILD_SCENES", "EXTRACT_EVENTS", "BUILD_STORY_GRAPH", "PLAN_RECAP"]
-    made = ad.table(spark, sf, "documents").select(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 7 + 1).cast("int")).alias("needs"), "source").distinct()
-    return F.broadcast(spark.createDataFrame(stories.STAGES, "stage string, needs string")).join(made, "needs").groupBy("stage").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("artifacts"))
+    """What came out of the steps that a part needs: the nations of the suppliers of its returned items, each once and in order."""
+    needs = ad.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    made = ad.table(spark, sf, "supplier").join(ad.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "n_name")
+    return needs.join(made, "s_suppkey").groupBy("part").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("artifacts"))
 
 
 @query("x2_source_drift", "SELECT doc_id FROM documents WHERE sha256(text) <> CASE WHEN doc_id % 31 = 4 THEN sha256(source) ELSE sha256(text) END")

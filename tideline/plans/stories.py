@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators import graph
 from tideline.operators import intervals as iv
 from tideline.operators import planner as pl
 from tideline.sources import adapters as ad
@@ -25,7 +28,7 @@ def query(name: str, oracle: str | None = None, *parts: str):
         QUERIES[name] = function
         if oracle is not None:
             ctes = ",".join(ad.SQL[p] for p in parts)
-            ORACLES[name] = f"WITH RECURSIVE {ctes}\n{oracle}" if ctes and not oracle.lstrip().startswith(",") else f"WITH RECURSIVE {ctes}{oracle}" if ctes else oracle
+            ORACLES[name] = f"WITH RECURSIVE {ctes}\n{oracle}" if ctes and not oracle.lstrip().startswith(",") else f"WITH RECURSIVE {ctes}{oracle}" if ctes else f"WITH RECURSIVE{oracle}"
         return function
 
     return add
@@ -272,7 +275,7 @@ f AS (SELECT user_id, 0 AS rn, 0::BIGINT AS last, false AS keep, 0::BIGINT AS cu
 SELECT user_id, cut FROM f WHERE keep""", "timeline")
 def w11_thinned_cuts(spark: SparkSession, sf: str) -> DataFrame:
     cuts = ad.timeline(spark, sf).select("user_id", (F.col("start_ms") % 86_400_000).alias("cut"))
-    return iv.thinned(cuts, "user_id", "cut", 3_600_000, F.lit(80_000_000)).select("user_id", F.explode("kept").alias("cut"))
+    return iv.thinned(cuts, "user_id", "cut", 3_600_000, F.lit(80_000_000)).select("user_id", "cut")
 
 
 @query("w9_tumbling_chunks", """,
@@ -330,19 +333,41 @@ def p14_bad_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(F.broadcast(allowed), ["before", "event_type"], "left_anti").select("event_id")
 
 
-#: Stages and what each needs (fixed values).
-STAGES = [
-    ("TRANSCRIBE", "PREPROCESS"), ("DETECT_SHOTS", "PREPROCESS"), ("BUILD_SCENES", "DETECT_SHOTS"), ("BUILD_SCENES", "TRANSCRIBE"),
-    ("EXTRACT_EVENTS", "BUILD_SCENES"), ("EXTRACT_EVENTS", "TRANSCRIBE"), ("BUILD_STORY_GRAPH", "EXTRACT_EVENTS"), ("PLAN_RECAP", "BUILD_STORY_GRAPH"),
-]
-_STAGES = ", ".join(f"('{a}', '{b}')" for a, b in STAGES)
-ORACLES["c2_stage_descendants"] = f"""WITH RECURSIVE e(stage, needs) AS (VALUES {_STAGES}),
-d AS (SELECT needs AS root, stage FROM e UNION SELECT d.root, e.stage FROM d JOIN e ON e.needs = d.stage) SELECT root, stage FROM d"""
+_HELD = """,
+held(src, dst) AS (SELECT 'region ' || n_regionkey, 'nation ' || n_nationkey FROM nation
+    UNION ALL SELECT 'nation ' || s_nationkey, 'supplier ' || s_suppkey FROM supplier
+    UNION ALL SELECT 'nation ' || c_nationkey, 'customer ' || c_custkey FROM customer
+    UNION ALL SELECT 'customer ' || o_custkey, 'order ' || o_orderkey FROM orders WHERE o_orderstatus = 'P')"""
+_TRADE = """,
+flow AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_extendedprice) AS worth FROM lineitem
+    JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
+trade AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY worth DESC, dst) AS k FROM flow) WHERE k = 1)"""
+
+
+def held(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from what holds to what is held: regions, nations, suppliers and customers, open orders."""
+    named = lambda kind, column: F.concat(F.lit(kind + " "), F.col(column).cast("string"))
+    pairs = [("nation", "region", "n_regionkey", "nation", "n_nationkey"), ("supplier", "nation", "s_nationkey", "supplier", "s_suppkey"), ("customer", "nation", "c_nationkey", "customer", "c_custkey")]
+    edges = [ad.table(spark, sf, t).select(named(a, x).alias("src"), named(b, y).alias("dst")) for t, a, x, b, y in pairs]
+    edges.append(ad.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(named("customer", "o_custkey").alias("src"), named("order", "o_orderkey").alias("dst")))
+    return reduce(DataFrame.unionByName, edges)
 
 
-@query("c2_stage_descendants")
+@query("c2_stage_descendants", _HELD[1:] + """,
+d AS (SELECT src AS root, dst AS node, 1 AS depth FROM held UNION ALL SELECT root, dst, depth + 1 FROM d JOIN held ON src = node)
+SELECT root, node, min(depth) AS depth FROM d GROUP BY 1, 2""")
 def c2_stage_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """Transitive closure of the stages' dependencies."""
-    spark.createDataFrame(STAGES, "stage string, needs string").createOrReplaceTempView("tideline_stage_needs")
-    return spark.sql("""WITH RECURSIVE d(root, stage) AS (SELECT needs, stage FROM tideline_stage_needs
-        UNION ALL SELECT d.root, e.stage FROM d JOIN tideline_stage_needs e ON e.needs = d.stage) SELECT DISTINCT root, stage FROM d""")
+    """All that follows from each node of the graph of what holds what, and how far away it is."""
+    return graph.closure(held(spark, sf))
+
+
+@query("c2_cycles", _TRADE[1:] + """,
+d AS (SELECT src AS root, dst AS node, 1 AS depth FROM trade UNION ALL SELECT root, dst, depth + 1 FROM d JOIN trade ON src = node WHERE depth < 25)
+SELECT root, min(depth) AS length FROM d WHERE root = node GROUP BY 1""")
+def c2_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations on a cycle of best trade: each points to the nation that it buys most from, its own apart."""
+    t = lambda name: ad.table(spark, sf, name)
+    bought = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    flow = bought.where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("l_extendedprice").alias("worth"))
+    best = flow.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy(F.desc("worth"), "dst"))).where("k = 1")
+    return graph.cycles(graph.closure(best.select("src", "dst")))
