@@ -5,14 +5,15 @@ import math
 import duckdb
 import pytest
 
-from tideline.plans import boundaries, registry
+from tideline.plans import boundaries, published, registry, schemas
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["g23_story_plan", "w5_scenes_with_silence", "j2_overlap_join", "d1_originality_audit", "d2_pacing_gate", "s7_srt_round_trip", "j5_midpoint_cues", "k2_upsert", "v13_foreign_keys", "p9_native_or_all", "i1_checkpoint_validity"]
 SOME += ["f12_caption_phrases", "w7_timed_captions", "r2_narration_cues", "r3_dialogue_cues", "r5_combined_cues", "f14_word_error_rate", "j3_transcript_chunks", "o4_catalog_order", "j16_favourite_rank"]
 SOME += ["w5_scene_grouping", "w11_thinned_cuts", "s12_manifest_catalog", "k12_path_guard", "f5_episode_ids", "p6_mode_outputs", "x11_pending_migrations", "x12_subtitle_cascade", "x15_favourite_sets"]
-SOME += list(boundaries.QUERIES)
+SOME += ["c2_stage_descendants", "c2_cycles", "i3_invalidated_rows", "c3_predecessor_artifacts", "j15_source_cascade", "d4_intelligibility", "x2_source_drift", "x19_mode_change", "m1_seconds_to_ms", "x9_speech_segments", "w6_running_offsets", "g22_fit_limit"]
+SOME += [*boundaries.QUERIES, *schemas.QUERIES, *published.QUERIES]
 
 
 def plain(v):
@@ -30,7 +31,7 @@ def test_query_matches_oracle(spark, name):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = registry.QUERIES[name](spark, SF)
     rows = sorted(str([plain(r[c]) for c in sorted(found.columns)]) for r in found.collect())
-    want = duck.sql(registry.ORACLES[name])
+    want = duck.sql(registry.ORACLES[name].replace(published.FOLDER, SF))
     places = [want.columns.index(c) for c in sorted(found.columns)]
     assert len(want.columns) == len(found.columns)
     assert rows == sorted(str([plain(r[i]) for i in places]) for r in want.fetchall())

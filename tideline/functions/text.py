@@ -104,11 +104,19 @@ def stable_seed(x: Column) -> Column:
     return F.conv(F.substring(F.sha2(x, 256), 1, 8), 16, 10).cast("long")
 
 
-def words_as_characters(words: str, vocabulary: str) -> Column:
-    """The words of one array as a string of one character each: the word's place among the
-    distinct words of the other (up to 55,000 of them), from U+0100 on."""
-    place = F.transform(F.col(words), lambda w: F.array_position(F.array_distinct(F.col(vocabulary)), w) + 255)
-    return F.decode(F.unhex(F.array_join(F.transform(place, lambda n: F.lpad(F.hex(n), 4, "0")), "")), "UTF-16BE")
+def word_distance(a: str, b: str) -> Column:
+    """Edit distance of two arrays of words. The words that both have become characters, those that
+    only one has become two more (they match nothing), so that the JVM's edit distance of
+    strings is that of the words, in its two rows of memory. Characters are code points beyond U+0100
+    without the surrogates: enough for 1.1 million distinct shared words, above which it raises."""
+    point = lambda n: F.when(n + 256 < 0xD800, n + 256).otherwise(n + 256 + 0x800)
+
+    def coded(words: str, shared: Column, own: int) -> Column:
+        number = lambda w: F.coalesce(F.nullif(F.array_position(shared, w), F.lit(0)) + 2, F.lit(own))
+        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(point(number(w))), 8, "0")), "")), "UTF-32")
+
+    shared = F.array(F.array_intersect(a, b))
+    return F.transform(shared, lambda s: F.levenshtein(coded(a, s, 1), coded(b, s, 2)))[0].cast("long")
 
 
 def caption_phrases(x: str, least: int = 3, most: int = 7) -> Column:

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import text as T
+from tideline.operators import scan
 from tideline.operators import store as st
 from tideline.plans import audits, stories
 from tideline.sources import adapters as ad
+from tideline.sources.drafts import drafts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,11 +68,10 @@ def a4_merged_policy(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).select("o_orderkey", F.array_join(F.transform(listed, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("policy"))
 
 
-@query("a5_sorted_json", """SELECT doc_id, '{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}' AS doc FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+@query("a5_sorted_json", """SELECT doc_id, '{' || concat_ws(',', '"lang":"' || lang || '"', '"n_chars":' || n_chars, '"source":"' || source || '"') || '}' AS doc FROM documents""")
 def a5_sorted_json(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON text with its keys in order, whatever the order of the columns."""
-    rows = _documents(spark, sf).where("lang is not null and source is not null")
-    return rows.select("doc_id", F.to_json(F.struct(*sorted(["source", "n_chars", "lang"]))).alias("doc"))
+    """JSON text with its keys in order, whatever the order of the columns; keys without a value are left out."""
+    return _documents(spark, sf).select("doc_id", F.to_json(F.struct(*sorted(["source", "n_chars", "lang"]))).alias("doc"))
 
 
 _ENVELOPE = "CASE event_type WHEN 'click' THEN '{\"episode\":' || props || '}' WHEN 'view' THEN '{\"episodes\":[' || props || ',{}]}' ELSE props END"
@@ -127,18 +128,32 @@ def _failed(rows: DataFrame, rules: dict, *keys: str) -> DataFrame:
     return marked.select(*keys, F.explode(F.filter("r", lambda r: ~r["ok"])).alias("x")).select(*keys, F.col("x.rule").alias("rule"))
 
 
-@query("v6_event_drafts", _SCENES + """, d AS (SELECT p.event_id, p.start_ms, p.end_ms, p.start_ms + 2000 AS es, p.start_ms + 30000 AS ee, p.value, env.s, env.e FROM placed p JOIN env USING (user_id, scene))
-SELECT event_id, rule FROM (SELECT *, unnest(['in_scene', 'evidence_inside', 'has_evidence']) AS rule, unnest([s <= start_ms AND end_ms <= e, start_ms <= es AND ee <= end_ms, value >= 1]) AS ok FROM d) WHERE NOT ok""", "timeline")
+_DRAFTS = _SCENES + """,
+marked AS (SELECT *, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id, scene ORDER BY ordinal), false) AS new FROM placed),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id, scene ORDER BY ordinal) AS draft FROM marked),
+drafts AS (SELECT user_id, scene, draft::BIGINT AS draft, any_value(event_type) AS kind, min(start_ms) AS start_ms, max(start_ms + round_even(value * 300000, 0)::BIGINT) AS end_ms,
+    arg_min(start_ms + round_even(value * 400000, 0)::BIGINT, ordinal) AS evidence_ms, count(*) AS shots FROM runs GROUP BY 1, 2, 3)"""
+
+
+@query("udtf_event_drafts", _DRAFTS + " SELECT * FROM drafts", "timeline")
+def udtf_event_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events drafted from each scene's shots by a table function."""
+    return drafts(_placed(spark, sf))
+
+
+@query("v6_event_drafts", _DRAFTS + """, d AS (SELECT * FROM drafts JOIN env USING (user_id, scene))
+SELECT user_id, scene, draft, rule FROM (SELECT *, unnest(['in_scene', 'evidence_inside', 'lasting']) AS rule,
+unnest([s <= start_ms AND end_ms <= e, start_ms <= evidence_ms AND evidence_ms <= end_ms, end_ms > start_ms]) AS ok FROM d) WHERE NOT ok""", "timeline")
 def v6_event_drafts(spark: SparkSession, sf: str) -> DataFrame:
-    """Drafted events whose range leaves their scene, whose evidence leaves them, or that have none."""
+    """Drafted events whose range leaves their scene, whose evidence leaves their own range, or that don't last."""
     placed = _placed(spark, sf)
     scenes = placed.groupBy("user_id", "scene").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
     rules = {
         "in_scene": (F.col("s") <= F.col("start_ms")) & (F.col("end_ms") <= F.col("e")),
-        "evidence_inside": (F.col("start_ms") <= F.col("start_ms") + 2000) & (F.col("start_ms") + 30000 <= F.col("end_ms")),
-        "has_evidence": F.col("value") >= 1,
+        "evidence_inside": F.col("evidence_ms").between(F.col("start_ms"), F.col("end_ms")),
+        "lasting": F.col("end_ms") > F.col("start_ms"),
     }
-    return _failed(placed.join(scenes, ["user_id", "scene"]), rules, "event_id")
+    return _failed(drafts(placed).join(scenes, ["user_id", "scene"]), rules, "user_id", "scene", "draft")
 
 
 @query("v8_domain_invariants", """, r AS (SELECT conv_id, turn, text, role, start_ms, end_ms, lead(start_ms) OVER l AS after, row_number() OVER l - 1 AS pos FROM transcript WINDOW l AS (PARTITION BY conv_id ORDER BY turn, text))
@@ -167,8 +182,7 @@ def x22_entity_checks(spark: SparkSession, sf: str) -> DataFrame:
 def p13_unknown_labels(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     label = F.when(kind == "error", " ").when(kind == "signup", "Unknown ").when(kind == "view", F.concat(F.lit("Speaker "), F.col("user_id").cast("string"))).otherwise(F.concat(kind, F.col("user_id").cast("string")))
-    k = F.lower(F.trim(label))
-    return _events(spark, sf).select("event_id", ((k == "") | (k == "unknown") | k.rlike(r"^speaker[_\- ]?\d+$")).alias("unknown"))
+    return _events(spark, sf).select("event_id", T.is_unknown_label(label).alias("unknown"))
 
 
 @query("p16_locked_type_mismatch", """SELECT render_id, segment_id, clip_order FROM (SELECT *, first_value(segment_type) OVER (PARTITION BY render_id ORDER BY clip_order, segment_id) AS locked FROM clips) WHERE segment_type <> locked""", "clips")
@@ -207,7 +221,8 @@ def g5_longest_clip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w1_dense_ordinals", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal FROM documents")
 def w1_dense_ordinals(spark: SparkSession, sf: str) -> DataFrame:
-    return _documents(spark, sf).select("doc_id", "source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+    """Places within a source, which may hold any share of all documents."""
+    return scan.running(_documents(spark, sf).select("doc_id", "source"), "source", ["doc_id"], number="ordinal")
 
 
 @query("o1_chronological", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, ordinal) AS position FROM timeline", "timeline")
@@ -274,23 +289,28 @@ def x7_row_count_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return n.where("declared <> found or found < 3")
 
 
-@query("x8_verified_documents", "SELECT doc_id, length(text) AS size FROM documents WHERE sha256(text) = CASE WHEN n_chars > 300 THEN sha256(text) ELSE sha256(trim(text) || '.') END")
+@query("x8_verified_documents", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE sha256(l_linestatus) = sha256(o_orderstatus)")
 def x8_verified_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose text has the recorded hash (short ones were recorded before an edit)."""
-    recorded = F.when(F.col("n_chars") > 300, F.sha2("text", 256)).otherwise(F.sha2(F.concat(F.trim("text"), F.lit(".")), 256))
-    return _documents(spark, sf).where(F.sha2("text", 256) == recorded).select("doc_id", F.length("text").cast("long").alias("size"))
+    """Items whose content has the hash that was recorded with their order."""
+    recorded = _orders(spark, sf).select(F.col("o_orderkey").alias("l_orderkey"), F.sha2("o_orderstatus", 256).alias("recorded"))
+    items = ad.table(spark, sf, "lineitem").join(recorded, "l_orderkey").where(F.sha2("l_linestatus", 256) == F.col("recorded"))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("x3_artifact_match", "SELECT doc_id, n_chars = length(text) AND sha256(text) = sha256(trim(text)) AND contains(lower(text), 'the') AS matches FROM documents")
+@query("x3_artifact_match", """SELECT a.event_id, coalesce(length(a.props) = length(d.props) AND sha256(a.props) = sha256(d.props) AND (a.props::JSON->>'k')::BIGINT >= 10, false) AS matches
+FROM events a LEFT JOIN events d ON d.event_id = a.event_id + 1""")
 def x3_artifact_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Size, hash and content of an artifact as declared."""
-    good = (F.col("n_chars") == F.length("text")) & (F.sha2("text", 256) == F.sha2(F.trim("text"), 256)) & F.lower("text").contains("the")
-    return _documents(spark, sf).select("doc_id", good.alias("matches"))
+    """Whether an artifact has the size and hash that were declared for it (with the next event) and a level of ten or more."""
+    declared = _events(spark, sf).select((F.col("event_id") - 1).alias("event_id"), F.length("props").alias("size"), F.sha2("props", 256).alias("sha"))
+    level = F.from_json("props", "k bigint")["k"] >= 10
+    good = (F.length("props") == F.col("size")) & (F.sha2("props", 256) == F.col("sha")) & level
+    return _events(spark, sf).join(declared, "event_id", "left").select("event_id", F.coalesce(good, F.lit(False)).alias("matches"))
 
 
-@query("x4_metadata_documents", """SELECT doc_id, 'metadata/' || sha256(text) || '.media.json' AS path, '{"sha256":"' || sha256(text) || '","size":' || length(text) || '}' AS doc FROM documents WHERE text IS NOT NULL""")
+@query("x4_metadata_documents", """SELECT doc_id, 'metadata/' || sha256(coalesce(text, '')) || '.media.json' AS path, '{"sha256":"' || sha256(coalesce(text, '')) || '","size":' || length(coalesce(text, '')) || '}' AS doc FROM documents""")
 def x4_metadata_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _documents(spark, sf).where("text is not null").withColumn("sha256", F.sha2("text", 256))
+    """The metadata document of each text, under its hash; a null text is an empty one."""
+    rows = _documents(spark, sf).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("sha256", F.sha2("text", 256))
     return rows.select("doc_id", F.concat(F.lit("metadata/"), "sha256", F.lit(".media.json")).alias("path"), F.to_json(F.struct("sha256", F.length("text").alias("size"))).alias("doc"))
 
 
@@ -318,11 +338,11 @@ def f7_bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
     return ad.voices(spark, sf).select("voice_id", F.concat(folder, F.lit("/"), F.when(F.length(clean) <= room, clean).otherwise(short), F.lit(".srt")).alias("path"))
 
 
-@query("f10_folder_names", """SELECT doc_id, coalesce(nullif(trim(trim(regexp_extract(p, '([^/]*)$', 1)), '. '), ''), 'recaps') AS folder FROM (SELECT doc_id, coalesce(source, '') || '/' || CASE lang WHEN 'de' THEN '' WHEN 'fr' THEN ' .fr. ' ELSE lang END AS p FROM documents WHERE lang IS NOT NULL)""")
+@query("f10_folder_names", """SELECT doc_id, coalesce(nullif(trim(trim(regexp_extract(p, '([^/]*)$', 1)), '. '), ''), 'recaps') AS folder FROM (SELECT doc_id, coalesce(source, '') || '/' || CASE lang WHEN 'de' THEN '' WHEN 'fr' THEN ' .fr. ' ELSE coalesce(lang, '') END AS p FROM documents)""")
 def f10_folder_names(spark: SparkSession, sf: str) -> DataFrame:
     """The last part of a path without spaces and points around it, or a default."""
-    rows = _documents(spark, sf).where("lang is not null")
-    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.when(F.col("lang") == "de", "").when(F.col("lang") == "fr", " .fr. ").otherwise(F.col("lang")))
+    rows = _documents(spark, sf)
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.when(F.col("lang") == "de", "").when(F.col("lang") == "fr", " .fr. ").otherwise(F.coalesce("lang", F.lit(""))))
     last = F.btrim(F.trim(F.element_at(F.split(path, "/"), -1)), F.lit(". "))
     return rows.select("doc_id", F.coalesce(F.nullif(last, F.lit("")), F.lit("recaps")).alias("folder"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as T
 from tideline.operators import captions as cp
+from tideline.operators import scan
 from tideline.operators import intervals as iv
 from tideline.sources import adapters as ad
 
@@ -120,8 +121,8 @@ def s7_srt_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w6_running_offsets", "SELECT conv_id, turn, (coalesce(sum(end_ms - start_ms) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset_ms FROM transcript", "transcript")
 def w6_running_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    offset = cp.running_offset(F.col("end_ms") - F.col("start_ms"), ["conv_id"], ["turn", "text"])
-    return ad.transcript(spark, sf).select("conv_id", "turn", offset.cast("long").alias("offset_ms"))
+    placed = scan.running(ad.transcript(spark, sf), "conv_id", ["turn", "text"], {"offset_ms": F.col("end_ms") - F.col("start_ms")})
+    return placed.select("conv_id", "turn", F.col("offset_ms").cast("long").alias("offset_ms"))
 
 
 _CUT = """,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as T
 from tideline.operators import intervals as iv
+from tideline.operators import lookup
 from tideline.sources import adapters as ad
 
 QUERIES: dict = {}
@@ -69,22 +70,23 @@ def g13_engine_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ad.voices(spark, sf).groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("engine").alias("engines"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("names"))
 
 
-@query("j15_source_cascade", """, want AS (SELECT voice_id, CASE voice_id % 3 WHEN 0 THEN upper(name || engine || voice_id) WHEN 1 THEN name || engine ELSE 'none' END AS w FROM voices),
-have AS (SELECT lower(name || engine || voice_id) AS f, lower(name || engine) AS g, voice_id AS v FROM voices),
-u AS (SELECT g, min(v) AS v FROM have GROUP BY 1 HAVING count(*) = 1)
-SELECT voice_id, coalesce(a.v, b.v) AS source FROM want LEFT JOIN have a ON a.f = lower(w) LEFT JOIN u b ON b.g = lower(w)""", "voices")
+@query("j15_source_cascade", """WITH files AS (SELECT c_custkey AS file, lower(c_name) AS stem, lower(c_name || '.mp4') AS name FROM customer),
+want AS (SELECT s_suppkey, lower('CUSTOMER#' || lpad((s_suppkey * 37)::VARCHAR, 9, '0') || '.MP4') AS name, lpad((s_suppkey * 13)::VARCHAR, 6, '0') AS episode FROM supplier),
+exact AS (SELECT name, min(file) AS file FROM files GROUP BY 1 HAVING count(*) = 1),
+loose AS (SELECT episode, min(file) AS file FROM (SELECT DISTINCT episode FROM want) JOIN files ON contains(stem, episode) GROUP BY 1 HAVING count(*) = 1)
+SELECT s_suppkey, coalesce(exact.file, loose.file) AS source, CASE WHEN exact.file IS NOT NULL THEN 'exact' WHEN loose.file IS NOT NULL THEN 'contains' ELSE 'none' END AS found
+FROM want LEFT JOIN exact USING (name) LEFT JOIN loose USING (episode)""")
 def j15_source_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact name, else the only one with the shorter name, else none."""
-    v = ad.voices(spark, sf)
-    both = F.concat("name", "engine")
-    w = F.when(F.col("voice_id") % 3 == 0, F.upper(F.concat(both, F.col("voice_id").cast("string")))).when(F.col("voice_id") % 3 == 1, both).otherwise(F.lit("none"))
-    want = v.select("voice_id", F.lower(w).alias("w"))
-    exact = v.select(F.lower(F.concat(both, F.col("voice_id").cast("string"))).alias("w"), F.col("voice_id").alias("a"))
-    loose = v.groupBy(F.lower(both).alias("w")).agg(F.min("voice_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return want.join(exact, "w", "left").join(loose, "w", "left").select("voice_id", F.coalesce("a", "b").alias("source"))
-
-
-ORACLES["j15_source_cascade"] = ORACLES["j15_source_cascade"].replace(" , want", ", want")
+    """The source of an episode: the one file of its exact name, else the only one whose stem contains the
+    episode's number, else none."""
+    stem = F.lower("c_name")
+    files = ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("file"), stem.alias("stem"), F.concat(stem, F.lit(".mp4")).alias("name"))
+    number = lambda by, n: F.lpad((F.col("s_suppkey") * by).cast("string"), n, "0")
+    want = ad.table(spark, sf, "supplier").select("s_suppkey", F.lower(F.concat(F.lit("CUSTOMER#"), number(37, 9), F.lit(".MP4"))).alias("name"), number(13, 6).alias("episode"))
+    exact = lookup.only_named(files, "name", "file").withColumnRenamed("file", "exact")
+    loose = lookup.only_containing(want, files, "episode", "stem", "file").withColumnRenamed("file", "loose")
+    found = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "contains").otherwise("none")
+    return want.join(exact, "name", "left").join(loose, "episode", "left").select("s_suppkey", F.coalesce("exact", "loose").alias("source"), found.alias("found"))
 
 
 @query("j16_favourite_rank", "SELECT voice_id, coalesce(r, 999) AS rank FROM voices LEFT JOIN (SELECT voice_id, row_number() OVER (ORDER BY price DESC, voice_id) AS r FROM voices WHERE size = 7) f USING (voice_id)", "voices")
@@ -114,9 +116,9 @@ def m8_progress_bands(spark: SparkSession, sf: str) -> DataFrame:
     return ad.table(spark, sf, "orders").select("o_orderkey", F.greatest(F.lit(1), F.least(F.lit(99), F.floor(r * 100).cast("int"))).alias("pct"), stage.alias("stage"))
 
 
-@query("m1_seconds_to_ms", "SELECT o_orderkey, round_even(o_totalprice * 1000, 0)::BIGINT AS ms FROM orders WHERE o_totalprice > 0")
+@query("m1_seconds_to_ms", "SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN round_even(o_totalprice * 1000, 0)::BIGINT END AS ms FROM orders")
 def m1_seconds_to_ms(spark: SparkSession, sf: str) -> DataFrame:
-    return ad.table(spark, sf, "orders").where("o_totalprice > 0").select("o_orderkey", F.bround(F.col("o_totalprice") * 1000).cast("long").alias("ms"))
+    return ad.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 0, F.bround(F.col("o_totalprice") * 1000).cast("long")).alias("ms"))
 
 
 @query("m2_confidence", "SELECT event_id, round(least(1, greatest(0, exp(value / 50 - 2))), 9) AS confidence FROM events")

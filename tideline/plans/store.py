@@ -226,15 +226,6 @@ def u5_set_equality(spark: SparkSession, sf: str) -> DataFrame:
     return ad.table(spark, sf, "orders").groupBy("o_custkey").agg(((F.size(F.array_except(seen, want)) == 0) & (F.size(F.array_except(want, seen)) == 0)).alias("complete"))
 
 
-@query("v1_schema_rules", """SELECT 'k:maximum' AS rule, event_id::VARCHAR AS key FROM events WHERE (props::JSON->>'k')::BIGINT > 90 UNION ALL SELECT 'k:minimum', event_id::VARCHAR FROM events WHERE (props::JSON->>'k')::BIGINT < 5
-UNION ALL SELECT 'event_type:enum', event_id::VARCHAR FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')""")
-def v1_schema_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules of a schema compiled to predicates, all failures collected."""
-    k = F.from_json("props", "k bigint")["k"]
-    rules = {"k:maximum": k <= 90, "k:minimum": k >= 5, "event_type:enum": F.col("event_type").isin("click", "view", "purchase")}
-    return st.violations(ad.table(spark, sf, "events"), rules, "event_id")
-
-
 @query("x1_cut_times", r"""SELECT conv_id, t AS cut_ms FROM (SELECT conv_id, unnest(list_distinct(list_transform(regexp_extract_all(log, 'pts_time:([0-9]+(?:\.[0-9]+)?)', 1), lambda x: round_even(x::DOUBLE * 1000, 0)::BIGINT))) AS t
 FROM (SELECT conv_id, string_agg('n:' || turn || ' pts_time:' || (turn * 1.25::DOUBLE) || ' pos', chr(10)) AS log FROM conversations GROUP BY 1)) WHERE t > 0""")
 def x1_cut_times(spark: SparkSession, sf: str) -> DataFrame:
