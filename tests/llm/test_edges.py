@@ -328,22 +328,8 @@ def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, block):
     assert got == want | {40 + i: own(60 + i) for i in range(4)} | {60: line}
 
 
-@pytest.mark.parametrize("longest, block", [(2, 1 << 21), (3, 3000), (6, 1 << 21), (1, 500)])
-def test_language_model_against_a_brute_force_tree(spark, longest, block):
-    """Scores by a tree that tests every context seen often enough, whatever its prefix and suffix."""
-    import random
-
-    rng = random.Random(5)
-    train = [" ".join(f"v{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(30)) for _ in range(40)]
-    # q has many single successors, so its own state fails; what follows "q z" is plain
-    train += [f"q u{i} a{i}" for i in range(150)] + ["q z hit"] * 12 + [f"r{i} z other{i}" for i in range(150)]
-    train += [f"k{j} l m n o{j}" for j in range(4)] * 6  # only four words before tell what follows
-    if longest == 1:  # contexts with more than a bucket's share of all tokens
-        train += [f"s{i % 40}" for i in range(19000)]
-    probe = ["q z hit", "q z other1", "s1", "s1 s2", "q u1", "v1 v2 v1 v1 v3", "z hit", "", "k2 l m n o2", "k2 l m n o3"]
-    texts = [(i, t) for i, t in enumerate(train)] + [(10**6 + i, t) for i, t in enumerate(probe)]
-    got = {r.doc_id: r.score for r in suffix_tree_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") < 10**6, depth=longest, block=block).collect()}
-
+def tree_scores(train, probes, longest):
+    """Scores by a tree that tests every context seen often enough, whatever its prefix and suffix, and its states."""
     count, after = Counter(), defaultdict(Counter)
 
     def contexts(t):
@@ -371,12 +357,49 @@ def test_language_model_against_a_brute_force_tree(spark, longest, block):
             gain = sum(k * math.log((k - 1 + t * p) / ((n - 1 + t) * p)) for x, k in after[c].items() for p in [probability(c[1:], x)])
             if gain > suffix_tree_lm.GAIN:
                 kept.add(c)
+    return [sum(math.log10(probability(found[-1], x)) for x, found in contexts(t)) for t in probes], kept
+
+
+@pytest.mark.parametrize("longest, block", [(2, 1 << 21), (3, 3000), (6, 1 << 21), (1, 500)])
+def test_language_model_against_a_brute_force_tree(spark, longest, block):
+    import random
+
+    rng = random.Random(5)
+    train = [" ".join(f"v{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(30)) for _ in range(40)]
+    # q has many single successors, so its own state fails; what follows "q z" is plain
+    train += [f"q u{i} a{i}" for i in range(150)] + ["q z hit"] * 12 + [f"r{i} z other{i}" for i in range(150)]
+    train += [f"k{j} l m n o{j}" for j in range(4)] * 6  # only four words before tell what follows
+    if longest == 1:  # contexts with more than a bucket's share of all tokens
+        train += [f"s{i % 40}" for i in range(19000)]
+    probe = ["q z hit", "q z other1", "s1", "s1 s2", "q u1", "v1 v2 v1 v1 v3", "z hit", "", "k2 l m n o2", "k2 l m n o3"]
+    texts = [(i, t) for i, t in enumerate(train)] + [(10**6 + i, t) for i, t in enumerate(probe)]
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") < 10**6, depth=longest, block=block).collect()}
+    wanted, kept = tree_scores(train, [t for _, t in texts], longest)
     assert ("q",) not in kept and (("q", "z") in kept) == (longest > 1) and (("k2", "l", "m", "n") in kept) == (longest > 3)
-    for i, t in texts:
-        want = sum(math.log10(probability(found[-1], x)) for x, found in contexts(t))
+    for (i, t), want in zip(texts, wanted, strict=True):
         assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), (t, got[i], want)
 
 
+@pytest.mark.parametrize("longest", [1, 2, 3])
+def test_language_model_of_hot_contexts_however_they_are_dealt(spark, longest):
+    """Contexts in a large share of all tokens, near the test's limit: scores don't depend on the buckets."""
+    import random
+
+    rng = random.Random(11)
+    train = [" ".join(f"the w{min(int(rng.paretovariate(0.6)), 300)}" for _ in range(rng.randrange(1, 4))) for _ in range(1500)]
+    train += [f"of the {rng.choice(['a', 'b', 'c', f'x{i}'])}" for i in range(700)]
+    probes = ["the w1 the w2", "of the a", "of the x3 the", "the", "", "the the of", *train[:40]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(train)] + [(10**6 + i, t) for i, t in enumerate(probes)], "doc_id long, text string")
+    before, wanted = spark.conf.get("spark.sql.shuffle.partitions"), tree_scores(train, probes, longest)[0]
+    try:
+        for n in ("1", "4", "64", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.doc_id: r.score for r in suffix_tree_lm.score(rows, F.col("doc_id") < 10**6, depth=longest).where("train = 0").collect()}
+            assert [got[10**6 + i] for i in range(len(probes))] == pytest.approx(wanted, rel=1e-4), n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_html_takes_time_in_proportion_to_the_page():
     import time
 

@@ -125,13 +125,14 @@ def emit(packed: DataFrame, each: Callable[[int, list[np.ndarray]], pa.Table]) -
 
 
 def answer(parts: DataFrame, each: Callable[[int, list[int], list[list[np.ndarray]]], list[bytes]]) -> DataFrame:
-    """For every bucket, each(bucket, blocks, arrays of each part) gives a blob for each part."""
+    """For every bucket, each(bucket, blocks, arrays of each part) gives a blob for each part, and may
+    give more, for no block (-1)."""
 
     def run(table: pa.Table) -> pa.Table:
         order = table.sort_by("block")
         bucket, block = order["bucket"][0].as_py(), order["block"].to_pylist()
         blobs = each(bucket, block, [unpack(x.as_buffer()) for x in order["blob"]])
-        return parts_table([bucket] * len(blobs), block, blobs)
+        return parts_table([bucket] * len(blobs), block + [-1] * (len(blobs) - len(block)), blobs)
 
     return parts.groupBy("bucket").applyInArrow(run, PART_SCHEMA)
 

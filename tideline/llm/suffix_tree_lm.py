@@ -14,8 +14,9 @@ Contexts grow by a word a round for as long as any is seen ``SEEN`` times, and u
 
 Counts cover all training documents. Blocks of documents send distinct (context, symbol)
 keys to the context's bucket, which sums, tests and answers; contexts with more than a
-bucket's share of all tokens are split over several buckets by symbol and their sums meet
-in a small table (``HOT`` rows a round at most, by the share that makes a context hot).
+bucket's share of all tokens are split over several buckets by symbol. Their sums meet
+in a small table (``HOT`` rows a round at most, by the share that makes a context hot), and only
+then are they tested, by these sums, so that no score depends on how they were dealt.
 """
 
 from __future__ import annotations
@@ -259,26 +260,32 @@ def _test_contexts(sums: tuple[int, int], bucket: int, blocks: list[int], parts:
     state = s[one]
     n_s = np.bincount(state, n_sx, len(states))
     t_s = np.bincount(state, n_sx > 0, len(states))
-    seen = n_sx > 0
-    n_all, t_all = (n_s * wide)[state], (t_s * wide)[state]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = n_sx * np.log((n_sx - 1 + t_all * p) / ((n_all - 1 + t_all) * p))
-    gain = np.bincount(state[seen], gain[seen], len(states))
-    keep = (n_s >= SEEN) & (gain > GAIN) & (wide == 1)
+    keep = (n_s >= SEEN) & (_gains(state, n_sx, p, n_s, t_s) > GAIN) & (wide == 1)
     answers = n_sx.astype(np.uint32)[where]  # of all contexts: the next round goes by true counts
-    told = np.zeros(len(states), bool)
     out, at, key_at = [], 0, 0
     for part in parts:
         mine, keys = s_part[at : at + len(part[0])], int(part[2].sum())
         answer = answers[key_at : key_at + keys]
         at, key_at = at + len(part[0]), key_at + keys
-        new = mine[(wide[mine] > 1) & ~told[mine]]
-        told[new] = True
-        hot = np.concatenate([n_s[new], t_s[new], gain[new]]).astype(np.float64)
-        out.append(K.pack((n_s * keep)[mine].astype(np.uint64), (t_s * keep)[mine].astype(np.uint32), part[2], answer, name[new], hot))
+        out.append(K.pack((n_s * keep)[mine].astype(np.uint64), (t_s * keep)[mine].astype(np.uint32), part[2], answer))
+    # contexts that lie in several buckets are tested once their sums are known: what the test needs of this one
+    split, met = np.flatnonzero(wide > 1), (wide > 1)[state] & (n_sx > 0)
+    if len(split):
+        size = np.bincount(state[met], minlength=len(states))[split]
+        out.append(K.pack(name[split], n_s[split].astype(float), t_s[split].astype(float), size.astype(np.int64), n_sx[met].astype(float), p[met]))
     return out
 
 
+def _gains(state: np.ndarray, n_sx: np.ndarray, p: np.ndarray, n_s: np.ndarray, t_s: np.ndarray) -> np.ndarray:
+    """Each state's gain in log-likelihood over its suffix, leave-one-out, from its symbols' counts and
+    the suffix's probabilities; n_s, t_s: what it has in all, in other buckets too."""
+    n, t = n_s[state], t_s[state]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = n_sx * np.log((n_sx - 1 + t * p) / ((n - 1 + t) * p))
+    seen = n_sx > 0
+    return np.bincount(state[seen], gain[seen], len(n_s)).astype(float)  # whole numbers if there is none
+
+
 def _corpus_sums(answers: DataFrame) -> tuple[int, int]:
     def run(batches):
         for batch in batches:
@@ -289,22 +296,39 @@ def _corpus_sums(answers: DataFrame) -> tuple[int, int]:
     return int(got[0] or 0), int(got[1] or 0)
 
 
-def _hot_states(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _hot_states(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Contexts that were split over buckets and pass the test, sorted, with N and T: each
-    has more than 1 / HOT of the tokens, so there are HOT at most."""
+    has more than 1 / HOT of the tokens, so there are HOT at most. Their sums over all buckets come
+    first, and the test then goes by these, bucket by bucket."""
+    told = told.select("blob")
 
-    def run(batches):
+    def sums(batches):
         for batch in batches:
             for x in batch.column("blob"):
-                got = K.unpack(x.as_buffer())
-                states, sums = got[4], got[5].reshape(3, -1)
-                yield pa.record_batch([pa.array(states.view(np.int64)), *(pa.array(v) for v in sums)], names=["s", "n", "t", "g"])
+                states, n, t = K.unpack(x.as_buffer())[:3]
+                yield pa.record_batch([pa.array(states.view(np.int64)), pa.array(n), pa.array(t)], names=["s", "n", "t"])
 
-    rows = answers.select("blob").mapInArrow(run, "s long, n double, t double, g double").groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("g").alias("g"))
-    rows = rows.where(F.col("g") > GAIN).collect()
-    states = np.array([r.s for r in rows], np.int64).view(np.uint64)
+    whole = told.mapInArrow(sums, "s long, n double, t double").groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= SEEN).toPandas()
+    states = whole["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(states)
-    return states[order], np.array([(r.n, r.t) for r in rows]).reshape(-1, 2)[order]
+    states, n_all, t_all = states[order], whole["n"].to_numpy(float)[order], whole["t"].to_numpy(float)[order]
+    if not len(states):
+        return states, np.zeros((0, 2))
+    shared = told.sparkSession.sparkContext.broadcast((states, n_all, t_all))
+
+    def gains(batches):
+        states, n_all, t_all = shared.value
+        for batch in batches:
+            for x in batch.column("blob"):
+                mine, _, _, size, n_sx, p = K.unpack(x.as_buffer())
+                at = np.minimum(np.searchsorted(states, mine), len(states) - 1)
+                known = states[at] == mine
+                found = _gains(np.repeat(np.arange(len(mine)), size), n_sx, p, n_all[at], t_all[at])
+                yield pa.record_batch([pa.array(at[known]), pa.array(found[known])], names=["at", "g"])
+
+    passed = told.mapInArrow(gains, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).where(F.col("g") > GAIN).select("at").toPandas()
+    keep = np.sort(passed["at"].to_numpy(np.int64))
+    return states[keep], np.stack([n_all[keep], t_all[keep]], axis=1)
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
@@ -340,8 +364,8 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             release(told)
             rounds -= 1
             break
-        model["hot"][rounds] = spark.sparkContext.broadcast(_hot_states(told))
-        answers = answers.unionByName(told)
+        model["hot"][rounds] = spark.sparkContext.broadcast(_hot_states(told.where("block < 0")))
+        answers = answers.unionByName(told.where("block >= 0"))
 
     def last(block: int, arrays: list[np.ndarray], got: dict[int, list[np.ndarray]]) -> pa.Table:
         b = _known(arrays, model, got, rounds + 1)
