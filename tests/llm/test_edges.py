@@ -440,6 +440,29 @@ def test_suffix_classes_of_far_buckets_stay_apart():
     assert len(one) == 4 and (np.diff(bucket[one].astype(np.int64)) >= 0).all() and sorted(kind.tolist()) == [0, 1, 2, 3]
 
 
+def test_near_dedup_of_an_id_with_unlike_texts(spark):
+    """Either text may count, but the same whatever the order of the rows, and not both."""
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, one), (1, two), (1, None), (2, one + " x"), (3, two + " y")]
+    seen = []
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        table = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        seen.append(sorted(map(tuple, near_dedup.near_groups(table, shingle=2, percent=80).select("doc_id", "component_id", "n_shingles").collect())))
+    assert seen[0] == seen[1] == seen[2]
+    assert {d: c for d, c, _ in seen[0]} in ({1: 1, 2: 1, 3: 3}, {1: 1, 2: 2, 3: 1}) and len(seen[0]) == 5
+
+
+def test_decontaminate_long_text_full_of_one_window(spark):
+    """20,000 words that repeat one window of 50 items, and a text that holds it once."""
+    window = [f"w{i}" for i in range(13)]
+    items = [(i, " ".join([*window, f"own{i}"])) for i in range(50)] + [(99, "short item"), (98, "w0 w1")]
+    texts = [(1, " ".join(window * 1540)), (2, " ".join(["x"] * 100 + window)), (3, " ".join(window[:12])), (None, " ".join(window))]
+    got = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [(got[d].n_words, got[d].n_hit, got[d].n_items) for d in (1, 2, 3, None)] == [(20_020, 20_020, 51), (113, 13, 51), (12, 2, 1), (13, 13, 51)]
+    all_ids = ",".join(sorted([*map(str, range(50)), "98"]))
+    assert got[1].items_sha256 == hashlib.sha256(all_ids.encode()).hexdigest()
+
+
 def test_near_dedup_pair_among_thousands_of_quotes(spark):
     """Two near copies, and 12,000 shorter texts of lower ids that quote 30 shingles of the first."""
     first = [f"w{i}" for i in range(101)]

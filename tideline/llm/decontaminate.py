@@ -4,8 +4,9 @@ Every text becomes the hashes of its k-word shingles; the smallest hash of each
 ``span - k + 1`` shingles is its fingerprint, so any shared run of ``span`` words shares a
 fingerprint. Fingerprints of the corpus, from one pass over it, meet those of the benchmark
 in a join. Documents with a hit are read again: where a shingle is the fingerprint of an
-item's window, the hit is extended to the whole window and confirmed word by word. Equal
-windows of an item are one, so repeated words cost no more than others. Items shorter than
+item's window, the hit is extended to the whole window and confirmed word by word. A document
+meets its words once, however many places it has to be looked at, and equal
+windows are one, of whatever items, which are named last. Items shorter than
 a span are one window, found by the hash of all their words.
 
 DataFrame functions only. Higher-order functions work inside one row, joins on hashes
@@ -67,15 +68,15 @@ def _item_table(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """win (a key), item_id, n, words, fp and offset (where in the window the fingerprint is) of
-    the distinct windows of each item."""
+    """win (a key of the words), item_id, n, words, fp and offset (where in the window the fingerprint
+    is) of the distinct windows of each item. Equal windows of different items have one win."""
     n = F.least(F.size("iw"), F.lit(SPAN))
     found = items.select("item", "item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("iw") - n + 1), lambda i: F.slice("iw", i, n))).alias("words"))
     found = found.dropDuplicates(["item", "words"])
     least = F.slice(shingle_hashes(F.col("words")), 1, SPAN - SHINGLE + 1)
     found = found.withColumn("fp", F.when(F.col("n") < SPAN, F.xxhash64("words")).otherwise(F.array_min(least)))
     offset = F.when(F.col("n") < SPAN, F.lit(0)).otherwise(F.array_position(least, F.col("fp")) - 1)
-    return found.select(F.xxhash64("item", "words").alias("win"), "item_id", "n", "words", "fp", offset.cast("int").alias("offset"))
+    return found.select(F.xxhash64("words").alias("win"), "item_id", "n", "words", "fp", offset.cast("int").alias("offset"))
 
 
 def _sized(side: DataFrame, rows: int, width: int) -> DataFrame:
@@ -98,7 +99,7 @@ def contamination(
     leaves every document clean; an empty corpus gives an empty result.
     """
     windows = stage(_item_windows(_item_table(benchmark, item_id_col, item_text_col)), "windows")
-    prints = windows.select("fp", "win", "n", "offset")
+    prints = windows.select("fp", "n", "offset").distinct()
     n_prints = prints.count()
     width = windows.agg(F.sum(F.length(F.concat_ws(" ", "words")) + F.length(F.coalesce(F.col("item_id").cast("string"), F.lit(""))) + 64)).first()[0] or 0
     short = [r.n for r in windows.where(F.col("n") < SPAN).select("n").distinct().collect()]  # at most 12 numbers
@@ -127,18 +128,25 @@ def contamination(
     if short:
         at = F.concat(at, *[_placed(_grams("w", n), n) for n in short])
     at = again.select("doc_id", "rk", F.size("w").alias("size"), F.explode(at).alias("at")).select("doc_id", "rk", "size", "at.*")
-    near = at.join(_sized(prints, n_prints, 40), ["fp", "n"]).select("doc_id", "rk", "win", "n", "size", (F.col("pos") - F.col("offset")).alias("start"))
-    near = near.where("start >= 0 and start + n <= size").select("doc_id", "rk", "win", "start").distinct()
+    near = at.join(_sized(prints, n_prints, 40), ["fp", "n"]).select("doc_id", "rk", "n", "size", (F.col("pos") - F.col("offset")).alias("start"))
+    # each document meets its text once, with all places where a window may be
+    near = near.where("start >= 0 and start + n <= size").groupBy("doc_id", "rk").agg(F.collect_set(F.struct("start", "n")).alias("places"))
     near = near.withColumnsRenamed({"doc_id": "d", "rk": "k"}).join(again, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("rk")))
-    told = windows.select("win", "item_id", "n", "words")
-    told = F.broadcast(told) if fits_broadcast(1, width) else told
-    hits = near.join(told, "win").where(F.slice("w", F.col("start") + 1, F.col("n")) == F.col("words")).select("doc_id", "rk", "start", "n", "item_id")
+    near = near.select("doc_id", "rk", "w", F.explode("places").alias("p")).select("doc_id", "rk", "p.*", F.slice("w", F.col("p.start") + 1, F.col("p.n")).alias("found"))
+    whole = windows.select("win", "words").distinct()
+    whole = F.broadcast(whole) if fits_broadcast(1, width) else whole
+    hits = near.withColumn("win", F.xxhash64("found")).join(whole, "win").where("found = words")
+    hits = stage(hits.select("doc_id", "rk", "start", "n", "win"), "hits")
     # the words that hits cover: of hits in order, what each adds beyond those before it
-    ids = F.collect_set(F.col("item_id").cast("string"))
-    starts = hits.groupBy("doc_id", "rk", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"), ids.alias("ids"))
+    starts = hits.groupBy("doc_id", "rk", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
     before = F.max("end").over(W.Window.partitionBy("doc_id", "rk").orderBy("start").rowsBetween(W.Window.unboundedPreceding, -1))
-    added = starts.select("doc_id", "rk", "ids", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("added"))
-    found = added.groupBy("doc_id", "rk").agg(F.sum("added").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
+    none = F.array().cast("array<string>")
+    added = starts.select("doc_id", "rk", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("added"), none.alias("ids"))
+    # the items of the distinct windows that a document holds
+    named = windows.where("item_id is not null").groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    named = F.broadcast(named) if fits_broadcast(1, width) else named
+    told = hits.select("doc_id", "rk", "win").distinct().join(named, "win").select("doc_id", "rk", F.lit(0).alias("added"), "ids")
+    found = added.unionByName(told).groupBy("doc_id", "rk").agg(F.sum("added").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     found = found.withColumnsRenamed({"doc_id": "d", "rk": "k"})
     base = seen.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k")), "left")

@@ -117,7 +117,7 @@ def _signature_batches(k: int):
                     ends = np.concatenate([[0], np.cumsum(counts)])
                     sums = []
                     for seed in (101, 102):
-                        total = np.concatenate([[0], np.cumsum(B.mix(elements, seed), dtype=np.uint64)]).astype(np.uint64)
+                        total = np.append(np.uint64(0), np.cumsum(B.mix(elements, seed), dtype=np.uint64))  # a plain 0 would make floats of them
                         sums.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
                     bands = np.zeros((hi - lo, BANDS), np.uint64)
                     for c in range(BANDS):
@@ -134,8 +134,9 @@ def _signature_batches(k: int):
                             pa.array(sums[1]),
                             pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
                             pa.array([row.tobytes() for row in short], pa.binary()),
+                            batch.column("rk").slice(lo, hi - lo),
                         ],
-                        names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig"],
+                        names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig", "rk"],
                     )
 
     return run
@@ -281,14 +282,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``shingle``-word shingles (words of any length, A-Z lower-cased; a text of fewer words
     is one shingle). Null, empty and blank texts have no shingle and are linked with
     nothing. A null doc_id is linked with nothing and kept, with a null component_id. Rows
-    that repeat a doc_id are one document. Other columns are ignored; an empty table gives
+    that repeat a doc_id are one document: where their texts are unlike, one of them (by a hash of its
+    set, whatever the order of the rows) makes the links of all. Other columns are ignored; an empty table gives
     an empty result.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, rk long"
     signed = stage(read.mapInArrow(_signature_batches(shingle), schema), "signatures")
     key = ["n_shingles", "s1", "s2"]
     linked = signed.where("n_shingles > 0 and doc_id is not null")
+    # of ids with unlike texts, the one whose set has the least sums counts
+    one = F.struct("s1", "s2", "n_shingles")
+    unlike = linked.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    others = stage(linked.join(unlike, "doc_id").where(one != F.col("lo")).select("doc_id", "rk").distinct(), "others")
+    if not others.isEmpty():
+        linked, read = (x.join(others, ["doc_id", "rk"], "left_anti") for x in (linked, read))
     least = linked.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     member = stage(linked.select("doc_id", *key).join(least, key).select("doc_id", "rep"), "members")
     reps = linked.join(least, key).where("doc_id = rep").select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep", "n_shingles"])
