@@ -314,18 +314,22 @@ def test_html_runs_count_over_the_whole_host(spark, block):
 
 
 @pytest.mark.parametrize("block", [1 << 22, 100])
-def test_html_repeated_lines_in_articles_go_and_mirrors_stay(spark, block):
+def test_html_articles_keep_what_they_share(spark, block):
+    """Sentences, notices and whole stories that articles of a host share are the articles' own, at any length."""
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(12))
-    line, story = "Read more such stories with our daily letter", " ".join(f"story{j}" for j in range(30))
+    said, story, notice = "There is no doubt about it at all, she said.", " ".join(f"story{j}" for j in range(30)), " ".join(f"long{j}" for j in range(100))
     page = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
-    rows = [(i, f"http://h/{i}", page(own(i), line)) for i in range(8)]
+    rows = [(i, f"http://h/{i}", page(own(i), said, own(i + 100))) for i in range(3)]
     rows += [(20 + i, f"http://h/m{i}", page(story, "the end of it")) for i in range(5)]  # mirrors
     rows += [(30 + i, f"http://h/n{i}", page(f"near{i} " + own(50), own(51))) for i in range(5)]  # mirrors but for a word
-    rows += [(40 + i, f"http://h/l{i}", f"<aside>{own(1)}</aside>" + page(own(60 + i))) for i in range(4)]  # named outside of other articles
-    rows += [(60, "http://h/p", f"<p>{line}</p>")]
+    rows += [(40 + i, f"http://h/l{i}", f"<aside>{own(1)}</aside>" + page(own(60 + i), notice)) for i in range(4)]
+    rows += [(50 + i, f"http://h/w{i}", f"<div>{said} We use cookies here.</div><article><p>{own(80 + i)}</p></article>") for i in range(3)]
+    rows += [(60, "http://h/p", f"<p>{said} We use cookies here.</p><p>{own(99)}</p>"), (61, "http://g/p", f"<p>{said} We use cookies here.</p>")]
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), block=block).collect()}
-    want = {i: own(i) for i in range(8)} | {20 + i: story + "\nthe end of it" for i in range(5)} | {30 + i: f"near{i} {own(50)}\n{own(51)}" for i in range(5)}
-    assert got == want | {40 + i: own(60 + i) for i in range(4)} | {60: line}
+    want = {i: f"{own(i)}\n{said}\n{own(i + 100)}" for i in range(3)} | {20 + i: story + "\nthe end of it" for i in range(5)} | {30 + i: f"near{i} {own(50)}\n{own(51)}" for i in range(5)}
+    want |= {40 + i: f"{own(60 + i)}\n{notice}" for i in range(4)} | {50 + i: own(80 + i) for i in range(3)}
+    # a page without an article is held against what stands outside the articles of its host
+    assert got == want | {60: own(99), 61: f"{said} We use cookies here."}
 
 
 def tree_scores(train, probes, longest):

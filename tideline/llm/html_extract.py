@@ -5,14 +5,17 @@ so on) get their text with character references decoded, and what the markup say
 inside a content container (article, main), or inside a menu, header, footer, sidebar,
 form, advert, notice or comments (by tag, role, class or id).
 
-Every page is then held against its host. The pages' token streams (one outside the
-container and one inside) are laid end to end, their suffixes are sorted, and neighbours
+A page with a container keeps the container's blocks, but for those that the markup marks. Lines that
+articles share are prose: of the lines of six words and more that stand in articles of three
+unlike pages of a host, every one was found to be a sentence of some document, so cutting
+them would lose article text (the README has the figures).
+
+A page without a container is held against its host. The token streams of what lies outside
+containers are laid end to end, their suffixes are sorted, and neighbours
 that share ``RUN`` tokens or more form the repeated substrings; those on ``PAGES`` distinct
 pages are boilerplate. (A longer repeated substring is covered by its runs of ``RUN`` tokens,
-so these alone decide what is covered.) Blocks mostly covered go, unique runs stay. The
-markup is a second vote: blocks it marks go, and so does what is outside a container.
-Pages with the same content count as one, and a container that repeated runs cover by
-``MIRROR`` is a copy of others with a few words changed: mirrored articles stay.
+so these alone decide what is covered.) Blocks mostly covered go, unique runs stay; so do not those that the
+markup marks. Pages with the same content count as one.
 
 A host may be of any size, so its suffix array is dealt out. Blocks of pages (some megabytes of a
 scan's pages, of any hosts) ask buckets twice, in packed arrays: first which anchors (the
@@ -42,8 +45,6 @@ from tideline.llm._shared import stage
 
 #: Tokens of a repeated run and of its anchor, distinct pages it must be on, share of a block that it must cover.
 RUN, GRAM, PAGES, COVERED = 6, 5, 3, 0.5
-#: Share of a container in repeated runs from which on it is a copy.
-MIRROR = 0.8
 #: Bytes of html in a block (a longer page has a block of its own).
 BLOCK = 4 << 20
 
@@ -239,11 +240,11 @@ class Pages:
         self.buf, self.offsets, self.flags, self.size, self.ids, self.host, self.digest, self.url, self.url_at, self.url_null = arrays
         self.page = np.repeat(np.arange(len(self.ids)), self.size)
         words, owner = B.word_hashes(self.buf, self.offsets)
-        lane = 2 * self.page[owner] + (self.flags[owner] & 1)
-        order = np.argsort(lane, kind="stable")
-        self.owner, self.lane = owner[order], lane[order]
-        # a token of one host and one kind of stream is unlike the same word elsewhere
-        self.token = B.mix(words[order] ^ B.mix(self.host[self.lane >> 1] + (self.lane & 1).astype(np.uint64), 3))
+        outside = self.flags[owner] & 1 == 0
+        self.owner, words = owner[outside], words[outside]
+        self.lane = self.page[self.owner]
+        # a token of one host is unlike the same word elsewhere
+        self.token = B.mix(words ^ B.mix(self.host[self.lane], 3))
         n = len(self.token)
         self.starts = np.flatnonzero(self.lane[: max(0, n - RUN + 1)] == self.lane[RUN - 1 :])
 
@@ -288,7 +289,7 @@ class Pages:
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """For the runs in their order: how many digests of pages, PAGES at most, and these."""
-        pair = np.unique((self.run.astype(np.uint64) << np.uint64(32)) | (self.digest[self.lane[self.at] >> 1] >> np.uint64(32)))
+        pair = np.unique((self.run.astype(np.uint64) << np.uint64(32)) | (self.digest[self.lane[self.at]] >> np.uint64(32)))
         run = (pair >> np.uint64(32)).astype(np.int64)
         first = np.searchsorted(run, np.arange(len(self.key)))
         stay = np.arange(len(pair)) - first[run] < PAGES
@@ -395,7 +396,7 @@ TEXTS = "page_id long, url string, text string"
 
 def _texts(buckets: int):
     def each(block: int, arrays: list[np.ndarray], answers: dict[int, list[np.ndarray]]) -> pa.Table:
-        """Text of the pages: from their blocks in a container if they have one, without the runs that are often on the host."""
+        """Text of the pages: their blocks in a container if they have one, else those without the runs that are often on the host."""
         p = Pages(arrays)
         p.anchors(buckets)
         p.runs(_told(answers, "anchors"), buckets)
@@ -403,8 +404,7 @@ def _texts(buckets: int):
         inside, marked = p.flags & 1 > 0, p.flags & 2 > 0
         n = len(p.ids)
         contained = np.bincount(p.page, inside, n) > 0
-        mirror = np.bincount(p.page, mine * inside, n) >= MIRROR * np.maximum(np.bincount(p.page, of * inside, n), 1)
-        keep = np.where(contained[p.page], inside & (mirror[p.page] | (mine < COVERED * of)), ~marked & (mine < COVERED * of))
+        keep = np.where(contained[p.page], inside, ~marked & (mine < COVERED * of))
         raw, url = p.buf.tobytes(), p.url.tobytes()
         ends = p.offsets.tolist()
         last = np.cumsum(p.size).tolist()
