@@ -515,6 +515,8 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
     monkeypatch.setattr(_links, "HOT", 3)
     rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k)], "k long, i long")
     one = spark.createDataFrame([(k, k, f"v{k}") for k in range(1, 5)], "k long, n long, v string")
-    assert sorted(map(tuple, _links.join_hot(rows, one, "k", "n").collect())) == sorted((k, i, f"v{k}") for k in range(1, 5) for i in range(k))
+    for bound in (1 << 20, 0):  # hot keys that can be broadcast, and ones that are too many
+        monkeypatch.setattr(_links, "fits_broadcast", lambda n, width, bound=bound: n * width <= bound)
+        assert sorted(map(tuple, _links.join_hot(rows, one, "k", "n").collect())) == sorted((k, i, f"v{k}") for k in range(1, 5) for i in range(k))
     links = spark.createDataFrame([(0, i) for i in range(1, 20)] + [(30 + i, 31 + i) for i in range(9)] + [(50, 5), (7, 7)], "u long, v long")
     assert {r.node: r.component for r in _links.components(links).collect()} == {i: 0 for i in [*range(20), 50]} | {i: 30 for i in range(30, 40)}

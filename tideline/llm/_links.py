@@ -13,6 +13,8 @@ from tideline.llm._shared import fits_broadcast, release, stage
 
 #: Rows of one key from which on its join partner goes to them instead.
 HOT = 1000
+#: Parts that the rows of a hot key are dealt into where hot keys are too many to broadcast.
+SALT = 32
 
 
 def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, width: int = 64) -> DataFrame:
@@ -22,8 +24,14 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, width: int = 64)
     others meet by a shuffle."""
     heavy = one.where(F.col(n) > HOT).drop(n)
     count = heavy.count()
-    if not count or not fits_broadcast(count, width):
+    if not count:
         return rows.join(one.drop(n), key)
+    if not fits_broadcast(count, width):  # so many hot keys that each gets SALT parts of rows instead
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int")
+        each = F.when(F.col(n) > HOT, F.sequence(F.lit(0), F.lit(SALT - 1)))
+        cold = rows.join(one.where(F.col(n) <= HOT).drop(n), key)
+        hot = rows.withColumn("_part", part).join(one.where(F.col(n) > HOT).withColumn("_part", F.explode(each)).drop(n), [key, "_part"]).drop("_part")
+        return hot.unionByName(cold)
     keys = F.broadcast(heavy.select(F.col(key).alias("__hot")))
     hot = rows.join(F.broadcast(heavy), key)
     rest = rows.join(keys, F.col(key) == F.col("__hot"), "left_anti")

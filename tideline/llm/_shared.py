@@ -23,7 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     has to name its folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tideline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -39,19 +40,13 @@ def stage(df: DataFrame, name: str, by: str | None = None, **options: str) -> Da
     spark = df.sparkSession
     key = uuid.uuid4().hex
     path, table = f"{shared_folder(spark)}/tideline/{name}-{key}", None
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        if by is None:
-            df.write.options(**options).parquet(path)
-        else:
-            n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tideline_{name}_{key}"
-            df.repartition(n, by).write.format("parquet").options(path=path, **options).bucketBy(n, by).saveAsTable(table)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+    if spark.conf.get(_CLEANUP, None) is None:
+        spark.conf.set(_CLEANUP, "true")  # for good: queries of one session may run side by side
+    if by is None:
+        df.write.options(**options).parquet(path)
+    else:
+        n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tideline_{name}_{key}"
+        df.repartition(n, by).write.format("parquet").options(path=path, **options).bucketBy(n, by).saveAsTable(table)
     _staged[path] = spark, table
     made = spark.table(table) if table else spark.read.schema(df.schema).parquet(path)
     made._staged_at = path
