@@ -297,9 +297,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = stage(linked.join(unlike, "doc_id").where(one != F.col("lo")).select("doc_id", "rk").distinct(), "others")
     if not others.isEmpty():
         linked, read = (x.join(others, ["doc_id", "rk"], "left_anti") for x in (linked, read))
-    least = linked.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    member = stage(linked.select("doc_id", *key).join(least, key).select("doc_id", "rep"), "members")
-    reps = linked.join(least, key).where("doc_id = rep").select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep", "n_shingles"])
+    linked = linked.withColumn("class", F.struct(*key))
+    least = stage(linked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "sets")
+    member = stage(join_hot(linked.select("doc_id", "class"), least, "class", "n", width=48).select("doc_id", "rep"), "members")
+    reps = linked.join(least.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"])
+    reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig").dropDuplicates(["rep", "n_shingles"])
     reps = stage(reps, "reps")
 
     slots = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
