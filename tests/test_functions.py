@@ -35,6 +35,17 @@ def test_caption_phrases(spark):
         assert row.p == phrases(texts[row.i]), texts[row.i]
 
 
+def test_caption_phrases_of_long_texts_and_odd_marks(spark):
+    rng = random.Random(5)
+    words = ["a", "b.", '.")', '"', ",x", ",,", "c)]", "d:\'", "ü!", "."]
+    texts = [" \t\n".join(rng.choice(words) for _ in range(n)) for n in (2, 3, 7, 8, 9, 50_000)]
+    texts += ["x" * 300_000 + " y z, " + "," * 300_000 + "q", "," + '"' * 200_000 + " b c d"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", F.transform(T.caption_phrases("text"), lambda w: F.array_join(w, " ")).alias("p")).collect()
+    for row in got:
+        assert row.p == phrases(texts[row.i]), row.i
+    assert spark.sql("select cast(null as string) as text").select(T.caption_phrases("text").alias("p")).first().p is None
+
+
 def test_two_decimals_is_exact(spark):
     values = [k / 1000 for k in range(0, 1001)] + [0.005, 0.125, 0.715, 0.835, 2.675]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.two_decimals("v").alias("s")).collect()

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tideline.plans import boundaries, published, registry, schemas
+from tideline.plans import boundaries, published, registry, schemas, streams
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -13,7 +13,7 @@ SOME = ["g23_story_plan", "w5_scenes_with_silence", "j2_overlap_join", "d1_origi
 SOME += ["f12_caption_phrases", "w7_timed_captions", "r2_narration_cues", "r3_dialogue_cues", "r5_combined_cues", "f14_word_error_rate", "j3_transcript_chunks", "o4_catalog_order", "j16_favourite_rank"]
 SOME += ["w5_scene_grouping", "w11_thinned_cuts", "s12_manifest_catalog", "k12_path_guard", "f5_episode_ids", "p6_mode_outputs", "x11_pending_migrations", "x12_subtitle_cascade", "x15_favourite_sets"]
 SOME += ["c2_stage_descendants", "c2_cycles", "i3_invalidated_rows", "c3_predecessor_artifacts", "j15_source_cascade", "d4_intelligibility", "x2_source_drift", "x19_mode_change", "m1_seconds_to_ms", "x9_speech_segments", "w6_running_offsets", "g22_fit_limit"]
-SOME += [*boundaries.QUERIES, *schemas.QUERIES, *published.QUERIES]
+SOME += [*boundaries.QUERIES, *schemas.QUERIES, *published.QUERIES, *streams.QUERIES]
 
 
 def plain(v):

@@ -121,23 +121,25 @@ def word_distance(a: str, b: str) -> Column:
 
 def caption_phrases(x: str, least: int = 3, most: int = 7) -> Column:
     """Short caption phrases: a group ends at most words, or at punctuation once it has
-    least; a short last group takes words from the one before, or joins it. x names a column."""
-    step = "struct(cast(array() as array<array<string>>) as done, cast(array() as array<string>) as open)"
-    return F.expr(f"""
-      transform(array(aggregate(
-        filter(split(trim(_text), '\\\\s+'), w -> w <> ''), {step},
-        (s, w) -> if(size(s.open) + 1 >= {most} or (size(s.open) + 1 >= {least} and w rlike '[,;:.!?]["\\')\\\\]]*$'),
-          struct(concat(s.done, array(concat(s.open, array(w)))) as done, cast(array() as array<string>) as open),
-          struct(s.done as done, concat(s.open, array(w)) as open)),
-        s -> if(size(s.open) > 0, concat(s.done, array(s.open)), s.done))),
-        g -> if(size(g) < 2 or size(element_at(g, -1)) >= {least}, g,
-          transform(array(least({least} - size(element_at(g, -1)), greatest(0, size(element_at(g, -2)) - {least}))), t ->
-            if(size(element_at(g, -1)) + t < {least} and size(element_at(g, -2)) - t + size(element_at(g, -1)) + t <= {most},
-              concat(slice(g, 1, size(g) - 2), array(concat(element_at(g, -2), element_at(g, -1)))),
-              concat(slice(g, 1, size(g) - 2), array(
-                slice(element_at(g, -2), 1, size(element_at(g, -2)) - t),
-                concat(slice(element_at(g, -2), size(element_at(g, -2)) - t + 1, t), element_at(g, -1))))))[0]))[0]
-    """.replace("_text", x))
+    least; a short last group takes words from the one before, or joins it. x names a column.
+    Groups are matches of one pattern, from left to right: the shortest run of least to most
+    words whose last has the punctuation, else up to most words."""
+    more = r"\s++\S++"
+    stops = rf"""\S++(?:{more}){{{least - 2},{most - 2}}}?\s++\S*[,;:.!?]["')\]]*(?!\S)"""
+    groups = F.regexp_extract_all(F.col(x), F.lit(rf"{stops}|\S++(?:{more}){{0,{most - 1}}}+"), F.lit(0))
+    words = F.transform(groups, lambda g: F.split(g, r"\s+"))
+
+    def settled(g: Column) -> Column:
+        last, before = F.element_at(g, -1), F.element_at(g, -2)
+        have, others = F.size(last), F.size(before)
+        taken = F.least(least - have, F.greatest(F.lit(0), others - least))
+        joins = (have + taken < least) & (others + have <= most)
+        tail = F.when(joins, F.array(F.concat(before, last))).otherwise(
+            F.array(F.slice(before, 1, others - taken), F.concat(F.slice(before, others - taken + 1, taken), last))
+        )
+        return F.when((F.size(g) < 2) | (have >= least), g).otherwise(F.concat(F.slice(g, 1, F.size(g) - 2), tail))
+
+    return F.transform(F.array(words), settled)[0]
 
 
 def two_decimals(x: Column | str) -> Column:

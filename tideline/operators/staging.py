@@ -30,11 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; deleted at the end of the process."""
+    path = f"{shared_folder(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    _staged[path] = spark
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back; deleted by release() or at the end of the process."""
-    path = f"{shared_folder(df.sparkSession)}/tideline/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _staged[path] = df.sparkSession
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made._staged_at = path
     return made

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as T
 from tideline.operators import intervals as iv
-from tideline.operators import lookup
+from tideline.operators import lookup, scan
 from tideline.sources import adapters as ad
 
 QUERIES: dict = {}
@@ -59,10 +59,11 @@ def w13_unique_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("o4_catalog_order", "SELECT voice_id, row_number() OVER (ORDER BY style <> 'STANDARD', lower(name), engine, voice_id) AS pos FROM voices", "voices")
 def o4_catalog_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Every voice's place in the catalog: places by the first two letters, not in one task."""
-    special, name = F.col("style") != "STANDARD", F.lower("name")
-    rows = iv.placed_by(ad.voices(spark, sf), [special, F.substring(name, 1, 2)], [name, "engine", "voice_id"])
-    return rows.select("voice_id", F.col("_place").alias("pos"))
+    """Every voice's place in the catalog. The whole catalog is one line: up to a million voices
+    take a window, more are dealt into ranges of the order."""
+    rows = ad.voices(spark, sf).select("voice_id", "engine", F.lit(0).alias("catalog"), (F.col("style") != "STANDARD").alias("special"), F.lower("name").alias("name"))
+    placed = scan.running(rows, "catalog", ["special", "name", "engine", "voice_id"], number="before")
+    return placed.select("voice_id", (F.col("before") + 1).alias("pos"))
 
 
 @query("g13_engine_counts", "SELECT style, count(*) AS n, count(DISTINCT engine) AS engines, array_to_string(list_sort(list(DISTINCT engine)), ',') AS names FROM voices GROUP BY 1", "voices")
