@@ -60,10 +60,10 @@ def talks():
     return rows
 
 
-@pytest.mark.parametrize("limit, pool", [(prefix_trie.LIMIT, prefix_trie.POOL), (5, 16), (1, 8), (40, 64)])
-def test_trie(spark, limit, pool):
+@pytest.mark.parametrize("limit, pool, upper", [(prefix_trie.LIMIT, prefix_trie.POOL, 9), (5, 16, prefix_trie.UPPER), (1, 8, prefix_trie.UPPER), (40, 64, 2)])
+def test_trie(spark, limit, pool, upper):
     rows = talks()
-    got = prefix_trie.trie(spark.createDataFrame(rows, TALK).repartition(5), limit, pool).collect()
+    got = prefix_trie.trie(spark.createDataFrame(rows, TALK).repartition(5), limit, pool, upper).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_trie(rows)))
 
 

@@ -10,7 +10,9 @@ shards are dealt into pools. A pool numbers its nodes level by level, and keeps
 bit vector (for each node a 1 for every child, then a 0) with arrays of labels; the j-th 1 is
 node j, and the 0s before it number its parent. Rollups run over the levels from the last to the
 first with ``add.at``. What the shards' tops add up to goes into the upper levels, which are
-merged the same way by themselves: they have at most (turns / LIMIT) nodes a level.
+merged the same way by themselves, in one task: so that its size has a bound, a prefix of a large
+table is an upper level only if it has more than one in ``UPPER`` of all turns, which leaves at
+most UPPER nodes a level whatever the table's size. Shards then grow instead, to turns / UPPER.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tideline.llm._shared import fits_broadcast, release, stage
 
 #: Turns of distinct paths below a prefix from which on it is an upper level; turns of a pool.
 LIMIT, POOL = 4096, 1 << 16
+#: Nodes that an upper level has at most.
+UPPER = 1 << 16
 #: Characters of ids that a row carries to the hash of a node's ids.
 CHUNK = 1 << 20
 #: Conversations that share the first turns of one of them, and the most turns shared, less one.
@@ -218,7 +222,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(rows, 160) else df
 
 
-def trie(conversations: DataFrame, limit: int = LIMIT, pool: int = POOL) -> DataFrame:
+def trie(conversations: DataFrame, limit: int = LIMIT, pool: int = POOL, upper: int = UPPER) -> DataFrame:
     """One row for each prefix of a conversation (a node): depth, conv_id, parent_conv_id, n_convs,
     n_children, n_leaves, saved_tokens, ends_sha256, as the module's contract has them.
 
@@ -226,7 +230,8 @@ def trie(conversations: DataFrame, limit: int = LIMIT, pool: int = POOL) -> Data
     ones by their hash. A null role or text is empty; rows that repeat a turn all
     count. Rows without conv_id belong to no conversation. Other columns are ignored; an empty
     table has no node. A conversation is held as packed arrays of 20 bytes a turn; texts never
-    meet. limit, pool: turns of distinct paths below an upper level, and of a pool.
+    meet. limit, pool: turns of distinct paths below an upper level (at least), and of a pool; upper:
+    nodes of an upper level at most. Results don't depend on these.
     """
     spark = conversations.sparkSession
     keyed = rebuilt(conversations).mapInArrow(_key_batches, "conv_id long, size long, f1 long, f2 long, k1 array<long>, k2 array<long>, words array<int>")
@@ -246,6 +251,7 @@ def trie(conversations: DataFrame, limit: int = LIMIT, pool: int = POOL) -> Data
     each = each.where("at < size").select("rep", "n", "size", (F.col("at") + 1).cast("long").alias("depth"), "e.k1", "e.k2", "e.p1", "e.p2", "e.words")
     node = ["depth", "k1", "k2"]
     below = F.sum(F.col("size") - F.col("depth") + 1)
+    limit = max(limit, int(sums[2]) // upper)
     heavy = stage(each.groupBy(*node).agg(below.alias("w")).where(F.col("w") > limit).select(*node), "heavy")
     n_heavy = heavy.count()
     hits = stage(each.join(_small(heavy, n_heavy), node), "hits")
