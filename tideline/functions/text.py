@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words of letters and digits (a fixed value).
 UNICODE_WORD = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"
 
 

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as T
 
+#: A word, the pause in words that a phrase's last mark gives, and the entities of cues, the ampersand last (fixed values).
+WORD = r"[\p{L}\p{N}_'][\p{L}\p{N}_']*"
+FULL_STOP, FULL_PAUSE = r"[.!?][\"')\]]*$", 0.65
+SHORT_STOP, SHORT_PAUSE = r"[,;:][\"')\]]*$", 0.25
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
 
 def timed_phrases(rows: DataFrame, keys: list[str], text: str, start: str, end: str) -> DataFrame:
     """Phrases of each text spread over [start, end): a phrase weighs its words plus a
     pause; the last ends exactly at end. Times are doubles."""
     phrases = rows.where(F.col(end) > F.col(start)).withColumn("_text", F.col(text)).withColumn("_p", T.caption_phrases("_text"))
     each = phrases.select(*keys, start, end, F.posexplode("_p").alias("cue", "_w")).withColumn("phrase", F.array_join("_w", " "))
-    words = F.greatest(F.lit(1), F.size(F.regexp_extract_all(F.col("phrase"), F.lit(r"[\p{L}\p{N}_'][\p{L}\p{N}_']*"), F.lit(0))))
-    pause = F.when(F.col("phrase").rlike(r"[.!?][\"')\]]*$"), 0.65).when(F.col("phrase").rlike(r"[,;:][\"')\]]*$"), 0.25).otherwise(0.0)
+    words = F.greatest(F.lit(1), F.size(F.regexp_extract_all(F.col("phrase"), F.lit(WORD), F.lit(0))))
+    pause = F.when(F.col("phrase").rlike(FULL_STOP), FULL_PAUSE).when(F.col("phrase").rlike(SHORT_STOP), SHORT_PAUSE).otherwise(0.0)
     each = each.withColumn("_weight", words + pause)
     line = W.partitionBy(*keys)
     share = F.sum("_weight").over(line.orderBy("cue").rowsBetween(W.unboundedPreceding, W.currentRow)) / F.sum("_weight").over(line)
@@ -45,7 +51,7 @@ def parsed_cues(documents: DataFrame, keys: list[str], srt: str) -> DataFrame:
     blocks = documents.select(*keys, F.posexplode(F.split(F.replace(F.col(srt), F.lit("\r\n"), F.lit("\n")), r"\n\s*\n")).alias("pos", "block"))
     timed = blocks.withColumn("a", F.regexp_extract("block", stamp, 1)).withColumn("b", F.regexp_extract("block", stamp, 2)).where("a <> ''")
     body = F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1), r"<[^>]*>|\{\\[^}]*\}", "")
-    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for mark, char in ENTITIES:
         body = F.replace(body, F.lit(mark), F.lit(char))
     body = F.trim(F.regexp_replace(body, r"\s+", " "))
     return timed.select(*keys, "pos", T.srt_seconds("a").alias("start_s"), T.srt_seconds("b").alias("end_s"), body.alias("text")).where("text <> ''")
