@@ -155,3 +155,9 @@ def test_manifest_is_json(spark):
     published.write_document(spark, path, json.dumps({"ü": 1}))
     published.write_document(spark, path, json.dumps({"ü": 2}))
     assert json.loads(published.read_document(spark, path)) == {"ü": 2}
+
+
+def test_schemas_are_checked_by_generated_code(spark):
+    docs = spark.createDataFrame([(1, "{}")], "id long, doc string")
+    plan = S.violations(docs, "doc", {**SCHEMA, "properties": {k: v for k, v in SCHEMA["properties"].items() if k != "list"}}, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("parseJson") == 1  # lambdas are interpreted, node by node

@@ -1,10 +1,11 @@
 """JSON Schema documents compiled to Column expressions.
 
 A schema is read once on the driver: local $refs are put in place, unknown keywords and types are
-refused, and each keyword becomes a test on a VARIANT column. The result is one expression for
-each document, an array of (path, rule) for all that is broken, so rows are checked where
-they are, in the JVM. As at the boundaries themselves, a node of the wrong type is not looked into,
-a $ref is checked along with the keywords beside it, and all failures are collected."""
+refused, and each keyword becomes a test on a VARIANT column. Named properties are columns of
+their document's row; the members of an array, and fields without a name in the schema, become rows
+of their own, level by level. There are no lambdas but one, as Spark generates no code for them,
+and documents are read and parsed once. As at the boundaries themselves, a node of the wrong type is not looked
+into, a $ref is checked along with the keywords beside it, and all failures are collected."""
 
 from __future__ import annotations
 
@@ -21,7 +22,8 @@ CHECKED = {
     "required", "properties", "additionalProperties", "minItems", "maxItems", "uniqueItems", "items",
 }
 DESCRIBING = {"$schema", "$id", "$defs", "title", "description", "$comment", "default", "examples"}
-_BROKEN = "array<struct<path:string,rule:string>>"
+#: What a node gives: something broken (path, rule), or members to look at by a schema of the next level.
+_FOUND = "struct<path:string,rule:string,node:int,items:array<variant>,names:array<string>>"
 
 
 class SchemaError(ValueError):
@@ -77,8 +79,9 @@ def resolve(ref: str, root: dict) -> dict:
 
 def _kind(told: Column) -> Column:
     """The JSON type of a variant whose schema is told."""
-    number = told.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    whole = (told == "BIGINT") | told.rlike(r"^DECIMAL\(\d+,0\)$")
+    decimal = told.startswith("DECIMAL")
+    number = decimal | told.isin("BIGINT", "DOUBLE", "FLOAT")
+    whole = (told == "BIGINT") | (decimal & told.endswith(",0)"))
     kind = F.when(told == "VOID", "null").when(told == "STRING", "string").when(told == "BOOLEAN", "boolean")
     return kind.when(whole, "integer").when(number, "number").when(told.startswith("ARRAY"), "array").otherwise("object")
 
@@ -101,8 +104,8 @@ def _equals(v: Column, kind: Column, value: object) -> Column:
     return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
-def _rules(v: Column, kind: Column, schema: dict) -> list[tuple[str, Column]]:
-    """The tests of one node that don't look into it: (rule, whether it holds)."""
+def _rules(v: Column, kind: Column, items: Column, texts: Column, schema: dict) -> list[tuple[str, Column]]:
+    """The tests of one node that don't look into its members: (rule, whether it holds)."""
     number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
     out: list[tuple[str, Column]] = []
     if "const" in schema:
@@ -114,67 +117,102 @@ def _rules(v: Column, kind: Column, schema: dict) -> list[tuple[str, Column]]:
         "minimum": lambda n: number >= n, "maximum": lambda n: number <= n, "exclusiveMinimum": lambda n: number > n, "exclusiveMaximum": lambda n: number < n,
         "multipleOf": lambda n: number % F.lit(float(n)) == 0,
     }
-    items = F.try_variant_get(v, "$", "array<variant>")
     on_array = {
         "minItems": lambda n: F.size(items) >= n, "maxItems": lambda n: F.size(items) <= n,
-        "uniqueItems": lambda on: F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) == F.size(items) if on else F.lit(True),
+        "uniqueItems": lambda on: F.size(F.array_distinct(texts)) == F.size(items) if on else F.lit(True),
     }
     for tests, applies in ((on_text, kind == "string"), (on_number, kind.isin("integer", "number")), (on_array, kind == "array")):
         out += [(name, ~applies | F.coalesce(test(schema[name]), F.lit(False))) for name, test in tests.items() if name in schema]
     return out
 
 
-def broken(v: Column, schema: dict, root: dict | None = None, path: Column | None = None, seen: tuple[str, ...] = ()) -> Column:
-    """What is broken in a variant: an array of (path, rule), in the order of the schema's keywords;
-    none for a SQL null, which is no document. Schemas that refer to themselves are refused."""
-    root, path = schema if root is None else root, F.lit("$") if path is None else path
-    unknown = sorted(set(schema) - CHECKED - DESCRIBING)
-    if unknown:
-        raise SchemaError(f"unknown keywords {unknown}")
-    # a node and its type are worked out once: a lambda's variable is a value, not an expression
-    node = F.array(F.struct(v.alias("v"), F.schema_of_variant(v).alias("t")))
-    return F.flatten(F.transform(node, lambda n: F.flatten(F.transform(F.array(_kind(n["t"])), lambda kind: _node(n["v"], kind, schema, root, path, seen)))))
-
-
-def _node(v: Column, kind: Column, schema: dict, root: dict, path: Column, seen: tuple[str, ...]) -> Column:
-    fail = lambda rule: F.struct(path.alias("path"), F.lit(rule).alias("rule"))
-    none = F.array().cast(_BROKEN)
-    parts = [F.filter(F.array(*(F.when(~ok, fail(rule)) for rule, ok in _rules(v, kind, schema))), lambda x: x.isNotNull())] if set(schema) & CHECKED - {"$ref", "type", "required", "properties", "additionalProperties", "items"} else []
-    fields = schema.get("properties", {})
-    for name in schema.get("required", []):
-        there = F.try_variant_get(v, f'$["{name}"]', "variant").isNotNull()
-        parts.append(F.when((kind == "object") & ~there, F.array(fail(f"required:{name}"))).otherwise(none))
-    for name, part in fields.items():
-        child = F.try_variant_get(v, f'$["{name}"]', "variant")
-        parts.append(F.when((kind == "object") & child.isNotNull(), broken(child, part, root, F.concat(path, F.lit(f".{name}")), seen)).otherwise(none))
-    extra = schema.get("additionalProperties", True)
-    if extra is not True:
-        others = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin(*fields) if fields else F.lit(True))
-        if extra is False:
-            each = F.transform(others, lambda e: F.struct(path.alias("path"), F.concat(F.lit("additional:"), e["key"]).alias("rule")))
+def _found(path: Column | str, rule: Column | None = None, node: int | None = None, items: Column | None = None, names: Column | None = None) -> Column:
+    return F.struct(path, *(F.lit(None) if x is None else x for x in (rule, None if node is None else F.lit(node), items, names))).cast(_FOUND)
+
+
+#: Members of a node, their type, and the keywords that look at them.
+_MEMBERS = (
+    ("items", "array<variant>", {"items", "minItems", "maxItems", "uniqueItems"}),
+    ("fields", "map<string,variant>", {"properties", "required", "additionalProperties"}),
+)
+
+
+def _level(rows: DataFrame, keys: tuple[str, ...], level: list[tuple], root: dict) -> tuple[DataFrame, list[tuple]]:
+    """The nodes of one level checked: keys and what they give, and the schemas of the next level. A schema of a
+    level goes with the fields that it doesn't speak of, and the references that led to it."""
+    given, following, n = [F.when(F.col("_rule").isNotNull(), _found("_path", F.col("_rule")))], [], 0
+    pending = []
+    for k, (schema, _, seen) in enumerate(level):
+        mine = F.col("_node") == k
+        if schema is False:
+            given.append(F.when(mine, _found("_up", F.concat(F.lit("additional:"), "_name"))))
         else:
-            each = F.flatten(F.transform(others, lambda e: broken(e["value"], extra, root, F.concat(path, F.lit("."), e["key"]), seen)))
-        parts.append(F.when(kind == "object", each).otherwise(none))
-    if "items" in schema:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        inner = F.transform(items, lambda x, i: broken(x, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), seen))
-        parts.append(F.when(kind == "array", F.flatten(inner)).otherwise(none))
-    whole = F.concat(*parts) if parts else none
-    if "type" in schema:
-        wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        right = reduce(lambda a, b: a | b, (_is(kind, t) for t in wanted))
-        whole = F.when(right, whole).otherwise(F.array(fail("type")))
-    if "$ref" in schema:
-        if schema["$ref"] in seen:
-            raise SchemaError(f"{schema['$ref']} refers to itself")
-        whole = F.concat(broken(v, resolve(schema["$ref"], root), root, path, (*seen, schema["$ref"])), whole)
-    return F.when(v.isNull(), none).otherwise(whole)
+            pending.append((F.when(mine, F.col("_v")), F.col("_path"), schema, seen))
+    while pending:
+        # values, then members, types and whether these are right: each is a column, so it is worked out once
+        values, members, kinds, right, more = {}, {}, {}, {}, []
+        for i, (value, _, schema, _) in enumerate(pending, n):
+            unknown = sorted(set(schema) - CHECKED - DESCRIBING)
+            if unknown:
+                raise SchemaError(f"unknown keywords {unknown}")
+            v, kind = F.col(f"_v{i}"), F.col(f"_kind{i}")
+            values[f"_v{i}"] = value
+            held = [(name, F.try_variant_get(v, "$", of)) for name, of, words in _MEMBERS if words & set(schema)]
+            members |= {f"_{name}{i}": x for name, x in held}
+            # schema_of_variant walks all that is below; what has members is told by them
+            told = _kind(F.schema_of_variant(v))
+            for name, _ in held:
+                told = F.when(F.col(f"_{name}{i}").isNotNull(), "array" if name == "items" else "object").otherwise(told)
+            kinds[f"_kind{i}"] = told
+            if "uniqueItems" in schema:
+                kinds[f"_texts{i}"] = F.transform(f"_items{i}", lambda x: F.to_json(x))
+            wanted = schema.get("type", [])
+            wanted = wanted if isinstance(wanted, list) else [wanted]
+            right[f"_right{i}"] = v.isNotNull() & (reduce(lambda a, b: a | b, (_is(kind, t) for t in wanted)) if wanted else F.lit(True))
+        for columns in (values, members, kinds, right):
+            rows = rows.withColumns(columns) if columns else rows
+        for i, (_, path, schema, seen) in enumerate(pending, n):
+            v, kind, ok, items, fields, texts = (F.col(f"_{x}{i}") for x in ("v", "kind", "right", "items", "fields", "texts"))
+            is_object, named = ok & (kind == "object"), schema.get("properties", {})
+            if "$ref" in schema:
+                if schema["$ref"] in seen:
+                    raise SchemaError(f"{schema['$ref']} refers to itself")
+                more.append((v, path, resolve(schema["$ref"], root), (*seen, schema["$ref"])))
+            if "type" in schema:
+                given.append(F.when(v.isNotNull() & ~ok, _found(path, F.lit("type"))))
+            given += [F.when(ok & ~holds, _found(path, F.lit(rule))) for rule, holds in _rules(v, kind, items, texts, schema)]
+            for name in schema.get("required", []):
+                given.append(F.when(is_object & F.try_element_at(fields, F.lit(name)).isNull(), _found(path, F.lit(f"required:{name}"))))
+            for name, part in named.items():
+                more.append((F.when(is_object, F.try_element_at(fields, F.lit(name))), F.concat(path, F.lit(f".{name}")), part, seen))
+            extra = schema.get("additionalProperties", True)
+            if extra is not True:
+                given.append(F.when(is_object, _found(path, node=len(following), items=F.map_values(fields), names=F.map_keys(fields))))
+                following.append((extra, tuple(named), seen))
+            if "items" in schema:
+                given.append(F.when(ok & (kind == "array"), _found(path, node=len(following), items=items)))
+                following.append((schema["items"], (), seen))
+        n, pending = n + len(pending), more
+    return rows.select(*keys, F.explode(F.array(*given)).alias("_b")).where("_b is not null").select(*keys, "_b.*"), following
 
 
 def violations(docs: DataFrame, doc: str, schema: dict, *keys: str) -> DataFrame:
     """keys, path, rule of all that is broken in the JSON texts of a column. A text that is no JSON
-    breaks the rule json at $; a null text is no document."""
+    breaks the rule json at $; a null text is no document. Schemas that refer to themselves are refused."""
     check(schema, "$")
+    none, top = F.lit(None).cast("string"), F.lit("$")
     read = docs.select(*keys, doc, F.try_parse_json(doc).alias("_v"))
-    bad = F.when(F.col(doc).isNotNull() & F.col("_v").isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("rule")))).otherwise(broken(F.col("_v"), schema))
-    return read.select(*keys, F.explode(bad).alias("_b")).select(*keys, "_b.path", "_b.rule")
+    no_json = F.when(F.col(doc).isNotNull() & F.col("_v").isNull(), "json")
+    rows = read.select(*keys, top.alias("_path"), top.alias("_up"), none.alias("_name"), no_json.alias("_rule"), F.lit(0).alias("_node"), "_v")
+    level = [(schema, (), ())]
+    while True:
+        found, level = _level(rows, keys, level, schema)
+        if not level:
+            return found.select(*keys, "path", "rule")
+        each = found.select(*keys, "path", "rule", "node", "names", F.posexplode_outer("items").alias("_pos", "_v")).where("rule is not null or _pos is not null")
+        name = F.get("names", F.col("_pos"))
+        below = F.when(F.col("rule").isNotNull(), F.col("path")).when(name.isNull(), F.concat("path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), name))
+        rows = each.select(*keys, below.alias("_path"), F.col("path").alias("_up"), name.alias("_name"), F.col("rule").alias("_rule"), F.coalesce("node", F.lit(-1)).alias("_node"), "_v")
+        for k, (_, named, _) in enumerate(level):
+            if named:
+                rows = rows.where((F.col("_node") != k) | ~F.col("_name").isin(*named))
