@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tideline.functions import schemas as S
 from tideline.functions.text import word_distance
 from tideline.operators import lookup
 from tideline.operators.staging import shared_folder
+from tideline.plans import boundaries
 from tideline.sources import files, published
 from tideline.sources.drafts import drafts
 
@@ -161,3 +163,13 @@ def test_schemas_are_checked_by_generated_code(spark):
     docs = spark.createDataFrame([(1, "{}")], "id long, doc string")
     plan = S.violations(docs, "doc", {**SCHEMA, "properties": {k: v for k, v in SCHEMA["properties"].items() if k != "list"}}, "id")._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and plan.count("parseJson") == 1  # lambdas are interpreted, node by node
+
+
+def test_hashes_are_no_join_key(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = boundaries.x8_verified_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"SortMergeJoin \[l_orderkey#\d+L\], \[l_orderkey#\d+L\], Inner", plan)

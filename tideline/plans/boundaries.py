@@ -292,8 +292,11 @@ def x7_row_count_agreement(spark: SparkSession, sf: str) -> DataFrame:
 @query("x8_verified_documents", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE sha256(l_linestatus) = sha256(o_orderstatus)")
 def x8_verified_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Items whose content has the hash that was recorded with their order."""
-    recorded = _orders(spark, sf).select(F.col("o_orderkey").alias("l_orderkey"), F.sha2("o_orderstatus", 256).alias("recorded"))
-    items = ad.table(spark, sf, "lineitem").join(recorded, "l_orderkey").where(F.sha2("l_linestatus", 256) == F.col("recorded"))
+    recorded = _orders(spark, sf).select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    # two hashes of 64 digits: one starts with the other if they are equal. An equality would become a join
+    # key, and rows would be sorted by hashes that are worked out anew in each comparison
+    same = F.sha2("l_linestatus", 256).startswith(F.sha2("o_orderstatus", 256))
+    items = ad.table(spark, sf, "lineitem").join(recorded, "l_orderkey").where(same)
     return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
