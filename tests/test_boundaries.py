@@ -173,3 +173,10 @@ def test_hashes_are_no_join_key(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert re.search(r"SortMergeJoin \[l_orderkey#\d+L\], \[l_orderkey#\d+L\], Inner", plan)
+
+
+def test_ordered_clips_take_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(boundaries, "TASK_ROWS", 1000)
+    rows = boundaries.ad.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    plan = boundaries.o3_ordered_clips(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and re.search(rf"hashpartitioning\(render_id#\d+L, {rows // 1000 + 1}\)", plan)

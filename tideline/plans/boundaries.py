@@ -15,6 +15,8 @@ from tideline.sources.drafts import drafts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Rows of a part whose windows one task works out (a fixed value).
+TASK_ROWS = 500_000
 
 
 def query(name: str, oracle: str | None = None, *parts: str):
@@ -244,7 +246,10 @@ def o3_ordered_clips(spark: SparkSession, sf: str) -> DataFrame:
     """Places of segments in their output (by their first clip) and of clips in it."""
     first = F.min("clip_order").over(W.partitionBy("render_id", "segment_id"))
     line = W.partitionBy("render_id")
-    rows = ad.clips(spark, sf).withColumn("first_clip", first)
+    clips = ad.clips(spark, sf).select("render_id", "segment_id", "clip_order")
+    # one exchange for all windows, in parts that grow in number and not in size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), clips.count() // TASK_ROWS + 1)
+    rows = clips.repartition(parts, "render_id").withColumn("first_clip", first)
     segment, place = F.dense_rank().over(line.orderBy("first_clip", "segment_id")), F.row_number().over(line.orderBy("first_clip", "segment_id", "clip_order"))
     return rows.select("render_id", "segment_id", "clip_order", segment.cast("long").alias("segment_place"), place.cast("long").alias("place"))
 
