@@ -1,5 +1,5 @@
-"""What the trained operators share: a bounded sample of labelled rows, training in one
-task on that sample, hashed word features, and Adam."""
+"""What the trained operators share: labelled rows (a bounded sample, or all of them in parts of
+bounded size), training in one task or over parts, hashed word features, and Adam."""
 
 from __future__ import annotations
 
@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
 from tideline.llm._blocks import pack, unpack
-from tideline.llm._shared import stage
+from tideline.llm._shared import fits_broadcast, release, stage
 
 #: Most labelled rows that a model is fitted on: those with the least hash of their id.
 SAMPLE = 6000
 PIECE = 1 << 20
+#: Labelled rows and text bytes of a part, and numbers of a slice of what parts are summed to.
+PART_ROWS, PART_BYTES = 6000, 10 << 20
+SLICE = 1 << 14
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
@@ -27,6 +30,63 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Data
     return one_text(docs.join(F.broadcast(ids), "doc_id"))
 
 
+def all_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) of every labelled id, with their label (an int), staged; one text for each id.
+    An id labelled more than once takes its mean label, rounded; null ids and labels do not count."""
+    one = stage(labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label")).where("label in (0, 1)"), "labels")
+    made = stage(one_text(docs.join(F.broadcast(one) if fits_broadcast(one.count(), 64) else one, "doc_id")), "labelled")
+    release(one)
+    return made
+
+
+def part_count(rows: DataFrame, most: int) -> int:
+    """How many parts of at most about ``most`` rows, and PART_BYTES of text, rows are dealt into."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(-(-n // most), -(-size // PART_BYTES))
+
+
+def in_parts(rows: DataFrame, n: int, prepare: Callable[[pa.Table], list[np.ndarray]]) -> DataFrame:
+    """rows dealt into n parts by the hash of their id, staged as a row (part, payload) each: what prepare makes of its table, packed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table["part"][:1], "payload": pa.array([pack(*prepare(table.sort_by("doc_id")))], pa.binary())})
+
+    dealt = rows.withColumn("part", F.expr(f"pmod(xxhash64(doc_id), {n})"))
+    return stage(dealt.groupBy("part").applyInArrow(run, "part long, payload binary"), "parts", **{"parquet.block.size": str(16 << 20)})
+
+
+def summed(parts: DataFrame, each: Callable[[int, list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The sum over all parts of each(part, arrays), whole numbers of a fixed length, so that no order changes it. A
+    task adds up its own parts, slices of these sums meet by number, and the driver gets the total alone."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
+                got = each(part, unpack(payload.as_buffer()))
+                total = got if total is None else total + got
+        if total is not None:
+            yield _slices({i: total[a : a + SLICE] for i, a in enumerate(range(0, len(total), SLICE))})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
+                got = unpack(blob.as_buffer())[0]
+                totals[i] = totals[i] + got if i in totals else got
+        yield _slices(totals)
+
+    made = parts.select("part", "payload").mapInArrow(own, _SLICES).repartition("slice").mapInArrow(meet, _SLICES).collect()
+    return np.concatenate([unpack(r.blob)[0] for r in sorted(made, key=lambda r: r.slice)])
+
+
+_SLICES = "slice int, blob binary"
+
+
+def _slices(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([pack(x) for x in totals.values()], pa.binary())], names=["slice", "blob"])
+
+
 def one_text(rows: DataFrame) -> DataFrame:
     """One row for each doc_id: that with the least text by hash, whatever the order of rows."""
     best = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), F.struct(F.xxhash64("text"), "text")).alias("row"))
