@@ -96,3 +96,17 @@ def test_an_empty_table_and_rows_without_a_time(spark, tmp_path, name):
     write(spark, [(1, None, 1, "view"), (None, BASE_MS, None, None)], line.path)
     line.read_on()
     assert [r[0] for r in line.end()] == [None]
+
+
+def test_lines_share_groups_and_keep_their_scenes(spark, tmp_path):
+    line = Line(spark, tmp_path, lambda e: tl.scenes(e, 60_000, "10 seconds"))
+    users = [None, -65, -1, 0, 1, 63, 64, 2**62, 2**62 + 1]
+    rows = [(i, BASE_MS + 7_000 * i, users[i % len(users)], "error" if i % 13 == 0 else "view") for i in range(180)]
+    for part in (rows[:90], rows[90:]):
+        write(spark, part, line.path)
+        line.read_on()
+    state = spark.read.format("statestore").load(line.checkpoint)
+    assert state.select("key").distinct().count() == 6  # no group for every line
+    whole = ad.timeline(spark, line.root)
+    want = iv.scenes(whole, "user_id", 60_000).alias("s").join(whole.alias("t"), F.expr("s.user_id <=> t.user_id and s.ordinal = t.ordinal"))
+    assert line.end() == sorted(map(tuple, want.select("t.user_id", "event_id", "t.ordinal", "scene", "start_ms", "end_ms").collect()), key=str)

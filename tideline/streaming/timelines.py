@@ -7,7 +7,8 @@ until the stream is closed: ``close`` puts a row at the end of time in a second
 watermark ends every line. A stream that stops without it goes on from its checkpoint.
 
 The state of a line is its events since the watermark and a few numbers, whatever its
-length, and a micro-batch holds ``files`` files at most, so a hot line is bounded by both."""
+length, and a micro-batch holds ``files`` files at most, so a hot line is bounded by both. Lines of
+neighbouring user_ids share a group and its state, since a group costs far more than its rows."""
 
 from __future__ import annotations
 
@@ -27,10 +28,13 @@ CLOSING_MS = END_MS + 365 * 86_400_000
 LAST_MS = 60_000
 EVENTS = "event_id long, user_id long, start_ms long, excluded boolean"
 SCENES = "user_id long, event_id long, ordinal long, scene long, start_ms long, end_ms long"
-#: Events not told yet (packed), then of what was told: shots, scenes, the scene's first
-#: millisecond, and whether the last shot was excluded.
-_STATE = "pending binary, shots long, scenes long, first_ms long, after_excluded boolean"
-_PENDING = np.dtype([("start_ms", "<i8"), ("event_id", "<i8"), ("excluded", "?")])
+#: Lines of 2 ** LINE_BITS consecutive user_ids are one group; so groups grow in number with the users, not in size.
+LINE_BITS = 6
+#: A group's events not told yet, and of each of its lines what was told: shots, scenes, the scene's first
+#: millisecond, and whether the last shot was excluded (packed).
+_STATE = "pending binary, lines binary"
+_PENDING = np.dtype([("user_id", "<i8"), ("start_ms", "<i8"), ("event_id", "<i8"), ("excluded", "?")])
+_LINES = np.dtype([("user_id", "<i8"), ("shots", "<i8"), ("scenes", "<i8"), ("first_ms", "<i8"), ("after_excluded", "?")])
 
 
 def events(spark: SparkSession, path: str, closing: str, files: int | None = None) -> DataFrame:
@@ -53,13 +57,14 @@ def scenes(stream: DataFrame, max_scene_ms: int, delay: str) -> DataFrame:
     """Each shot's scene, by the rules of intervals.scenes: shots last until the line's next event
     (of several in one millisecond the last counts); excluded shots are scenes of their own;
     no scene of several shots is longer than max_scene_ms."""
-    lines = stream.withWatermark("at", delay).groupBy("user_id")
+    lines = stream.withColumn("_lines", F.shiftright("user_id", LINE_BITS)).withWatermark("at", delay).groupBy("_lines")
     return lines.applyInPandasWithState(_told(max_scene_ms), SCENES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _told(max_scene_ms: int) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told, shots, scene, first, after = state.get if state.exists else (b"", 0, 0, 0, True)
+        told, lines = state.get if state.exists else (b"", b"")
+        at_line = {x[0]: x[1:] for x in np.frombuffer(lines, _LINES).tolist()}
         parts = [np.frombuffer(told, _PENDING)]
         if not state.hasTimedOut:
             for batch in batches:
@@ -68,33 +73,37 @@ def _told(max_scene_ms: int) -> Callable:
                 for name in _PENDING.names:
                     part[name] = batch[name].fillna(0).to_numpy()
                 parts.append(part)
-        line = np.sort(np.concatenate(parts), order=["start_ms", "event_id"])
-        if state.hasTimedOut:
-            final, keep = len(line), len(line)
-        else:
-            # a shot is final when the event after it is; the last such event waits for its end
-            known = int(np.searchsorted(line["start_ms"], state.getCurrentWatermarkMs(), "right"))
-            final = keep = max(0, known - 1)
-        end = np.append(line["start_ms"][1:], line["start_ms"][-1:] + LAST_MS)[:final]
-        begin, excluded = line["start_ms"][:final], line["excluded"][:final]
-        lasts = np.flatnonzero(end > begin)
-        number = np.empty(len(lasts), np.int64)
-        for i, at in enumerate(lasts):
-            if after or excluded[at] or end[at] - first > max_scene_ms:
-                scene, first = scene + 1, int(begin[at])
-            number[i], after = scene - 1, bool(excluded[at])
-        user = None if pd.isna(key[0]) else int(key[0])
-        made = {"event_id": line["event_id"][lasts], "ordinal": shots + np.arange(len(lasts)), "scene": number, "start_ms": begin[lasts], "end_ms": end[lasts]}
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["event_id"], rows["start_ms"], rows["user_id"]))]
+        user, begin, excluded = rows["user_id"], rows["start_ms"], rows["excluded"]
+        follows = np.append(user[1:] == user[:-1], False)[: len(rows)]  # the next row is of the same line
+        end = np.where(follows, np.append(begin[1:], 0)[: len(rows)], begin + LAST_MS)
+        # a shot is final when the event after it is; the last such event waits for its end
+        final = np.ones(len(rows), bool) if state.hasTimedOut else follows & (end <= state.getCurrentWatermarkMs())
+        lasts = np.flatnonzero(final & (end > begin))
+        ordinals, numbers = [], []
+        for who, from_ms, to_ms, out in zip(*(x[lasts].tolist() for x in (user, begin, end, excluded)), strict=True):
+            shots, scene, first, after = at_line.get(who, _NEW)
+            if after or out or to_ms - first > max_scene_ms:
+                scene, first = scene + 1, from_ms
+            ordinals.append(shots)
+            numbers.append(scene - 1)
+            at_line[who] = shots + 1, scene, first, out
         if state.hasTimedOut:
             state.remove()
         else:
-            state.update((line[keep:].tobytes(), shots + len(lasts), scene, first, after))
+            state.update((rows[~final].tobytes(), np.array([(who, *x) for who, x in at_line.items()], _LINES).tobytes()))
             state.setTimeoutTimestamp(END_MS)
-        yield pd.DataFrame(made).assign(user_id=pd.array([user] * len(lasts), "Int64"))[[c.split()[0] for c in SCENES.split(", ")]]
+        made = {"user_id": pd.array([None] * len(lasts) if pd.isna(key[0]) else user[lasts], "Int64"), "event_id": rows["event_id"][lasts]}
+        yield pd.DataFrame({**made, "ordinal": np.array(ordinals, np.int64), "scene": np.array(numbers, np.int64), "start_ms": begin[lasts], "end_ms": end[lasts]})
 
     return run
 
 
+#: A line before its first shot.
+_NEW = (0, 0, 0, True)
+
+
 def chunks(stream: DataFrame, width: str, delay: str) -> DataFrame:
     """Tumbling chunks of each line: user_id, chunk_ms (where it begins), n, n_excluded, first_ms,
     last_ms. A chunk is told once the watermark has passed its end."""
