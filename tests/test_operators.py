@@ -75,6 +75,20 @@ def test_timed_phrases_end_exactly(spark):
     assert cues[0].cue_start == 13.43 and cues[-1].cue_end == 17.809
     assert all(a.cue_end == b.cue_start for a, b in zip(cues, cues[1:], strict=False)) and all(len(c.phrase.split()) <= 7 for c in cues)
 
+def test_timed_phrases_do_not_depend_on_spills(spark):
+    # a sort that spills hands on equal keys in no fixed order, so sums of doubles must name theirs
+    text = " ".join(("a b c, d e f. g h i j k l m" if n % 3 else "a b c; d e f g h.") for n in range(20))
+    rows = spark.createDataFrame([(i, f"{text} {'z ' * (i % 11)}", 0.1 * i, 97.3 + i) for i in range(80)], "i int, t string, s double, e double").repartition(1)
+    timed = lambda: captions.timed_phrases(rows, ["i"], "t", "s", "e").orderBy("i", "cue").collect()
+    want = timed()
+    conf, often = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(often, "300")
+    try:
+        assert timed() == want
+    finally:
+        conf.remove(often)
+    assert len(want) > 2000
+
 
 def test_store(spark):
     now = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, state string, other string")

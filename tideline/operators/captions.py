@@ -17,17 +17,19 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 
 def timed_phrases(rows: DataFrame, keys: list[str], text: str, start: str, end: str) -> DataFrame:
     """Phrases of each text spread over [start, end): a phrase weighs its words plus a
-    pause; the last ends exactly at end. Times are doubles."""
+    pause; the last ends exactly at end. Times are doubles. Both sums of weights add in the order
+    of the cues: the last bit decides where a border falls on half a millisecond."""
     phrases = rows.where(F.col(end) > F.col(start)).withColumn("_text", F.col(text)).withColumn("_p", T.caption_phrases("_text"))
     each = phrases.select(*keys, start, end, F.posexplode("_p").alias("cue", "_w")).withColumn("phrase", F.array_join("_w", " "))
     words = F.greatest(F.lit(1), F.size(F.regexp_extract_all(F.col("phrase"), F.lit(WORD), F.lit(0))))
     pause = F.when(F.col("phrase").rlike(FULL_STOP), FULL_PAUSE).when(F.col("phrase").rlike(SHORT_STOP), SHORT_PAUSE).otherwise(0.0)
     each = each.withColumn("_weight", words + pause)
-    line = W.partitionBy(*keys)
-    share = F.sum("_weight").over(line.orderBy("cue").rowsBetween(W.unboundedPreceding, W.currentRow)) / F.sum("_weight").over(line)
-    last = F.col("cue") == F.max("cue").over(line)
+    line = W.partitionBy(*keys).orderBy("cue")
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    share = F.sum("_weight").over(line.rowsBetween(W.unboundedPreceding, W.currentRow)) / F.sum("_weight").over(whole)
+    last = F.col("cue") == F.max("cue").over(whole)
     each = each.withColumn("cue_end", F.when(last, F.col(end)).otherwise(F.col(start) + (F.col(end) - F.col(start)) * share))
-    begin = F.coalesce(F.lag("cue_end").over(line.orderBy("cue")), F.col(start))
+    begin = F.coalesce(F.lag("cue_end").over(line), F.col(start))
     return each.select(*keys, "cue", begin.alias("cue_start"), "cue_end", "phrase")
 
 
