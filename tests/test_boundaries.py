@@ -1,5 +1,6 @@
 """Schemas, publishing, file scans, lookups, edit distances and drafts on small cases."""
 
+import gzip
 import hashlib
 import json
 import random
@@ -103,6 +104,31 @@ def test_files_below_a_folder(spark, tmp_path):
     assert "content" not in plan and files.listed(spark, str(tmp_path), (".mp4",)).count() == 2
 
 
+@pytest.mark.parametrize("held", [False, True])
+def test_files_are_hashed_without_being_held(spark, tmp_path, monkeypatch, held):
+    # one split a file, or many where the session's settings are held; files with and without a mark, a last newline, or any line, and some at the length of pieces
+    draw, mark, whole = random.Random(4), b"\xef\xbb\xbf", files.PIECE
+    bodies = [b"\n", b"\n\n", b"x", mark, mark + b"\n", mark + b"x", mark + b"x\n", mark + mark, mark[:2], b"\r\n\r", b"\xff\x00\n\x00", b"\n" * 50_000, bytes(100_000)]
+    bodies += [b"y" * (4 * whole + n) + end for n in (-1, 0, 1) for end in (b"", b"\n")] + [start + draw.randbytes(150_000) + end for start in (b"", mark) for end in (b"x", b"\n")]
+    names = {f"{i}.mp4": body for i, body in enumerate(bodies)} | {"\u00fc%20 +#.MP4": b"odd", "p.mp4.gz": gzip.compress(b"hi\n" * 99)}
+    for name, body in names.items():
+        (tmp_path / name).write_bytes(body)
+    small = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1000", "spark.sql.sources.binaryFile.maxLength": "1000"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        splits = lambda: files._files(files._unsplit(spark), "text", str(tmp_path), (".mp4",)).rdd.getNumPartitions()
+        if held:
+            monkeypatch.setattr(files, "_unsplit", lambda session: session)
+        assert (splits() > len(names)) == held
+        found = sorted(map(tuple, files.hashed(spark, str(tmp_path), (".mp4", ".gz")).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == sorted((n, len(b), hashlib.sha256(b).hexdigest()) for n, b in names.items())
+
+
 def test_only_containing_by_brute_force(spark):
     draw = random.Random(8)
     names = ["".join(draw.choices("abc", k=draw.randrange(0, 9))) for _ in range(120)] + [None, "ümlaut-ab", "abcabc", "abcabc"]
