@@ -114,6 +114,10 @@ def test_files_are_hashed_without_being_held(spark, tmp_path, monkeypatch, held)
     for name, body in names.items():
         (tmp_path / name).write_bytes(body)
     small = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1000", "spark.sql.sources.binaryFile.maxLength": "1000"}
+    for suffixes, n in (((".gz",), 1), ((".mp4",), len(names) - 1), ((".tar.gz", ".p4", "mp4"), 0), ((), 0), (("", ".h d", ".c++"), 3)):
+        for name in ("none", "b.H d", "b.C++"):
+            (tmp_path / name).write_bytes(b"-")
+        assert files.listed(spark, str(tmp_path), suffixes).count() == n
     before = {k: spark.conf.get(k) for k in small}
     try:
         for k, v in small.items():

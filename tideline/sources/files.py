@@ -10,6 +10,7 @@ Spark's file sources pass over files without a byte, so those are not listed."""
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -49,7 +50,13 @@ def _unsplit(spark: SparkSession) -> SparkSession:
 def _files(spark: SparkSession, source: str, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
     """The source over the files whose suffix is among suffixes; others are not opened."""
     found = spark.read.format(source).option("recursiveFileLookup", "true").option("lineSep", "\n").load(folder)
-    return found.where(F.lower(F.regexp_extract(_name(F.col("_metadata.file_path")), r"(\.[^.]*)$", 1)).isin(*suffixes))
+    path, among = F.col("_metadata.file_path"), F.lit(False)
+    plain = [s for s in suffixes if re.fullmatch(r"\.[a-z0-9_+-]+", s)]  # the end of a URL tells these, which is cheap for each line
+    for suffix in plain:
+        among |= F.lower(path).endswith(suffix)
+    if others := set(suffixes) - set(plain):
+        among |= F.lower(F.regexp_extract(_name(path), r"(\.[^.]*)$", 1)).isin(*others)
+    return found.where(among)
 
 
 def listed(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
